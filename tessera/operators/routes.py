@@ -227,9 +227,18 @@ def build_requests(rows: DataFrame, *, strategy: str, k: int, hops: int, text: C
             F.lit(hops).alias("hops")))
 
 
+def policy_weights(rows: DataFrame) -> dict[str, Column] | None:
+    """Weights of rows that carry a policy: their own vector and text weights, and ``policy_g``."""
+    if "policy_g" not in rows.columns:
+        return None
+    return dict(v=F.col("vector_weight"), t=F.col("fulltext_weight"), g=F.col("policy_g"))
+
+
 def lookup_requests(rows: DataFrame, k: int, depth: int, graph_weight: float | None = 0.35) -> DataFrame:
-    return build_requests(rows, strategy="lookup", k=k, hops=min(3, max(1, depth)),
-                          g=None if graph_weight is None else F.lit(graph_weight))
+    g = None if graph_weight is None else F.lit(graph_weight)
+    if policy_weights(rows) is not None:
+        g = F.coalesce("policy_g", F.lit(0.35))
+    return build_requests(rows, strategy="lookup", k=k, hops=min(3, max(1, depth)), g=g)
 
 
 def verify_requests(rows: DataFrame, k: int) -> DataFrame:
@@ -242,10 +251,11 @@ def verify_requests(rows: DataFrame, k: int) -> DataFrame:
         "nlem_category": F.when(has_maker, F.col("nlem_category")),
         "nlem": F.when(has_maker | has_cat, F.col("nlem_filter")),
     }
-    even = dict(v=F.lit(0.33), t=F.lit(0.33), g=F.lit(0.34))
+    own = policy_weights(rows)
+    even = own or dict(v=F.lit(0.33), t=F.lit(0.33), g=F.lit(0.34))
     everything = F.array(*[F.lit(x) for x in LEVELS])
     attempts = [
-        build_requests(rows, strategy="verify", k=n, hops=1),
+        build_requests(rows, strategy="verify", k=n, hops=1, **(own or {})),
         build_requests(rows, strategy="verify", k=n, hops=1, filters=relaxed, **even),
         build_requests(rows, strategy="verify", k=n, hops=1, filters=relaxed, levels=everything, **even)]
     out = None
@@ -262,8 +272,9 @@ def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
     null = F.lit(None)
     termed = rows.join(compare_terms(rows), "query_id")
     named = termed.withColumn("query_id", F.concat("query_id", F.lit("@"), F.col("term_no").cast("string")))
+    weights = policy_weights(rows) or dict(v=F.lit(0.35), t=F.lit(0.30), g=F.lit(0.35))
     return build_requests(named, strategy="compare", k=n, hops=min(2, max(1, depth)), text=F.col("term"), levels=levels,
-                          v=F.lit(0.35), t=F.lit(0.30), g=F.lit(0.35), filters={"manufacturer": null, "tmtid": null})
+                          filters={"manufacturer": null, "tmtid": null}, **weights)
 
 
 def list_fallback_requests(rows: DataFrame, k: int) -> DataFrame:
