@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import lexicon as lx
 from ..functions.matching import contains_join
 from ..functions.ranking import seeded_hash, top_k
-from ..schema import NODE_SCHEMA
+from ..schema import LEVELS, NODE_SCHEMA
 from ..operators.understanding import assemble_intent, build_manufacturer_dim
 from ..session import materialise
 from ..sources.catalogue import Catalogue, store_catalogue
@@ -15,6 +15,7 @@ from ..sources.catalogue import Catalogue, store_catalogue
 _CATALOGUES: dict[tuple[str, str], Catalogue] = {}
 _QUESTIONS: dict[tuple[str, str], DataFrame] = {}
 _STRUCTURED: dict[tuple[str, str], DataFrame] = {}
+_REQUESTS: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,3 +226,55 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored vector for every question: (query_id, embedding)."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return questions(spark, sf_dir).join(vectors, "vec_id").select("query_id", "embedding")
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search requests about sampled nodes, with every kind of filter among them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REQUESTS:
+        node = sampled(catalogue(spark, sf_dir).nodes.drop("embedding_vec"), ["level"], "tmtid", "q", 6)
+        r = F.col("r")
+        levels = (F.when(r == 1, F.array(*[F.lit(lv) for lv in LEVELS])).when(r == 2, F.array(F.lit("TP"), F.lit("TPU")))
+                  .when(r == 3, F.array(F.lit("GP"))))
+        _REQUESTS[key] = materialise(node.select(
+            F.concat(F.lit("r|"), "tmtid").alias("query_id"), F.coalesce("trade_name", "name").alias("text"), levels.alias("levels"),
+            F.when(r == 3, F.lit(True)).alias("f_nlem"), F.when((r == 3) & (F.col("level") == "GPU"), "ก").alias("f_nlem_category"),
+            F.when((r == 4) & F.col("manufacturer").isNotNull(), F.regexp_extract("manufacturer", r"(NATION_\d+)$", 1)).alias("f_manufacturer"),
+            F.when(r == 5, F.col("tmtid")).alias("f_tmtid"), F.array(F.coalesce("generic_name", "name")).alias("seed_terms"),
+            F.lit(0.4).alias("v_weight"), F.lit(0.35).alias("t_weight"), F.lit(0.25).alias("g_weight"),
+            F.when(r % 2 == 0, "lookup").otherwise("retrieve").alias("strategy"), F.lit(10).alias("k"), F.lit(2).alias("hops"),
+            "tmtid").coalesce(1), "search_requests")
+    return _REQUESTS[key]
+
+
+def request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored vector for every search request, picked by md5."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    pick = F.pmod(F.conv(F.substring(F.md5("query_id"), 1, 6), 16, 10).cast("bigint"), F.lit(n))
+    return search_requests(spark, sf_dir).select("query_id", pick.alias("vec_id")).join(vectors, "vec_id").select("query_id", "embedding")
+
+
+def templated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One English question per part, in twelve phrasings."""
+    part = table(spark, sf_dir, "part").withColumn("word", F.split("p_name", " ")[1]).withColumn("adj", F.split("p_name", " ")[0])
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    nation = F.concat(F.lit("NATION_"), (key % 25).cast("string"))
+    letter = F.substring(F.lit("abcde"), (F.col("p_size") % 5 + 1).cast("int"), F.lit(1))
+    phrases = [
+        F.concat(F.lit("what is tmtid "), (key + 1000000).cast("string")), F.concat(F.lit("drug information about "), "p_name"),
+        F.concat(F.lit("list drugs containing "), "word"), F.concat(F.lit("how many drugs containing "), "word", F.lit(" "), size, F.lit(" mg")),
+        F.concat(F.lit("list drugs by manufacturer "), nation), F.concat(F.lit("compare "), "word", F.lit(" vs "), "adj"),
+        F.concat(F.lit("is "), "p_brand", F.lit(" "), "p_name", F.lit(" made by "), nation, F.lit("?")),
+        F.concat(F.lit("show all "), F.lower("p_type"), F.lit(" "), "p_name", F.lit(" in category "), letter),
+        F.concat(F.lit("hello "), "p_name"), F.concat(F.lit("does "), "p_name", F.lit(" "), size, F.lit("mg exist in the nlem list")),
+        F.concat(F.lit("what are the trade names of "), "word", F.lit(" "), size, F.lit(" mg")), F.concat(F.lit("who manufactures "), "p_name")]
+    return part.select(F.concat(F.lit("p|"), key.cast("string")).alias("query_id"),
+                       F.element_at(F.array(*phrases), (key % 12 + 1).cast("int")).alias("question"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The templated questions and every user turn of the conversations."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(
+        F.concat_ws("|", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("question"))
+    return templated(spark, sf_dir).unionByName(turns)
