@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_queries
+from . import catalogue_queries, evaluation_queries, retrieval_queries
 
-QUERIES = {**catalogue_queries.QUERIES}
-ORACLES = {**catalogue_queries.ORACLES}
+_MODULES = (catalogue_queries, retrieval_queries, evaluation_queries)
+QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
