@@ -321,7 +321,7 @@ def fulltext_terms(rows: DataFrame, text: str = "question") -> DataFrame:
                     lambda t: (F.length(t) > 1) & ~F.array_contains(thai_stop, t))
 
     def telling(values: Column) -> Column:
-        return ordered_distinct(F.filter(F.transform(values, F.trim), lambda t: ~F.array_contains(noise, F.lower(t))))
+        return ordered_distinct(F.filter(F.transform(values, lambda t: F.trim(t)), lambda t: ~F.array_contains(noise, F.lower(t))))
 
     loose = F.regexp_extract_all(q, F.lit("(?U)" + lx.LOOSE_TERM), F.lit(0))
     found = rows.withColumn("_doses", doses).withColumn("_terms", telling(F.concat(F.col("_doses"), latin, numbers, thai)))
