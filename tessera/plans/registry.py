@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_queries, evaluation_queries, question_queries, retrieval_queries, tagging_queries
+from . import catalogue_queries, evaluation_queries, question_queries, retrieval_queries, route_queries, tagging_queries
 
-_MODULES = (catalogue_queries, retrieval_queries, evaluation_queries, tagging_queries, question_queries)
+_MODULES = (catalogue_queries, retrieval_queries, evaluation_queries, tagging_queries, question_queries, route_queries)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}
 
