@@ -18,7 +18,7 @@ def squash(col: Column | str) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(col != "", col)
+    return F.nullif(col, F.lit(""))
 
 
 def folded(col: Column | str) -> Column:
@@ -32,11 +32,8 @@ def haystack(columns: Iterable[str]) -> Column:
 
 
 def has_any(col: Column, words: Iterable[str]) -> Column:
-    """True when ``col`` holds any of the words literally."""
-    test = F.lit(False)
-    for word in words:
-        test = test | F.contains(col, F.lit(word))
-    return test
+    """True when ``col`` holds any of the words literally; ``col`` is evaluated once."""
+    return F.rlike(col, F.lit("|".join(rf"\Q{word}\E" for word in words)))
 
 
 def matches_any(col: Column, patterns: Iterable[str]) -> Column:

@@ -14,15 +14,6 @@ from .ranking import top_k
 BLOCK_ROWS = 4096
 
 
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms == 0, 1.0, norms)
-
-
-def _matrix(column) -> np.ndarray:
-    return unit_rows(np.vstack([np.asarray(v, dtype=np.float64) for v in column]))
-
-
 def score_topk(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int,
                vector: str = "embedding", per: str = "right", keep: list[str] | None = None) -> DataFrame:
     """Top ``k`` cosine pairs between a large ``left`` and a ``right`` read block by block.
@@ -33,6 +24,11 @@ def score_topk(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k
     side and trimmed to its own k best before anything is shuffled. Scores are
     rounded to 9 places so that ties fall to the smaller id.
     """
+    def unit_rows(column) -> np.ndarray:  # local, so that it travels to the workers by value
+        matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in column])
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / np.where(norms == 0, 1.0, norms)
+
     spark = left.sparkSession
     left = left.where(F.col(vector).isNotNull())
     right = right.where(F.col(vector).isNotNull())
@@ -48,7 +44,7 @@ def score_topk(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k
         rows = chunk.select(right_id, vector).toPandas().sort_values(right_id)  # bounded by BLOCK_ROWS on average
         if rows.empty:
             continue
-        shared = spark.sparkContext.broadcast((rows[right_id].to_numpy(), _matrix(rows[vector])))
+        shared = spark.sparkContext.broadcast((rows[right_id].to_numpy(), unit_rows(rows[vector])))
 
         def trim(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
@@ -56,7 +52,7 @@ def score_topk(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k
                 if batch.empty:
                     continue
                 batch = batch.sort_values(left_id)
-                scores = np.round(_matrix(batch[vector]) @ matrix.T, 9)
+                scores = np.round(unit_rows(batch[vector]) @ matrix.T, 9)
                 if per == "right":
                     take = min(k, scores.shape[0])
                     order = np.argsort(-scores, axis=0, kind="stable")[:take]

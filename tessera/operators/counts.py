@@ -55,12 +55,16 @@ def substance_members(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
 
 
 def count_substance_tree(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct members per level of each asked substance; ``total`` counts generic products."""
-    counts = substance_members(asked, nodes, edges).groupBy("query_id").agg(*[
+    """Distinct members per level of each asked substance; ``total`` counts generic products.
+
+    A substance many questions ask about is counted once.
+    """
+    distinct = asked.select(F.col("substance").alias("query_id"), "substance").distinct()
+    counts = substance_members(distinct, nodes, edges).groupBy(F.col("query_id").alias("substance")).agg(*[
         F.count_if(F.col("level") == lv).alias(f"{lv.lower()}_count") for lv in LEVELS])
     filled = [F.coalesce(f"{lv.lower()}_count", F.lit(0)).alias(f"{lv.lower()}_count") for lv in LEVELS]
     return (
-        asked.select("query_id").distinct().join(counts, "query_id", "left")
+        asked.select("query_id", "substance").distinct().join(counts, "substance", "left")
         .select("query_id", *filled, F.coalesce("gp_count", F.lit(0)).alias("total")))
 
 

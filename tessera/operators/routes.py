@@ -119,29 +119,50 @@ def list_by_manufacturer(asked: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     return _staged(_named(exact, k, "trade_name", "fsn", "name"), near.select("query_id", "node_id", "rank"))
 
 
+LIST_HINTS = ("list_substance", "list_strength", "list_maker", "wants_trade", "wants_makers")
+
+
 def list_hints(structured: DataFrame) -> DataFrame:
     """Add what a list question names: substance, strength, manufacturer, and what it wants back."""
+    if set(LIST_HINTS) <= set(structured.columns):
+        return structured
     q = F.col("question")
-    rows = structured.withColumn("_d", slot_values("drug")).withColumn("_s", slot_values("strength"))
-    substance = F.coalesce(F.when(F.size("_d") > 0, join_doses(F.try_element_at("_d", F.lit(1))))
-                           .otherwise(join_doses(first_tail(q, lx.SUBSTANCE_TAIL))), F.lit(""))
-    maker = F.coalesce(blank_to_null(join_doses(F.col("manufacturer_filter"))),
-                       join_doses(first_tail(q, lx.MANUFACTURER_TAIL)), F.lit(""))
-    dose = F.coalesce(blank_to_null(join_doses(F.try_element_at("_s", F.lit(1)))), blank_to_null(first_dose(q)),
-                      first_dose(substance))
-    bare = F.coalesce(blank_to_null(drop_doses(substance)), substance)
-    wants_trade = (F.col("target_type") == "formula") | is_trade_name_request(q)
-    rows = rows.withColumn("manufacturer", maker).withColumn("strength", dose).withColumn("wants_trade", wants_trade)
-    rows = rows.withColumn("wants_makers", is_manufacturer_request(q) & (F.col("manufacturer") == ""))
-    return rows.withColumn("substance", F.when(
-        (bare == "") & (F.col("wants_trade") | F.col("wants_makers")), join_doses(F.col("query"))).otherwise(bare)).drop("_d", "_s")
+    rows = structured.withColumns({
+        "_drugs": slot_values("drug"), "_doses": slot_values("strength"),
+        "_tail": F.coalesce(join_doses(first_tail(q, lx.SUBSTANCE_TAIL)), F.lit("")),
+        "list_maker": F.coalesce(blank_to_null(join_doses(F.col("manufacturer_filter"))), join_doses(first_tail(q, lx.MANUFACTURER_TAIL)), F.lit("")),
+        "wants_trade": (F.col("target_type") == "formula") | is_trade_name_request(q)})
+    rows = rows.withColumn("_sub", F.when(F.size("_drugs") > 0, join_doses(F.try_element_at("_drugs", F.lit(1)))).otherwise(F.col("_tail")))
+    rows = rows.withColumns({
+        "list_strength": F.coalesce(blank_to_null(join_doses(F.try_element_at("_doses", F.lit(1)))), blank_to_null(first_dose(q)), first_dose(F.col("_sub"))),
+        "wants_makers": is_manufacturer_request(q) & (F.col("list_maker") == ""), "_bare": drop_doses(F.col("_sub"))})
+    rows = rows.withColumn("_bare", F.coalesce(blank_to_null(F.col("_bare")), F.col("_sub")))
+    return rows.withColumn("list_substance", F.when(
+        (F.col("_bare") == "") & (F.col("wants_trade") | F.col("wants_makers")), join_doses(F.col("query"))).otherwise(F.col("_bare"))
+    ).drop("_drugs", "_doses", "_tail", "_sub", "_bare")
+
+
+def prepare(structured: DataFrame) -> DataFrame:
+    """Route every question and work out, once and stored, all that its route may ask for."""
+    rows = search_profile(anchor_hints(list_hints(route_operator(structured))))
+    return materialise(rows.withColumn("own_terms", own_terms()), "routed")
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    return rows if "own_terms" in rows.columns else prepare(rows)
+
+
+def own_terms() -> Column:
+    """The question's own words to start a graph walk from."""
+    return F.concat(slot_values("drug"), slot_values("brand"), slot_values("manufacturer"), slot_values("query"), F.col("must_match"))
 
 
 def list_deterministic(structured: DataFrame, cat: Catalogue, k: int, eval_mode: bool = False) -> DataFrame:
     """(query_id, node_id, rank, mode) from the first list route that finds anything."""
     k = min(max(k, 1000), EVAL_LIST_CAP) if eval_mode and k >= LIST_CAP else min(max(1, k), LIST_CAP)
-    asked = materialise(list_hints(structured).select(
-        "query_id", "substance", "strength", "manufacturer", "wants_trade", "wants_makers"), "list_hints")
+    asked = list_hints(structured).select(
+        "query_id", F.col("list_substance").alias("substance"), F.col("list_strength").alias("strength"),
+        F.col("list_maker").alias("manufacturer"), "wants_trade", "wants_makers")
     named = asked.select("query_id", "substance", "strength", "wants_trade", "wants_makers").where("substance <> ''")
     terms = named.select("query_id", "substance", "strength")
     stages = [
@@ -160,9 +181,9 @@ def lookup_anchor(hints: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     ``hints`` is what ``understanding.anchor_hints`` adds.
     """
     k = max(10, k)
-    asked = materialise(hints.select(
+    asked = hints.select(
         "query_id", F.col("hint_substance").alias("substance"), F.col("hint_dose").alias("strength"),
-        F.lower("hint_maker").alias("maker"), "wants_trade_name", "wants_maker"), "anchor_hints")
+        F.lower("hint_maker").alias("maker"), "wants_trade_name", "wants_maker")
     tp = text_matches(asked, cat.nodes, "TP", TP_TEXT).where(
         (F.col("maker") == "") | F.contains(folded("manufacturer"), F.col("maker")))
     gp = text_matches(asked, cat.nodes, "GP", GP_TEXT)
@@ -208,12 +229,12 @@ def build_requests(rows: DataFrame, *, strategy: str, k: int, hops: int, text: C
     """Search requests from structured questions; overrides replace the question's own plan."""
     filters = filters or {}
     text = F.col("query") if text is None else text
-    own = F.concat(slot_values("drug"), slot_values("brand"), slot_values("manufacturer"), slot_values("query"), F.col("must_match"))
+    rows = prepared(rows)
     weights = channel_weights(
         F.lit(strategy), F.col("target_type"), F.col("vector_weight") if v is None else v,
         F.col("fulltext_weight") if t is None else t, F.lit(None).cast("double") if g is None else g)
     return (
-        search_profile(rows).withColumn("_w", weights)
+        rows.withColumn("_w", weights)
         .select(
             "query_id", text.alias("text"),
             (F.array(*[F.lit(x) for x in LEVELS]) if strategy == "lookup" else F.col("allowed_levels")
@@ -222,7 +243,7 @@ def build_requests(rows: DataFrame, *, strategy: str, k: int, hops: int, text: C
             filters.get("nlem_category", F.col("nlem_category")).cast("string").alias("f_nlem_category"),
             filters.get("manufacturer", F.col("manufacturer_filter")).cast("string").alias("f_manufacturer"),
             filters.get("tmtid", F.col("id_lookup")).cast("string").alias("f_tmtid"),
-            own.alias("seed_terms"), F.col("_w.v_weight").alias("v_weight"), F.col("_w.t_weight").alias("t_weight"),
+            F.col("own_terms").alias("seed_terms"), F.col("_w.v_weight").alias("v_weight"), F.col("_w.t_weight").alias("t_weight"),
             F.col("_w.g_weight").alias("g_weight"), F.lit(strategy).alias("strategy"), F.lit(k).alias("k"),
             F.lit(hops).alias("hops")))
 
@@ -243,6 +264,7 @@ def lookup_requests(rows: DataFrame, k: int, depth: int, graph_weight: float | N
 
 def verify_requests(rows: DataFrame, k: int) -> DataFrame:
     """Three attempts per question, as ``query_id@n``: strict, one filter less, all levels."""
+    rows = prepared(rows)
     n = max(8, min(k, 20))
     null = F.lit(None)
     has_maker, has_cat = F.col("manufacturer_filter").isNotNull(), F.col("nlem_category").isNotNull()
@@ -267,6 +289,7 @@ def verify_requests(rows: DataFrame, k: int) -> DataFrame:
 
 def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
     """One request per compared term, as ``query_id@n``."""
+    rows = prepared(rows)
     n = max(8, min(k, 20))
     levels = F.array(*[F.lit(x) for x in dict((t, lv) for t, lv, _, _ in lx.SEARCH_PROFILES)["substance"]])
     null = F.lit(None)
@@ -280,13 +303,13 @@ def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
 def list_fallback_requests(rows: DataFrame, k: int) -> DataFrame:
     """Hybrid search for list questions no deterministic route answered."""
     k = min(max(1, k), LIST_CAP)
-    hinted = list_hints(rows.drop("manufacturer", "strength", "substance"))
+    hinted = prepared(rows)
     null = F.lit(None)
     by_maker = build_requests(
-        hinted.where("manufacturer <> ''"), strategy="list", k=min(k, 80), hops=1, text=F.col("manufacturer"),
+        hinted.where("list_maker <> ''"), strategy="list", k=min(k, 80), hops=1, text=F.col("list_maker"),
         levels=F.array(F.lit("TP")), g=F.lit(0.45),
-        filters={"manufacturer": F.col("manufacturer"), "nlem": null, "nlem_category": null, "tmtid": null})
-    plain = build_requests(hinted.where("manufacturer = ''"), strategy="list", k=min(k, 60), hops=1, g=F.lit(0.45))
+        filters={"manufacturer": F.col("list_maker"), "nlem": null, "nlem_category": null, "tmtid": null})
+    plain = build_requests(hinted.where("list_maker = ''"), strategy="list", k=min(k, 60), hops=1, g=F.lit(0.45))
     return by_maker.unionByName(plain)
 
 
@@ -348,14 +371,14 @@ def merge_lookup_fallback(primary: DataFrame, fallback: DataFrame, k: int) -> Da
 
 def _lookup_results(rows: DataFrame, found: DataFrame, cat: Catalogue, k: int) -> Results:
     primary = found.select(*SEED_COLUMNS)
-    hints = materialise(anchor_hints(rows), "lookup_hints")
+    hints = prepared(rows)
     confidence = lookup_confidence(primary, rows, k)
     tried = materialise(hints.join(confidence, "query_id").withColumn(
         "attempted", F.col("low_confidence") | F.col("has_anchor")), "lookup_tried")
     weak = tried.where("attempted")
     k2 = min(max(2 * k, 25), 50)
     anchors = lookup_anchor(weak.where("hint_substance <> '' or hint_maker <> ''"), cat, k2)
-    lists = list_deterministic(weak.drop("strength", "form"), cat, k2)
+    lists = list_deterministic(weak, cat, k2)
     both = materialise(_staged(anchors, lists.select(*anchors.columns)), "lookup_fallback")
     used = both.groupBy("query_id").agg(F.first("mode").alias("mode"))
     merged = merge_lookup_fallback(primary, both, k)
@@ -368,6 +391,7 @@ def _lookup_results(rows: DataFrame, found: DataFrame, cat: Catalogue, k: int) -
 def lookup_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int, depth: int,
                  graph_weight: float | None = 0.35) -> Results:
     """Hybrid search, then anchored matches where it looks weak or the question asks for names or makers."""
+    rows = prepared(rows)
     found = materialise(search_general(lookup_requests(rows, k, depth, graph_weight), cat, vectors), "lookup_found")
     return _lookup_results(rows, found, cat, k)
 
@@ -424,7 +448,8 @@ def compare_detail(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def list_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int = 100, eval_mode: bool = False) -> Results:
     """Deterministic lists first, hybrid search for the rest."""
-    listed = materialise(list_deterministic(rows.drop("strength", "form"), cat, k, eval_mode), "listed")
+    rows = prepared(rows)
+    listed = materialise(list_deterministic(rows, cat, k, eval_mode), "listed")
     rest = rows.join(listed.select("query_id").distinct(), "query_id", "left_anti")
     found = search_general(list_fallback_requests(rest, k), cat, vectors)
     return _list_results(rows, listed, found)
@@ -432,14 +457,14 @@ def list_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: in
 
 def _list_results(rows: DataFrame, listed: DataFrame, found: DataFrame) -> Results:
     seeds = _flat_seeds(listed, F.lit(None)).unionByName(found.select(*SEED_COLUMNS))
-    hinted = list_hints(rows.drop("strength", "form"))
-    modes = hinted.select("query_id", "manufacturer").join(listed.select("query_id", "mode").distinct(), "query_id", "left")
-    mode = F.coalesce("mode", F.when(F.col("manufacturer") != "", "manufacturer_graph_hybrid_fallback").otherwise("graph_hybrid_fallback"))
+    modes = rows.select("query_id", "list_maker").join(listed.select("query_id", "mode").distinct(), "query_id", "left")
+    mode = F.coalesce("mode", F.when(F.col("list_maker") != "", "manufacturer_graph_hybrid_fallback").otherwise("graph_hybrid_fallback"))
     return Results(seeds, _route(modes, "list", mode, F.col("mode").isNull()))
 
 
 def id_lookup(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None) -> Results:
     """The node of the asked id, else hybrid search."""
+    rows = prepared(rows)
     exact = materialise(id_matches(rows, cat), "id_matches")
     rest = rows.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     found = search_general(id_fallback_requests(rest), cat, vectors)
@@ -462,11 +487,11 @@ def count_inputs(rows: DataFrame) -> DataFrame:
 def search_batch(structured: DataFrame, cat: Catalogue, vectors: DataFrame | None = None, k: int = 10, depth: int = 2,
                  score=overlap_score, with_context: bool = True) -> Results:
     """Route every question, search all hybrid requests in one pass, rerank lookups, cap, and expand."""
-    rows = materialise(route_operator(structured), "routed")
+    rows = prepare(structured)
     part = {op: rows.where(F.col("operator") == op)
             for op in ("id_lookup", "verify", "analyze_count", "analyze_compare", "list", "lookup")}
     exact = materialise(id_matches(part["id_lookup"], cat), "id_matches")
-    listed = materialise(list_deterministic(part["list"].drop("strength", "form"), cat, 50), "listed")
+    listed = materialise(list_deterministic(part["list"], cat, 50), "listed")
     id_rest = part["id_lookup"].join(exact.select("query_id").distinct(), "query_id", "left_anti")
     list_rest = part["list"].join(listed.select("query_id").distinct(), "query_id", "left_anti")
     requests = materialise(

@@ -115,40 +115,38 @@ def match_manufacturer(questions: DataFrame, dim: DataFrame, text: str = "questi
 
 # ---------------------------------------------------------------- search term
 def is_query_like(text: Column) -> Column:
-    low = F.lower(squash(text))
-    return (low == "") | has_any(low, lx.QUERY_LIKE_PARTS)
+    return F.rlike(F.lower(squash(text)), F.lit("^$|" + "|".join(rf"\Q{p}\E" for p in lx.QUERY_LIKE_PARTS)))
 
 
-def _usable(candidate: Column) -> Column:
-    return F.when((candidate != "") & ~is_query_like(candidate), candidate)
+def _usable(name: str) -> Column:
+    return F.when(~is_query_like(F.col(name)), F.col(name))
 
 
 def build_search_term(questions: DataFrame) -> DataFrame:
-    """Add ``query``; needs question, id_lookup, manufacturer_filter and the slot arrays brands, drugs."""
-    text = squash("question")
-    slots = F.filter(F.transform(F.concat("brands", "drugs"), clean_tail), lambda c: (c != "") & ~is_query_like(c))
-    tails = [_usable(first_tail(text, group)) for group in (lx.LOOKUP_PREFIX, lx.SUBSTANCE_TAIL, lx.MANUFACTURER_TAIL)]
-    after_word = _usable(clean_tail(F.regexp_extract(text, lx.rx(lx.DRUG_AFTER_WORD), 1)))
-    dosed = [F.regexp_extract(text, lx.rx(lx.DRUG_WITH_DOSE), i) for i in (1, 2, 3)]
-    with_dose = F.when(dosed[0] != "", _usable(clean_tail(F.concat_ws(" ", *dosed))))
+    """Add ``query``; needs question, id_lookup, manufacturer_filter and the slot arrays brands, drugs.
 
+    Candidates are columns of their own, so each is worked out once.
+    """
+    text = F.col("_text")
+    slots = F.filter(F.transform(F.concat("brands", "drugs"), clean_tail), lambda c: ~is_query_like(c))
+    rows = questions.withColumn("_text", squash("question")).withColumn("_slot", F.try_element_at(slots, F.lit(1)))
+    candidates = {f"_tail{i}": first_tail(text, group) for i, group in enumerate((lx.LOOKUP_PREFIX, lx.SUBSTANCE_TAIL, lx.MANUFACTURER_TAIL))}
+    candidates["_after"] = clean_tail(F.regexp_extract(text, lx.rx(lx.DRUG_AFTER_WORD), 1))
+    candidates["_dosed"] = clean_tail(F.concat_ws(" ", *[F.regexp_extract(text, lx.rx(lx.DRUG_WITH_DOSE), i) for i in (1, 2, 3)]))
     maker_words = tokens(F.lower(F.coalesce("manufacturer_filter", F.lit(""))))
     stop = F.array(*[F.lit(w) for w in lx.EN_STOPWORDS + lx.THAI_QUERY_NOISE])
-    kept = F.filter(tokens(text), lambda t: (
-        ~F.array_contains(stop, F.lower(t)) & ~F.array_contains(maker_words, F.lower(t))
-        & ((F.length(t) >= 3) | has_digit(t))))
-    with_kept = questions.withColumn("_kept", kept).withColumn(
-        "_at", F.array_min(F.filter(
-            F.transform("_kept", lambda t, i: F.when(F.rlike(t, F.lit(r"^[A-Za-z][A-Za-z0-9\-]{2,}$")), i)),
-            lambda i: i.isNotNull())))
+    rows = rows.withColumns(candidates).withColumn("_makers", maker_words)
+    rows = rows.withColumn("_kept", F.filter(tokens(text), lambda t: (
+        ~F.array_contains(stop, F.lower(t)) & ~F.array_contains("_makers", F.lower(t)) & ((F.length(t) >= 3) | has_digit(t)))))
+    rows = rows.withColumn("_at", F.array_min(F.filter(
+        F.transform("_kept", lambda t, i: F.when(F.rlike(t, F.lit(r"^[A-Za-z][A-Za-z0-9\-]{2,}$")), i)), lambda i: i.isNotNull())))
     word, amount, unit = (F.try_element_at("_kept", F.col("_at") + i) for i in (1, 2, 3))
     amount_ok = F.coalesce(F.rlike(amount, F.lit(r"(?U)^\d+(?:\.\d+)?$")), F.lit(False))
     unit_ok = amount_ok & F.coalesce(F.rlike(unit, F.lit(lx.rx(rf"^(?:{lx.DOSE_UNIT_ALT})$"))), F.lit(False))
     latin = F.when(unit_ok, F.concat_ws(" ", word, amount, unit)).when(amount_ok, F.concat_ws(" ", word, amount)).otherwise(word)
     leading = F.when(F.size("_kept") > 0, F.concat_ws(" ", F.slice("_kept", 1, 8)))
-    return with_kept.withColumn("query", F.coalesce(
-        "id_lookup", F.try_element_at(slots, F.lit(1)), *tails, after_word, with_dose,
-        F.when(F.col("_at").isNotNull(), latin), leading, text)).drop("_kept", "_at")
+    query = F.coalesce("id_lookup", "_slot", *[_usable(c) for c in candidates], F.when(F.col("_at").isNotNull(), latin), leading, text)
+    return rows.withColumn("query", query).drop("_text", "_slot", *candidates, "_makers", "_kept", "_at")
 
 
 # ---------------------------------------------------------------- entity profile and weights
@@ -382,22 +380,21 @@ def is_trade_name_request(question: Column) -> Column:
 
 def anchor_hints(structured: DataFrame) -> DataFrame:
     """Add substance, maker, dose hints and the request flags used by the anchored lookup."""
-    question = F.col("question")
-    tail = join_doses(first_tail(question, lx.LOOKUP_SUBSTANCE_TAIL))
-    maker_tail = join_doses(first_tail(question, lx.MANUFACTURER_TAIL))
-    rows = structured.withColumn("_d", slot_values("drug")).withColumn("_b", slot_values("brand")) \
-        .withColumn("_m", slot_values("manufacturer")).withColumn("_s", slot_values("strength"))
-    first = F.try_element_at(F.concat("_d", "_b"), F.lit(1))
-    substance = F.coalesce(blank_to_null(join_doses(first)), blank_to_null(tail), join_doses(F.col("query")))
-    substance = join_doses(drop_doses(F.regexp_replace(substance, lx.rx(lx.REQUEST_PREFIX), "")))
-    maker = F.coalesce(blank_to_null(join_doses(F.col("manufacturer_filter"))),
-                       blank_to_null(join_doses(F.try_element_at("_m", F.lit(1)))), blank_to_null(maker_tail), F.lit(""))
-    dose = F.coalesce(blank_to_null(join_doses(F.try_element_at("_s", F.lit(1)))), first_dose(question))
-    trade, factory = is_trade_name_request(question), is_manufacturer_request(question)
-    anchored = (
-        (F.size("_d") > 0) | (F.size("_b") > 0) | F.col("manufacturer_filter").isNotNull()
-        | blank_to_null(tail).isNotNull() | blank_to_null(maker_tail).isNotNull())
+    q = F.col("question")
+    rows = structured.withColumns({
+        "_named": join_doses(F.try_element_at(F.concat(slot_values("drug"), slot_values("brand")), F.lit(1))),
+        "_makers": slot_values("manufacturer"), "_doses": slot_values("strength"),
+        "_tail": F.coalesce(join_doses(first_tail(q, lx.LOOKUP_SUBSTANCE_TAIL)), F.lit("")),
+        "_maker_tail": F.coalesce(join_doses(first_tail(q, lx.MANUFACTURER_TAIL)), F.lit("")),
+        "_query": join_doses(F.col("query")), "wants_trade_name": is_trade_name_request(q), "wants_maker": is_manufacturer_request(q)})
+    rows = rows.withColumn("_sub", F.coalesce(blank_to_null(F.col("_named")), blank_to_null(F.col("_tail")), F.col("_query")))
+    anchored = (F.coalesce(F.col("_named") != "", F.lit(False)) | F.col("manufacturer_filter").isNotNull()
+                | (F.col("_tail") != "") | (F.col("_maker_tail") != ""))
     return (
-        rows.withColumn("hint_substance", substance).withColumn("hint_maker", maker).withColumn("hint_dose", dose)
-        .withColumn("wants_trade_name", trade).withColumn("wants_maker", factory)
-        .withColumn("has_anchor", anchored & (trade | factory)).drop("_d", "_b", "_m", "_s"))
+        rows.withColumn("_bare", drop_doses(F.regexp_replace("_sub", lx.rx(lx.REQUEST_PREFIX), "")))
+        .withColumn("hint_substance", join_doses(F.col("_bare")))
+        .withColumn("hint_maker", F.coalesce(
+            blank_to_null(join_doses(F.col("manufacturer_filter"))), blank_to_null(join_doses(F.try_element_at("_makers", F.lit(1)))), F.col("_maker_tail")))
+        .withColumn("hint_dose", F.coalesce(blank_to_null(join_doses(F.try_element_at("_doses", F.lit(1)))), first_dose(q)))
+        .withColumn("has_anchor", anchored & (F.col("wants_trade_name") | F.col("wants_maker")))
+        .drop("_named", "_makers", "_doses", "_tail", "_maker_tail", "_query", "_sub", "_bare"))
