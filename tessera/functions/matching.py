@@ -38,10 +38,12 @@ def gram_join(terms: DataFrame, texts: DataFrame, term: str = "term", text: str
             F.sequence(F.lit(1), F.length(term) - size + 1), lambda i: F.substring(F.col(term), i, size)))).alias("gram"))
     lengths = [r[0] for r in terms.select(size.alias("n")).distinct().collect()]  # at most three values
 
+    def cells(column: str, n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))),
+                           lambda i: F.substring(F.col(column), i, F.lit(n)))
+
     def grams(column: str):
-        cells = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))),
-                             lambda i, n=n: F.substring(F.col(column), i, F.lit(n))) for n in lengths]
-        return F.explode(F.array_distinct(F.concat(*cells)))
+        return F.explode(F.array_distinct(F.concat(*[cells(column, n) for n in lengths])))
 
     text_grams = materialise(
         texts.select(key, grams(text).alias("gram"))

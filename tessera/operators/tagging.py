@@ -312,7 +312,5 @@ def tag_accuracy(pairs: DataFrame) -> DataFrame:
 
 def drop_ignored(labels: DataFrame, labels_col: str, *tag_cols: str) -> DataFrame:
     """Leave out the positions whose label is -100 from the given arrays."""
-    out = labels
-    for c in tag_cols:
-        out = out.withColumn(c, F.filter(c, lambda x, i, c=c: F.try_element_at(labels_col, i + 1) != IGNORED))
-    return out
+    return labels.withColumns({
+        c: F.filter(c, lambda x, i: F.try_element_at(labels_col, i + 1) != IGNORED) for c in tag_cols})
