@@ -103,22 +103,44 @@ def fulltext_topk(texts: DataFrame, cat: Catalogue, k: int) -> DataFrame:
         F.trim("term").alias("token"), "node_id",
         ((F.length(wide) - F.length(F.replace(wide, phrase, F.lit("")))) / F.length(phrase)).cast("int").alias("tf"),
         "doc_len")
-    postings = cat.postings.join(words, "token").select("token", "node_id", "tf", "doc_len").unionByName(in_doc)
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(cat.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = materialise(
-        terms.withColumnRenamed("term", "token").join(frequency, "token").select("text", "token", idf.alias("idf")),
-        "term_weights")
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.lit(cat.mean_len or 1.0))
-    part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
-    # Placing the postings by node first lets the sum run without a second
-    # shuffle, so a common token never ships one row per node and question.
+    gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
+    postings = cat.postings.join(words, "token").select("token", "node_id", "tf", "doc_len").unionByName(in_doc)
+    weighted = materialise(_term_weights(terms.withColumnRenamed("term", "token"), postings, gain, cat.n_docs, k), "term_weights")
+    leading = weighted.where("leading").select("token", "text")
+    asked = materialise(weighted.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("asked")), "text_weights")
+    # One row per document, so a word found everywhere costs a row per document and not one per question too.
+    documents = postings.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("token", gain.alias("g")))).alias("gains"))
+    score = F.round(F.aggregate("asked", F.lit(0.0), lambda acc, t: acc + t["idf"] * F.coalesce(
+        F.try_element_at("gains", t["token"]), F.lit(0.0))), 9)
     scored = (
-        postings.repartition("node_id").join(weighted, "token")
-        .groupBy("node_id", "text").agg(F.round(F.sum(part), 9).alias("score")))
+        documents.withColumn("token", F.explode(F.map_keys("gains"))).join(leading, "token").join(asked, "text")
+        .groupBy("node_id", "text").agg(F.max(score).alias("score")))
     return top_k(scored, ["text"], [F.desc("score"), F.col("node_id")], k)
 
 
+def _term_weights(terms: DataFrame, postings: DataFrame, gain: Column, n_docs: int, k: int) -> DataFrame:
+    """(text, token, idf, leading): a token is leading when a document without any such token cannot reach the top k.
+
+    Per token, the counts of (tf, doc_len) give its document frequency, its
+    largest gain and its k-th largest. The best k-th part score of a text is a
+    floor under its k-th result; the weakest tokens whose largest scores add up
+    to less can only raise documents that a leading token has found. So results
+    stay exact while the commonest words stop choosing candidates.
+    """
+    shapes = postings.groupBy("token", "tf", "doc_len").agg(F.count(F.lit(1)).alias("n")).withColumn("gain", gain)
+    best_first = Window.partitionBy("token").orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, 0)
+    facts = shapes.withColumn("run", F.sum("n").over(best_first)).groupBy("token").agg(
+        F.sum("n").alias("df"), F.max("gain").alias("most"), F.max(F.when(F.col("run") >= k, F.col("gain"))).alias("kth"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rows = terms.join(facts, "token").withColumn("idf", idf)
+    rows = rows.withColumn("most", F.col("idf") * F.col("most"))
+    text = Window.partitionBy("text")  # a few tokens per text
+    weakest_first = text.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    floor = F.max(F.coalesce(F.col("idf") * F.col("kth"), F.lit(0.0))).over(text)
+    return rows.withColumn("leading", F.sum("most").over(weakest_first) >= floor - 1e-6).select("text", "token", "idf", "leading")
+
+
 def fulltext_channel(requests: DataFrame, hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """The text hits of each request that pass its filters, ranked again from 0."""
     asked = requests.select("query_id", F.col("text"), channel_k(F.col("k")).alias("n"), *REQUEST_FILTERS)
