@@ -18,7 +18,7 @@ from ..functions.text import folded, haystack, ordered_distinct, squash
 from ..functions.vectors import score_topk
 from ..schema import ANCHOR_LEVEL_ORDER, CONTAINS_COLUMNS, NO_RANK
 from ..session import materialise
-from ..sources.catalogue import Catalogue, fetch_nodes, links
+from ..sources.catalogue import Catalogue, fetch_nodes
 from .filters import REQUEST_FILTERS, passes_filters
 from .understanding import fulltext_terms
 
@@ -419,8 +419,7 @@ def expand_context(seeds: DataFrame, cat: Catalogue, depth: int = 2, cap: int =
     if "depth" not in seeds.columns:
         seeds = seeds.withColumn("depth", F.lit(depth))
     seeds = materialise(seeds.select("query_id", "node_id", "rank", "depth"), "expand_seeds")
-    near = links(cat.edges)
-    degree = near.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+    near = cat.links.select("node_id", "edge_id", "other_id")
     frontier = seeds.select("node_id").distinct()
     mine = near.join(frontier, "node_id")
     first = top_k(mine, ["node_id"], [F.col("edge_id")], cap, "_r").drop("_r")
@@ -431,7 +430,10 @@ def expand_context(seeds: DataFrame, cat: Catalogue, depth: int = 2, cap: int =
     if depth >= 2:
         # The links that lead on: those whose far end has another edge.
         deep = seeds.where("depth >= 2").select("node_id").distinct()
-        onward = top_k(near.join(deep, "node_id").join(degree.withColumnRenamed("node_id", "other_id"), "other_id").where("degree > 1"),
+        leaving = near.join(deep, "node_id")
+        degree = cat.neighbours.join(leaving.select(F.col("other_id").alias("node_id")).distinct(), "node_id").groupBy("node_id").agg(
+            F.sum("n").alias("degree"))
+        onward = top_k(leaving.join(degree.withColumnRenamed("node_id", "other_id"), "other_id").where("degree > 1"),
                        ["node_id"], [F.col("edge_id")], cap, "_r").select(
             "node_id", F.col("edge_id").alias("e1"), F.col("other_id").alias("n1"))
         onward = materialise(onward, "onward")

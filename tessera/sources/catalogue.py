@@ -67,9 +67,9 @@ def links(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
+def neighbours(both_ways: DataFrame) -> DataFrame:
     """(node_id, other_id, n): how many edges join two nodes, seen from either end."""
-    return links(edges).groupBy("node_id", "other_id").agg(F.count(F.lit(1)).alias("n"))
+    return both_ways.groupBy("node_id", "other_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -80,6 +80,7 @@ class Catalogue:
     edges: DataFrame
     documents: DataFrame
     postings: DataFrame
+    links: DataFrame
     neighbours: DataFrame
     n_docs: int
     mean_len: float
@@ -90,7 +91,7 @@ class Catalogue:
 
 
 def store_catalogue(nodes: DataFrame, edges: DataFrame) -> Catalogue:
-    """Write nodes by level, edges by type, the text index sorted by token and the neighbour counts."""
+    """Write nodes by level, edges by type, the text index sorted by token, the links sorted by node, the neighbour counts."""
     spark = nodes.sparkSession
     node_path, edge_path = stage_path(spark, "nodes"), stage_path(spark, "edges")
     nodes.write.partitionBy("level").parquet(node_path)
@@ -100,6 +101,7 @@ def store_catalogue(nodes: DataFrame, edges: DataFrame) -> Catalogue:
     # Sorted by token, so that row-group statistics skip tokens no question asks for.
     postings = materialise(index_postings(nodes).repartitionByRange("token", "node_id").sortWithinPartitions("token"),
                            "postings")
-    adjacency = materialise(neighbours(edges), "neighbours")
+    both_ways = materialise(links(edges).repartitionByRange("node_id").sortWithinPartitions("node_id", "edge_id"), "links")
+    adjacency = materialise(neighbours(both_ways), "neighbours")
     n_docs, total = documents.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-    return Catalogue(nodes, edges, documents, postings, adjacency, n_docs, (total / n_docs) if n_docs else 0.0)
+    return Catalogue(nodes, edges, documents, postings, both_ways, adjacency, n_docs, (total / n_docs) if n_docs else 0.0)

@@ -41,7 +41,7 @@ def test_walk_counts_equal_enumerated_trails(spark, seed):
     edges = random_edges(seed)
     df = spark.createDataFrame(edges, "edge_id string, src_id string, dst_id string, type string")
     anchors = spark.createDataFrame([("q", "n0"), ("q", "n3"), ("p", "n0")], "query_id string, node_id string")
-    got = {(r["anchor"], r["node_id"], r["hop"]): r["paths"] for r in rv.walk_counts(anchors, neighbours(df), 3).collect()}
+    got = {(r["anchor"], r["node_id"], r["hop"]): r["paths"] for r in rv.walk_counts(anchors, neighbours(links(df)), 3).collect()}
     want = {(s, n, h): c for s in ("n0", "n3") for (n, h), c in trails(edges, s, 3).items()}
     assert got == want
 
@@ -51,7 +51,7 @@ def small_catalogue(spark, edges):
     nodes = spark.createDataFrame(
         [tuple({"node_id": i, "tmtid": i, "level": "GP", "name": f"name {i}"}.get(f.name) for f in NODE_SCHEMA.fields) for i in ids], NODE_SCHEMA)
     df = spark.createDataFrame(edges, "edge_id string, src_id string, dst_id string, type string")
-    return Catalogue(nodes, df, index_documents(nodes), index_postings(nodes), neighbours(df), len(ids), 2.0)
+    return Catalogue(nodes, df, index_documents(nodes), index_postings(nodes), links(df), neighbours(links(df)), len(ids), 2.0)
 
 
 @pytest.mark.parametrize("cap", [5, 80])
