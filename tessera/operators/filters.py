@@ -10,7 +10,7 @@ from ..functions import lexicon as lx
 from ..functions.matching import contains_join
 from ..functions.ranking import top_k
 from ..functions.text import folded, haystack, matches_any
-from ..schema import CONTAINS_COLUMNS
+from ..schema import CONTAINS_COLUMNS, LEVELS
 
 # A request carries its filters in these columns; a null one lets every node pass.
 REQUEST_FILTERS = ("levels", "f_nlem", "f_nlem_category", "f_manufacturer", "f_tmtid")
@@ -46,18 +46,13 @@ def filter_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
         nodes.withColumn("maker", folded("manufacturer")).join(matched, "maker")
         .join(by_maker, F.col("term") == F.lower("f_manufacturer")).drop("maker", "term"),
         nodes.join(
-            by_level.withColumn("lv", F.explode(F.coalesce("levels", F.array(*[F.lit(v) for v in _all_levels()])))),
+            by_level.withColumn("lv", F.explode(F.coalesce("levels", F.array(*[F.lit(v) for v in LEVELS])))),
             F.col("level") == F.col("lv")).drop("lv"),
     ]
     kept = [w.where(passes_filters()).select("query_id", *nodes.columns) for w in ways]
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
-def _all_levels() -> Sequence[str]:
-    from ..schema import LEVELS
-    return LEVELS
-
-
 def profiles(spark) -> DataFrame:
     """target_type -> allowed levels, kept fields, most entities."""
     rows = [(t, list(levels), list(fields), cap) for t, levels, fields, cap in lx.SEARCH_PROFILES]

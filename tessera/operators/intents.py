@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as lx
 from ..functions.ranking import seeded_hash, spread_rank, top_k
-from ..functions.text import has_any
 from ..functions.vectors import mean_vectors, score_topk
 from ..session import materialise
 

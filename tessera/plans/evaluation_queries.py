@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicon as lx
-from ..functions.ranking import seeded_hash, top_k
-from ..operators import entities as en, groundtruth as gt, intents as nt, metrics as mt, tagging as tg
+from ..operators import groundtruth as gt, intents as nt, metrics as mt
 from ..operators.counts import count_levels
 from ..session import materialise
 from . import fixtures as fx, sql as S

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicon as lx
-from ..operators import context as cx, counts as ct, metrics as mt, understanding as un
-from ..session import materialise
+from ..operators import context as cx, metrics as mt, understanding as un
 from . import fixtures as fx, question_sql as QS, search_sql as X, sql as S
-from .catalogue_queries import count_questions
 from .retrieval_queries import context as request_context, found_seeds
 from .tagging_queries import once
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranking import top_k
-from ..operators import retrieval as rv, routes as rt
+from ..operators import retrieval as rv
 from ..session import materialise
 from . import fixtures as fx, search_sql as X, sql as S
 from .catalogue_queries import pairs, ranked_pairs

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicon as lx
-from ..functions.ranking import seeded_hash
 from ..operators import entities as en, metrics as mt, tagging as tg
 from ..operators.understanding import extract_filters, match_manufacturer, tag_strategy
 from ..session import materialise

@@ -12,16 +12,18 @@ from ..schema import EDGE_SCHEMA, INDEX_COLUMNS, CONTAINS_COLUMNS, NODE_SCHEMA,
 from ..session import materialise, stage_path
 
 
-def load_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Node table; ``level`` is the partition column, so a level filter prunes files."""
+def load_nodes(spark: SparkSession, path: str, stored: bool = False) -> DataFrame:
+    """Node table with blanks normalised in ``tmtid`` and ``level``.
+
+    ``stored`` tables were normalised when written and have ``level`` as their
+    partition column; they are read as they are, so a level filter prunes files.
+    """
     nodes = spark.read.schema(NODE_SCHEMA).parquet(path)
-    return nodes.withColumn("tmtid", squash("tmtid")).withColumn("level", squash("level")) \
-        if "level" not in _partition_columns(nodes) else nodes.withColumn("tmtid", squash("tmtid"))
+    return nodes if stored else normalised(nodes)
 
 
-def _partition_columns(df: DataFrame) -> set[str]:
-    files = df.inputFiles()[:1]
-    return {part.split("=")[0] for f in files for part in f.split("/") if "=" in part}
+def normalised(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("tmtid", squash("tmtid")).withColumn("level", squash("level"))
 
 
 def load_edges(spark: SparkSession, path: str, types: Iterable[str] = TRAVERSAL_TYPES) -> DataFrame:
@@ -94,9 +96,9 @@ def store_catalogue(nodes: DataFrame, edges: DataFrame) -> Catalogue:
     """Write nodes by level, edges by type, the text index sorted by token, the links sorted by node, the neighbour counts."""
     spark = nodes.sparkSession
     node_path, edge_path = stage_path(spark, "nodes"), stage_path(spark, "edges")
-    nodes.write.partitionBy("level").parquet(node_path)
+    normalised(nodes).write.partitionBy("level").parquet(node_path)
     edges.write.partitionBy("type").parquet(edge_path)
-    nodes, edges = load_nodes(spark, node_path), load_edges(spark, edge_path)
+    nodes, edges = load_nodes(spark, node_path, stored=True), load_edges(spark, edge_path)
     documents = materialise(index_documents(nodes), "documents")
     # Sorted by token, so that row-group statistics skip tokens no question asks for.
     postings = materialise(index_postings(nodes).repartitionByRange("token", "node_id").sortWithinPartitions("token"),
