@@ -8,7 +8,7 @@ from ..functions import lexicon as lx
 from ..operators import entities as en, metrics as mt, tagging as tg
 from ..operators.understanding import extract_filters, match_manufacturer, tag_strategy
 from ..session import materialise
-from . import fixtures as fx, sql as S
+from . import fixtures as fx, question_sql as QS, sql as S
 
 QUERIES = {}
 ORACLES = {}
@@ -388,9 +388,23 @@ def q12(spark, d):
     return slot_table(spark, d).select("query_id", *[F.concat_ws("|", c).alias(c) for c in ("multi_brand", "multi_manufacturer", "multi_drug")])
 
 
-@registered("q13_slot_trust")
+S.fragment("trust_maker", QS.maker_of("question", "entity_texts"), "entity_texts", "maker_dim")
+_ID = f"coalesce(nullif({QS.extract('q.question', QS.EDGE_L + lx.PREFIXED_ID[2:-2] + QS.EDGE_R, 1)}, ''), nullif({QS.extract('q.question', QS.EDGE_L + '([0-9]{6,10})' + QS.EDGE_R, 1)}, ''))"
+
+
+def _canonical(text: str) -> str:
+    return f"array_to_string({S.tokens(f'lower({text})')}, ' ')"
+
+
+@registered("q13_slot_trust", S.query(f"""
+    SELECT query_id, rule, text FROM (SELECT s.query_id, s.text, CASE
+      WHEN x.id IS NOT NULL AND (contains(lower(s.text), x.id) OR ({S.holds('lower(s.text)', ('tmtid', 'tmt'))} AND regexp_matches(s.text, '(?:^|[^0-9A-Za-z_])[0-9]{{5,10}}(?:$|[^0-9A-Za-z_])'))) THEN 'brand_tmtid_conflict'
+      WHEN x.maker <> '' AND ({_canonical('s.text')} = x.maker OR len(list_intersect({S.tokens('lower(s.text)')}, [{S.listing(lx.MAKER_CONTEXT)}])) > 0) THEN 'brand_manufacturer_conflict'
+      WHEN (s.query_id % 4 = 1 OR x.comparing) AND s.query_id IN (SELECT query_id FROM slot_ranked WHERE label = 'DRUG') THEN 'brand_compare_noise' END AS rule
+    FROM slot_ranked s JOIN (SELECT q.query_id, {_ID} AS id, {_canonical("coalesce(m.manufacturer, '')")} AS maker, {S.found('lower(trim(q.question))', lx.COMPARE_PATTERNS)} AS comparing
+      FROM entity_texts q JOIN trust_maker m USING (query_id)) x USING (query_id) WHERE s.label = 'BRAND' AND s.rank <= {lx.BRAND_CAP}) WHERE rule IS NOT NULL""", "slot_ranked", "trust_maker"))
 def q13(spark, d):
-    """Which brands an id, a manufacturer or a comparison disproves; tested by cases."""
+    """Which brands an id, a manufacturer or a comparison disproves."""
     rows = entity_questions(spark, d)
     k = F.col("query_id") % 4
     asked = extract_filters(tag_strategy(rows)).withColumn("strategy", F.when(k == 1, "compare").otherwise(F.col("strategy")))
