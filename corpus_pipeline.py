@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, packing, quality_rules
+from tessera.llm import decontamination, ngram_join, packing, quality_rules, suffix_arrays
 from tessera.llm.common import table
 from tessera.session import materialise
 
@@ -21,6 +21,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, carry=True).where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, five-word shingles at a similarity of 0.85, the document with the smallest id stays."""
+    return ngram_join.keep_first(docs, size=5, percent=85)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that an earlier document has are cut; a letter that a cut runs through goes as a whole."""
+    return suffix_arrays.cut_repeats(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by the benchmark go."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -32,7 +42,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality), ("benchmark_decontamination", decontaminate), ("packing", pack)]
+    ("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeats),
+    ("benchmark_decontamination", decontaminate), ("packing", pack)]
 
 #: SQL has neither the sketches, the similarity join nor the tokenizer; the tests compare with brute force.
 ORACLE_SQL: str | None = None

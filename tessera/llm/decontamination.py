@@ -26,52 +26,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The lower-cased (A-Z) words of a text; none for null."""
-    lower = lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(lower_ascii(w))
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != ""), lower)
-
-
-def window_hashes(words: Column, size: int) -> Column:
-    """A hash of each ``size`` consecutive words, in order of their start."""
-    each = lambda h: F.when(F.size(h) >= size, F.transform(
-        F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, size)))).otherwise(F.array().cast("array<bigint>"))
-    return let(F.transform(words, lambda w: F.xxhash64(w)), each)
+    """The words of a text, A-Z lower-cased; none for null."""
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != ""), lower_ascii)
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """``length, hash, window, items``: every window of every item with the items it occurs in, each window once.
+    """``key, at, window, items``: every window of every item with the items it occurs in, each window once.
 
-    An item of fewer than ``size`` words, but not none, is one window. Null texts have no words; a null ``item_id`` counts as ''.
+    ``key`` is the window's longest word, of equals the first in order, and ``at`` its first place in the window. An item of fewer than
+    ``size`` words, but not none, is one window. Null texts have no words; a null ``item_id`` counts as ''.
     """
     item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
     item = item.withColumn("length", F.least(F.size("w"), F.lit(size)))
     windows = let(F.struct("w", "length"), lambda x: F.transform(
         F.sequence(F.lit(1), F.size(x["w"]) - x["length"] + 1), lambda i: F.slice(x["w"], i, x["length"])))
-    each = item.select("item", "length", F.explode(windows).alias("window"))
-    return (each.groupBy("length", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-            .withColumn("hash", F.xxhash64(F.transform("window", lambda w: F.xxhash64(w)))))
+    each = item.select("item", F.explode(windows).alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    longest = F.array_max(F.transform("window", lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("word"))))["word"]
+    return each.withColumn("key", longest).withColumn("at", (F.array_position(F.transform("window", F.lower), F.col("key")) - 1).cast("int"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """``hit_doc, hit_text, spans, items`` of the documents that hold a window; ``hit_text`` is a hash of the text.
 
-    ``spans`` are the hit word ranges ``[first, end)``, merged and in order. The windows are broadcast after a count shows at most
-    ``BROADCAST_WINDOWS``; a larger benchmark is joined by shuffling on the hash. The rows that shuffle are hits only.
+    ``spans`` are the hit word ranges ``[first, end)``, merged and in order. The hash table of windows is keyed by their longest words, so that only
+    places of those words are looked at: first all words of the window there in full lower case, then, of what is left, as the rule has them. It is broadcast
+    after a count shows at most ``BROADCAST_WINDOWS``; a larger benchmark is joined by shuffling on the word. Hits alone shuffle.
     """
     windows = materialise(benchmark_windows(benchmark, size), "benchmark_windows")
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most `size` values
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    text = docs.select("doc_id", F.xxhash64("text").alias("hit_text"), words_of(F.col("text")).alias("w"))
-    found = None
-    for n in lengths:
-        each = text.select("doc_id", "hit_text", "w", F.posexplode(window_hashes(F.col("w"), n)).alias("first", "hash"))
-        own = windows.where(F.col("length") == n).select("hash", "window", "items")
-        hit = (each.join(F.broadcast(own) if small else own, "hash").where(F.slice("w", F.col("first") + 1, n) == F.col("window"))
-               .select("doc_id", "hit_text", F.struct("first", (F.col("first") + n).alias("end")).alias("span"), "items"))
-        found = hit if found is None else found.unionAll(hit)
-    if found is None:
-        found = text.where("false").select("doc_id", "hit_text", F.struct(F.lit(0).alias("first"), F.lit(0).alias("end")).alias("span"),
-                                           F.array().cast("array<string>").alias("items"))
+    total, shortest = windows.agg(F.count("*"), F.coalesce(F.min(F.length("key")), F.lit(0))).first()
+    table = windows.select("key", "at", "window", "items", F.transform("window", F.lower).alias("lowered"), F.size("window").alias("n"))
+    text = docs.select("doc_id", "text", F.split(F.lower("text"), GAP).alias("w"))
+    each = text.select("doc_id", "text", "w", F.posexplode("w").alias("place", "word")).where(F.length("word") >= shortest)
+    hit = each.join(F.broadcast(table) if total <= BROADCAST_WINDOWS else table, F.col("word") == F.col("key"))
+    # `lowered` is coarser than the rule, which lowers A-Z only. A text that begins with a gap has an empty first word.
+    hit = hit.where((F.col("place") >= F.col("at")) & (F.slice("w", F.greatest(F.col("place") - F.col("at") + 1, F.lit(1)), F.col("n")) == F.col("lowered")))
+    first = F.col("place") - F.col("at") - F.when(F.element_at("w", 1) == "", 1).otherwise(0)
+    hit = hit.withColumn("first", first).where(F.slice(words_of(F.col("text")), F.col("first") + 1, F.col("n")) == F.col("window"))
+    found = hit.select("doc_id", F.xxhash64("text").alias("hit_text"), F.struct("first", (F.col("first") + F.col("n")).alias("end")).alias("span"), "items")
     merge = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["first"]), F.concat(
         F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))
     ).otherwise(F.concat(acc, F.array(s)))
