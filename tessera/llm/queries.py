@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, ngram_join, packing, quality_rules, recompression, suffix_arrays, url_filters
+from . import (decontamination, html_extraction, license_scans, ngram_join, packing, quality_classifier, quality_rules, recompression,
+               suffix_arrays, url_filters)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/thousand/doc_id``; those that open with a licence line are their folders' licence files."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", "text", path.alias("path"), F.substring_index("text", "\n", 1).rlike("(?i)licen[cs]e").alias("is_licence_file"))
+    found = license_scans.scan(files)
+    return found.select("doc_id", "path", "is_licence_file", "own_licence", "score", "licence", "inherited_from")
+
+
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the sites, languages their paths."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
