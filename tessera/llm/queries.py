@@ -71,10 +71,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/thousand/doc_id``; those that open with a licence line are their folders' licence files."""
+    """Documents as files ``source/lang/thousand/doc_id``; those that speak of a licence are their folders' licence files."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
-    files = docs.select("doc_id", "text", path.alias("path"), F.substring_index("text", "\n", 1).rlike("(?i)licen[cs]e").alias("is_licence_file"))
+    files = docs.select("doc_id", "text", path.alias("path"), F.col("text").rlike("(?i)licen[cs]e").alias("is_licence_file"))
     found = license_scans.scan(files)
     return found.select("doc_id", "path", "is_licence_file", "own_licence", "score", "licence", "inherited_from")
 
