@@ -18,7 +18,7 @@ from tessera.session import materialise
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive rules reject go."""
-    return quality_rules.apply_rules(docs, carry=True).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def carry(rows: DataFrame, *own: str) -> DataFrame:
+    """``rows`` with the columns ``own`` and all others in one, so that their names can't clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in own]
+    return rows.select(*own, (F.struct(*others) if others else F.lit(None)).alias("carried"))
+
+
+def restore(rows: DataFrame, like: DataFrame, *own: str) -> DataFrame:
+    """The columns of ``like`` from rows made by ``carry``."""
+    return rows.select(*(F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in like.columns))
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text, one at a time; null is empty."""
     for value in column.cast(pa.large_binary()):

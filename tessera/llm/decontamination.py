@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-from .common import lower_ascii
+from .common import carry, lower_ascii, restore
 
 #: Whatever is neither a digit, a letter a-z or A-Z, nor outside ASCII.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -96,10 +96,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
-    found = scan(docs, benchmark, size, min_percent)
+    found = scan(carry(docs, "doc_id", "text"), benchmark, size, min_percent)
     if remove == "documents":
-        return found.where(~F.col("contaminated")).select(*docs.columns)
+        return restore(found.where(~F.col("contaminated")), docs, "doc_id", "text")
     parts = F.struct(F.filter(F.split("text", GAP), lambda w: w != "").alias("w"), F.split("text", WORD).alias("g"), F.col("spans").alias("s"))
     keep = lambda p: F.concat(p["g"][0], F.array_join(F.transform(F.sequence(F.lit(0), F.size(p["w"]) - 1), lambda i: F.when(
         F.exists(p["s"], lambda s: (i >= s["first"]) & (i < s["end"])), "").otherwise(F.concat(p["w"][i], p["g"][i + 1]))), ""))
-    return found.withColumn("text", F.when(F.col("contaminated"), let(parts, keep)).otherwise(F.col("text"))).select(*docs.columns)
+    cut = found.withColumn("text", F.when(F.col("contaminated"), let(parts, keep)).otherwise(F.col("text")))
+    return restore(cut, docs, "doc_id", "text")

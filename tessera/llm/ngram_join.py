@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from tessera.session import materialise
 
-from .common import partitions, schema, text_bytes
+from .common import carry, partitions, restore, schema, text_bytes
 from .graph import components, keep_members
 
 SKETCH_BITS, BLOCK = 20, 4096
@@ -225,5 +225,5 @@ def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 
     Rows that repeat the ``doc_id`` that stays, and rows without a ``doc_id``, all stay.
     """
-    gone = join(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    gone = join(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return restore(carry(docs, "doc_id").join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), docs, "doc_id")

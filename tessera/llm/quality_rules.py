@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.session import materialise
 
-from .common import text_bytes
+from .common import carry, restore, text_bytes
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -105,20 +105,20 @@ def group_limits(rows: DataFrame, min_rows: int, width: float, k: int) -> DataFr
     return best.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *limits)
 
 
-def apply_rules(docs: DataFrame, carry: bool = False, min_rows: int = 200, width: float = 4.0, k: int = 400,
+def apply_rules(docs: DataFrame, carry_columns: bool = False, min_rows: int = 200, width: float = 4.0, k: int = 400,
                 min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Each document's counts, ``base_failed``, ``failed`` (the measures out of their group's range) and ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` per cent of the words in repeated
     8-word windows; such rows are left out of the sketches. Null languages or sources form groups of their own. Null and empty
     texts fail the base rule. Repeated rows are judged alike, an empty table gives an empty result, and columns with the names made here
-    are replaced. With ``carry`` the input's columns stay, else only ``doc_id``, ``lang`` and ``source``.
+    are replaced. With ``carry_columns`` the input's columns stay, else only ``doc_id``, ``lang`` and ``source``.
 
     Sketches are built where the rows lie and merged after, so a hot source sends one sketch a task. The limits join on
     language and source: a small side that Spark broadcasts below its own threshold and else joins with skew splitting.
     """
     rows = with_counts(docs)
-    if not carry:
+    if not carry_columns:
         rows = rows.select("doc_id", "lang", "source", *COUNTS)
     rows = materialise(rows.drop("base_failed", "failed", "kept"), "quality_counts")
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
@@ -131,3 +131,9 @@ def apply_rules(docs: DataFrame, carry: bool = False, min_rows: int = 200, width
     failed = F.array_compact(F.array(*out_of_range))
     return (joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
             .select(*rows.columns, "failed", "kept"))
+
+
+def keep_good(docs: DataFrame, **settings: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, as they are."""
+    own = ("doc_id", "text", "lang", "source")
+    return restore(apply_rules(carry(docs, *own), carry_columns=True, **settings).where("kept"), docs, *own)

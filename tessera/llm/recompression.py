@@ -26,7 +26,7 @@ from tessera.session import materialise
 from .common import partitions, schema, text_bytes
 from .graph import keep_members
 from .ngram_join import MAX_CACHED_WORDS, mixed
-from .suffix_arrays import TAG, U64, merged_cuts, per_document, planes, route_of, runs, unplanes
+from .suffix_arrays import TAG, U64, extents, merged_cuts, per_document, planes, route_of, runs, unplanes
 
 ROUNDS, CHUNK, HELD = 4, 100_000, 1_000_000
 FAR = 1 << 40
@@ -123,7 +123,7 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 def _routed(route: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(route, kind="stable")
     begins = runs(order, route)
-    for i, j in zip(begins, np.r_[begins[1:], len(order)], strict=True):
+    for i, j in extents(begins, len(order)):
         yield int(route[order[i]]), order[i:j]
 
 
@@ -205,7 +205,7 @@ def open_windows(rows: DataFrame, routes: int, length: int, rounds: int) -> Data
             name, low, high = name[fits], low[fits], high[fits]
             key, of, alone = name_key(name), owner[low], np.ones(len(name), bool)
             begins = runs(np.arange(len(of)), of)
-            for i, j in zip(begins, np.r_[begins[1:], len(of)], strict=True):
+            for i, j in extents(begins, len(of)):
                 alone[i:j] = ~np.isin(key[i:j], np.frombuffer(b"".join(texts[of[i]][2]), "<u2"))
             starts = window_starts(owner, length)
             s = starts[~holding(starts, low[alone], high[alone], len(words), length)]
@@ -241,7 +241,7 @@ def compare_windows(part: pa.Table, length: int) -> pa.Table:
     begins = runs(order, doc, tag)
     cuts = np.c_[start, start + length][order].astype("<i4")
     return pa.table({"doc": pa.array(doc[order][begins]), "tag": pa.array(tag[order][begins]), "cuts": pa.array(
-        [merged_cuts(cuts[i:j]).tobytes() for i, j in zip(begins, np.r_[begins[1:], len(order)], strict=True)], pa.binary())})
+        [merged_cuts(cuts[i:j]).tobytes() for i, j in extents(begins, len(order))], pa.binary())})
 
 
 def find_cuts(docs: DataFrame, length: int = 13, rounds: int = ROUNDS) -> DataFrame:

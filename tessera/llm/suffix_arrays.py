@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import materialise
 
-from .common import partitions, schema, text_bytes
+from .common import carry, partitions, restore, schema, text_bytes
 from .graph import keep_members
 from .ngram_join import mixed
 
@@ -140,11 +140,16 @@ def runs(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, change]) if len(order) else np.zeros(0, np.int64)
 
 
+def extents(begins: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of each group."""
+    return zip(begins.tolist(), [*begins[1:].tolist(), total][:len(begins)], strict=True)
+
+
 def per_document(doc: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Each document with its distinct values."""
     both = np.unique(np.rec.fromarrays([doc, value], names="d,v"))
     begins = runs(np.arange(len(both)), both.d)
-    for i, j in zip(begins, np.r_[begins[1:], len(both)], strict=True):
+    for i, j in extents(begins, len(both)):
         yield int(both.d[i]), both.v[i:j].tobytes()
 
 
@@ -165,7 +170,7 @@ def batch_entries(texts: DataFrame, routes: int, length: int) -> DataFrame:
         by_route = np.argsort(route, kind="stable")
         rows = []
         cut = runs(by_route, route)
-        for i, j in zip(cut, np.r_[cut[1:], len(by_route)], strict=True):
+        for i, j in extents(cut, len(by_route)):
             e = kept[by_route[i:j]]
             rows.append((int(route[by_route[i]]), 0, planes(prefix[e]), planes(right[e]), planes(left[e]), planes(doc[e])))
         key = mark_of(prefix[marked], right[marked], left[marked])
@@ -305,7 +310,7 @@ def marked_spans(rows: DataFrame, routes: int, length: int) -> DataFrame:
             route = route_of(prefix if kind == 0 else doc.view(U64), routes)
             order = np.lexsort((doc, prefix, route))
             cut = runs(order, route)
-            for i, j in zip(cut, np.r_[cut[1:], len(order)], strict=True):
+            for i, j in extents(cut, len(order)):
                 e = order[i:j]
                 body = b"".join(some[k][5] for k in e) if kind == 0 else b""
                 rows.append((int(route[e[0]]), kind, planes(prefix[e]), planes(doc[e]), planes(tag[e]), planes(start[e]), planes(lead[e]), planes(size[e]), body))
@@ -320,7 +325,7 @@ def marked_spans(rows: DataFrame, routes: int, length: int) -> DataFrame:
             own = mark_of(a.prefix, a.right, a.left)
             wanted = np.zeros(len(own), bool)
             begins = runs(np.arange(len(own)), a.piece)
-            for i, j in zip(begins, np.r_[begins[1:], len(own)], strict=True):
+            for i, j in extents(begins, len(own)):
                 wanted[i:j] = np.isin(own[i:j], np.frombuffer(b"".join(keys[a.piece[i]]), "<u2"))
             whole = a.bytes.tobytes()
             for i in np.flatnonzero(wanted).tolist():
@@ -381,14 +386,14 @@ def compare_spans(part: pa.Table, length: int) -> pa.Table:
     begins = runs(order, doc, tag)
     cuts = np.c_[low, high][order].astype("<i4")
     return pa.table({"doc": pa.array(doc[order][begins]), "tag": pa.array(tag[order][begins]), "cuts": pa.array(
-        [merged_cuts(cuts[i:j]).tobytes() for i, j in zip(begins, np.r_[begins[1:], len(order)], strict=True)], pa.binary())})
+        [merged_cuts(cuts[i:j]).tobytes() for i, j in extents(begins, len(order))], pa.binary())})
 
 
 def _slices(rest: np.ndarray, prefix: np.ndarray, windows: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Parts of whole prefix groups, of about ``most`` windows each."""
     groups = runs(rest, prefix)
     total, begin = 0, 0
-    for i, j in zip(groups, np.r_[groups[1:], len(rest)], strict=True):
+    for i, j in extents(groups, len(rest)):
         total += int(windows[rest[i:j]].sum())
         if total >= most:
             yield begin, int(j)
@@ -488,9 +493,10 @@ def cut_repeats(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFram
 
     Texts that lose nothing stay as they are, null included, and no row goes.
     """
-    found = dedup(docs.withColumn("no_text", F.col("text").isNull()), length, batches, {"text": lambda b: b.cast("string")}, whole_letters=True)
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    found = dedup(carry(docs, *own).withColumn("no_text", F.col("text").isNull()), length, batches, {"text": lambda b: b.cast("string")}, whole_letters=True)
     cut = F.col("n_removed") > 0
     found = found.withColumn("text", F.when(~F.col("no_text"), F.col("text")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in own:
         found = found.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return restore(found, docs, *own)
