@@ -143,8 +143,14 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PROFILE)
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets of ``n`` tokens that share the one at place ``at`` of their prefixes can be as similar as asked.
+
+    If it is the first they share, no more tokens are common than it and those behind it in the set with fewer of them. A pair that fails at its
+    first shared token fails at all others, so each meeting may be judged as if it were the first.
+    """
+    most = F.least(x["n"] - x["at"], y["n"] - y["at"])
+    return 100 * most >= percent * (x["n"] + y["n"] - most)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -177,32 +183,34 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialise(profiles(docs, size, percent), "join_profiles")
     known = profile.where("doc is not null")
-    place = known.select("doc", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("p")).select(
-        "doc", "n", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"),
+    place = known.select("doc", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "p")).select(
+        "doc", "n", "at", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"),
         F.pmod(F.xxhash64("doc"), F.col("p.salts")).cast("int").alias("salt"))
     whole = F.expr("count(*) over (partition by token, salt)")
-    lead = F.expr("min(struct(doc, n)) over (partition by token, salt)")
+    lead = F.expr("min(struct(doc, n, at)) over (partition by token, salt)")
     # A token that the counts show to be frequent is dealt out by salt; the leaders of its salts meet in a second round.
     salted = materialise(place.withColumns({"members": whole, "lead": lead}).where("members > 1 or salts > 1"), "join_buckets")
     leads = salted.select("token", "lead").distinct()
     top = leads.groupBy("token").agg(F.min("lead").alias("top"), F.count("*").alias("k")).where("k > 1")
     pair = lambda x, y: (F.greatest(x["doc"], y["doc"]).alias("a"), F.least(x["doc"], y["doc"]).alias("b"))
-    me = F.struct("doc", "n")
-    star = salted.where((F.col("lead.doc") != F.col("doc")) & _sizes_fit(F.col("n"), F.col("lead.n"), percent)).select(*pair(me, F.col("lead")))
-    tops = leads.join(top, "token").where((F.col("lead.doc") != F.col("top.doc")) & _sizes_fit(F.col("lead.n"), F.col("top.n"), percent)).select(*pair(F.col("lead"), F.col("top")))
+    me = F.struct("doc", "n", "at")
+    star = salted.where((F.col("lead.doc") != F.col("doc")) & _may_link(me, F.col("lead"), percent)).select(*pair(me, F.col("lead")))
+    tops = leads.join(top, "token").where((F.col("lead.doc") != F.col("top.doc")) & _may_link(F.col("lead"), F.col("top"), percent)).select(*pair(F.col("lead"), F.col("top")))
     pairs = materialise(passing(star.unionAll(tops).distinct(), known), "join_pairs")
     links = materialise(verified(pairs, docs, size, percent), "join_links")
 
     # Members of one bucket that are still apart.
     label = materialise(components(links, "join_first"), "join_labels")
-    apart = (salted.select("token", "doc", "n").join(label, F.col("doc") == F.col("node"), "left")
-             .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")))
-    mixed_up = apart.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("k > 2 and lo <> hi")
-    apart = materialise(apart.join(mixed_up.select("token"), "token"), "join_apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
-                   & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
-            .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    apart = (salted.select("token", "doc", "n", "at").join(label, F.col("doc") == F.col("node"), "left")
+             .select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("component")))
+    mixed_up = apart.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("k > 2 and low <> high")
+    apart = materialise(apart.join(mixed_up.select("token", "low"), "token"), "join_apart")
+    # The component of a bucket's first member, mostly the largest, is never paired with itself.
+    x, y = apart.where("component <> low").alias("x"), apart.alias("y")
+    more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
+                   & ((F.col("y.component") == F.col("y.low")) | (F.col("x.doc") > F.col("y.doc")))
+                   & _may_link(F.struct("x.n", "x.at"), F.struct("y.n", "y.at"), percent))
+            .select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     second = materialise(passing(more, known), "join_more")
     links = links.unionAll(verified(second, docs, size, percent))
 
