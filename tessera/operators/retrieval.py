@@ -373,28 +373,38 @@ def exact_boost(rank: Column) -> Column:
     return F.when(rank == 0, 0.45).otherwise(F.greatest(F.lit(0.15), 0.35 - rank * 0.02))
 
 
+_FOUND = ("v_rank", "t_rank", "g_rank", "graph_hop", "graph_support", "found_by_query")
+
+
 def merge_query_variants(candidates: DataFrame, exact: DataFrame | None, k: Column | int) -> DataFrame:
-    """One ranked list per question from the candidates of its variants.
+    """One ranked list per question from the candidates of its variants, taken in order.
 
-    ``candidates`` and ``exact`` carry ``variant_no`` and ``found_by_query``.
-    Per node the best variant stands (the first on ties); exact matches add
-    their boost and may enter on it alone.
+    ``candidates`` and ``exact`` carry ``variant_no`` and ``found_by_query``. A variant's candidate takes a node's place if it scores
+    more than the node has by then, boosts included; it brings its own ranks. After it the variant's exact match adds its boost, or enters the
+    node on the boost alone. A node's steps are at most two per variant and are folded where they meet.
     """
-    best = first_per_key(candidates, ["query_id", "node_id"], [F.desc("rrf_score"), F.col("variant_no")])
+    step = lambda df, kind, score, rank: df.select("query_id", "node_id", F.struct(
+        F.col("variant_no").cast("int").alias("variant_no"), F.lit(kind).alias("kind"), rank.cast("int").alias("exact_rank"), score.cast("double").alias("score"),
+        *(F.col(c) if c in df.columns else F.lit(NO_RANK if c.endswith("_rank") else None).cast("bigint").alias(c) for c in _FOUND)).alias("step"))
+    kinds = {"v_rank": "bigint", "t_rank": "bigint", "g_rank": "bigint", "graph_hop": "bigint", "graph_support": "bigint", "found_by_query": "string"}
+    steps = step(candidates.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()}), 0, F.col("rrf_score"), F.lit(NO_RANK))
     if exact is not None:
-        boosts = exact.groupBy("query_id", "node_id").agg(
-            F.sum(exact_boost(F.col("exact_rank"))).alias("boost"), F.min("exact_rank").alias("exact_rank"),
-            F.min_by("found_by_query", "variant_no").alias("exact_query"))
-        best = best.join(boosts, ["query_id", "node_id"], "full_outer")
-    else:
-        best = best.withColumn("boost", F.lit(None).cast("double")).withColumn(
-            "exact_rank", F.lit(None).cast("int")).withColumn("exact_query", F.lit(None).cast("string"))
-    merged = best.select(
-        "query_id", "node_id",
-        *[F.coalesce(r, F.lit(NO_RANK)).alias(r) for r in ("v_rank", "t_rank", "g_rank", "exact_rank")],
-        "graph_hop", "graph_support",
-        F.round(F.coalesce("rrf_score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0)), 12).alias("rrf_score"),
-        F.coalesce("found_by_query", "exact_query").alias("found_by_query"))
+        steps = steps.unionAll(step(exact.select("query_id", "node_id", "variant_no", "found_by_query", "exact_rank"), 1,
+                                    exact_boost(F.col("exact_rank")), F.col("exact_rank")))
+
+    def fold(state: Column, now: Column) -> Column:
+        new, boost = state.isNull(), now["kind"] == 1
+        replace = new | (~boost & (now["score"] > state["score"]))
+        score = F.when(replace, now["score"]).when(boost, state["score"] + now["score"]).otherwise(state["score"])
+        rank = F.when(replace, now["exact_rank"]).otherwise(F.least(state["exact_rank"], now["exact_rank"]))
+        return F.struct(score.alias("score"), rank.alias("exact_rank"), *(F.when(replace, now[c]).otherwise(state[c]).alias(c) for c in _FOUND))
+
+    start = F.lit(None).cast("struct<score:double,exact_rank:int," + ",".join(f"{c}:{kinds[c]}" for c in _FOUND) + ">")
+    folded_steps = steps.groupBy("query_id", "node_id").agg(F.aggregate(F.array_sort(F.collect_list("step")), start, fold).alias("s"))
+    merged = folded_steps.select(
+        "query_id", "node_id", *(F.col(f"s.{r}").cast("int").alias(r) for r in ("v_rank", "t_rank", "g_rank", "exact_rank")),
+        F.col("s.graph_hop").cast("int").alias("graph_hop"), F.col("s.graph_support").alias("graph_support"), F.round("s.score", 12).alias("rrf_score"),
+        F.col("s.found_by_query").alias("found_by_query"))
     order = [F.desc("rrf_score"), F.col("v_rank"), F.col("t_rank"), F.col("g_rank"), F.col("exact_rank"), F.col("node_id")]
     return top_k(merged, ["query_id"], order, k)
 

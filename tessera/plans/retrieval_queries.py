@@ -114,13 +114,14 @@ def r8(spark, d):
 @registered("r9_merge_query_variants", S.query("""
     SELECT query_id, node_id, round(rrf_score, 9) AS rrf_score, exact_rank, found_by_query, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, v_rank, t_rank, exact_rank, node_id) AS rank FROM (
-        SELECT coalesce(b.query_id, x.query_id) AS query_id, coalesce(b.node_id, x.node_id) AS node_id, coalesce(b.v_rank, 9999) AS v_rank, coalesce(b.t_rank, 9999) AS t_rank,
-          coalesce(x.exact_rank, 9999) AS exact_rank, coalesce(b.found, 'first') AS found_by_query,
-          round(coalesce(b.s, 0) + CASE WHEN x.exact_rank IS NULL THEN 0 WHEN x.exact_rank = 0 THEN 0.45 ELSE greatest(0.15, 0.35 - x.exact_rank * 0.02) END, 12) AS rrf_score
-        FROM (SELECT query_id, node_id, CASE WHEN v < 8 AND (t >= 8 OR v <= t) THEN v ELSE 9999 END AS v_rank, CASE WHEN v < 8 AND (t >= 8 OR v <= t) THEN 9999 ELSE t END AS t_rank,
-                CASE WHEN v < 8 AND (t >= 8 OR v <= t) THEN 'first' ELSE 'second' END AS found, round(1.0 / (61 + least(CASE WHEN v < 8 THEN v ELSE 999 END, CASE WHEN t < 8 THEN t ELSE 999 END)), 12) AS s
-              FROM pair_channels WHERE v < 8 OR t < 8) b
-        FULL OUTER JOIN (SELECT query_id, node_id, g AS exact_rank FROM pair_channels WHERE g < 5) x USING (query_id, node_id))) WHERE rank <= 24""", "pair_channels"))
+        SELECT query_id, node_id, CASE WHEN replaced OR v >= 8 THEN 9999 ELSE v END AS v_rank, CASE WHEN replaced THEN t ELSE 9999 END AS t_rank,
+          CASE WHEN boost IS NULL THEN 9999 ELSE g END AS exact_rank, CASE WHEN replaced THEN 'second' ELSE 'first' END AS found_by_query,
+          round(CASE WHEN replaced THEN s2 ELSE had END + coalesce(boost, 0), 12) AS rrf_score
+        FROM (SELECT *, t < 8 AND (had IS NULL OR s2 > had) AS replaced FROM (
+          SELECT *, CASE WHEN boost IS NULL THEN CASE WHEN v < 8 THEN s1 END ELSE CASE WHEN v < 8 THEN s1 ELSE 0 END + boost END AS had FROM (
+            SELECT query_id, node_id, v, t, g, round(1.0 / (61 + v), 12) AS s1, round(1.0 / (61 + t), 12) AS s2,
+              CASE WHEN g >= 5 THEN NULL WHEN g = 0 THEN 0.45 ELSE greatest(0.15, 0.35 - g * 0.02) END AS boost
+            FROM pair_channels WHERE v < 8 OR t < 8 OR g < 5))))) WHERE rank <= 24""", "pair_channels"))
 def r9(spark, d):
     base = materialise(pairs(spark, d).withColumnRenamed("tmtid", "node_id"), "pairs")
     def variant(by, no, name, v, t):
@@ -130,7 +131,8 @@ def r9(spark, d):
                            F.round(F.lit(1.0) / (F.col("p") + 61), 12).alias("rrf_score"), F.lit(no).alias("variant_no"), F.lit(name).alias("found_by_query"))
     found = variant("price", 1, "first", True, False).unionByName(variant("quantity", 2, "second", False, True))
     exact = top_k(base.select("query_id", "node_id", "tax"), ["query_id"], [F.desc("tax"), F.col("node_id")], 5, "exact_rank", first=0).select(
-        "query_id", "node_id", "exact_rank", F.lit(1).alias("variant_no"), F.lit("first").alias("found_by_query"))
+        "query_id", "node_id", "exact_rank", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("first").alias("by")), F.struct(F.lit(2).alias("n"), F.lit("second").alias("by")))).alias("x"))
+    exact = exact.select("query_id", "node_id", "exact_rank", F.col("x.n").alias("variant_no"), F.col("x.by").alias("found_by_query"))
     return rv.merge_query_variants(found, exact, 24).select("query_id", "node_id", F.round("rrf_score", 9).alias("rrf_score"), "exact_rank", "found_by_query", "rank")
 
 

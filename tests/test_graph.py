@@ -101,3 +101,15 @@ def test_weights_fall_back_to_thirds(spark):
 def test_links_give_both_orientations(spark):
     df = spark.createDataFrame([("e", "a", "b", "t")], "edge_id string, src_id string, dst_id string, type string")
     assert {(r["node_id"], r["other_id"]) for r in links(df).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_variants_are_merged_in_order(spark):
+    """A later variant's candidate must beat score plus boost; a node that entered on a boost takes no ranks until it is beaten."""
+    candidates = spark.createDataFrame(
+        [("q", "a", 1, 0.010, 1, 9999, "one"), ("q", "a", 2, 0.016, 9999, 0, "two"), ("q", "b", 1, 0.010, 4, 9999, "one"), ("q", "b", 2, 0.016, 9999, 2, "two"),
+         ("q", "c", 2, 0.013, 9999, 3, "two")],
+        "query_id string, node_id string, variant_no int, rrf_score double, v_rank int, t_rank int, found_by_query string").withColumns(
+        {"g_rank": F.lit(9999), "graph_hop": F.lit(None).cast("int"), "graph_support": F.lit(None).cast("bigint")})
+    exact = spark.createDataFrame([("q", "a", 1, 0, "one"), ("q", "a", 2, 0, "two"), ("q", "c", 1, 1, "one")], "query_id string, node_id string, variant_no int, exact_rank int, found_by_query string")
+    got = {r.node_id: (r.rrf_score, r.v_rank, r.t_rank, r.exact_rank, r.found_by_query) for r in rv.merge_query_variants(candidates, exact, 10).collect()}
+    assert got == {"a": (0.91, 1, 9999, 0, "one"), "b": (0.016, 9999, 2, 9999, "two"), "c": (0.33, 9999, 9999, 1, "one")}
