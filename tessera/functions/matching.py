@@ -4,28 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import fits, materialise
+from ..session import materialise
 
-# A term table this small is sent to every task; a larger one is joined on grams.
-BROADCAST_TERMS = 2000
 GRAM = 3
 
 
 def contains_join(terms: DataFrame, texts: DataFrame, term: str = "term", text: str = "hay",
-                  key: str = "node_id", broadcast_limit: int = BROADCAST_TERMS) -> DataFrame:
-    """Rows of ``texts`` beside every distinct term they contain.
+                  key: str = "node_id") -> DataFrame:
+    """Rows of ``texts`` beside every distinct term they contain, as an equi-join for a term table of any size.
 
     ``terms`` holds distinct non-empty terms in column ``term``; ``texts`` holds
     one row per ``key``. Both sides must already be folded.
-    """
-    if fits(terms, broadcast_limit):
-        return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
-    return gram_join(terms, texts, term, text, key)
-
-
-def gram_join(terms: DataFrame, texts: DataFrame, term: str = "term", text: str = "hay",
-              key: str = "node_id") -> DataFrame:
-    """The same result as an equi-join, for a term table of any size.
 
     A text holding a term holds every gram of it. Each term is keyed by its
     rarest gram, texts are exploded only into grams some term is keyed by, and

@@ -73,17 +73,14 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str,
         bounds += [max(0.0, q - slack), min(1.0, q + slack)]
     sketch = df.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(b) for b in bounds]), 10000).alias("_cut"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(F.lit(1)).alias("_n"))
+        F.count(F.lit(1)).alias("_n"))
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     result = sketch.select(*keys, "_n")
     joined = counted.join(sketch, keys)
     for i, (name, q) in enumerate(wanted.items()):
-        # A small group is ordered whole: there the sketch's slack is under one row.
-        small = F.col("_n") <= 20000
-        lo = F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i])
-        hi = F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1])
-        # The next value above the bracket serves an interpolation that ends just outside it.
-        below = joined.where(F.col(value) < lo).groupBy(*keys).agg(F.sum("_c").alias("_below"))
+        lo, hi = F.col("_cut")[2 * i], F.col("_cut")[2 * i + 1]
+        # In a group of few rows the bracket may be one value; the values next to it serve positions just outside.
+        below = joined.where(F.col(value) < lo).groupBy(*keys).agg(F.sum("_c").alias("_below"), F.max(value).alias("_prev"))
         inside = joined.where((F.col(value) >= lo) & (F.col(value) <= hi))
         above = joined.where(F.col(value) > hi).groupBy(*keys).agg(F.min(value).alias("_next"))
         running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -93,17 +90,18 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str,
             .withColumn("_to", F.col("_run") + F.coalesce("_below", F.lit(0)))
             .withColumn("_pos", F.lit(q) * (F.col("_n") - 1))
         )
+        before = lambda rank: F.when(rank < F.max(F.coalesce("_below", F.lit(0))), F.max("_prev"))
         if interpolate:
             lower, upper = F.floor("_pos"), F.ceil("_pos")
             at = placed.groupBy(*keys).agg(
                 F.max("_pos").alias("_pos"), F.max("_next").alias("_next"),
-                F.min(F.when(F.col("_to") > lower, F.col(value))).alias("_lo"),
-                F.min(F.when(F.col("_to") > upper, F.col(value))).alias("_hi"))
+                F.coalesce(before(F.max(lower)), F.min(F.when(F.col("_to") > lower, F.col(value)))).alias("_lo"),
+                F.coalesce(before(F.max(upper)), F.min(F.when(F.col("_to") > upper, F.col(value)))).alias("_hi"))
             found = at.select(*keys, (
                 F.col("_lo") + (F.col("_pos") - F.floor("_pos"))
                 * (F.coalesce("_hi", "_next", "_lo") - F.col("_lo"))).alias(name))
         else:
             found = placed.groupBy(*keys).agg(
-                F.min(F.when(F.col("_to") > F.floor("_pos"), F.col(value))).alias(name))
+                F.coalesce(before(F.max(F.floor("_pos"))), F.min(F.when(F.col("_to") > F.floor("_pos"), F.col(value)))).alias(name))
         result = result.join(found, keys, "left")
     return result.drop("_n", "_all") if one else result.drop("_n")

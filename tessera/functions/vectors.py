@@ -1,4 +1,4 @@
-"""Cosine similarity against many vectors, in Arrow batches with numpy inside the tasks."""
+"""Cosine similarity against many vectors, in blocks with numpy inside the tasks."""
 
 from __future__ import annotations
 
@@ -6,74 +6,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialise
 from .ranking import top_k
 
-# Vectors per query block. A block is all that is ever sent to the tasks at once.
+# Vectors in a block; two blocks are all a task multiplies at once.
 BLOCK_ROWS = 4096
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """``ids, matrix``: the rows' unit vectors in blocks of at most ``size``, packed where they lie."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at:at + size].sort_values(key)
+                matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in part[vector]])
+                norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+                yield pd.DataFrame({"ids": [part[key].tolist()], "matrix": [(matrix / np.where(norms == 0, 1.0, norms)).tobytes()]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(pack, f"ids array<{kind}>, matrix binary")
+
+
 def score_topk(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int,
-               vector: str = "embedding", per: str = "right", keep: list[str] | None = None) -> DataFrame:
-    """Top ``k`` cosine pairs between a large ``left`` and a ``right`` read block by block.
+               vector: str = "embedding", per: str = "right", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Top ``k`` cosine pairs between a large ``left`` and a smaller ``right``.
 
     ``per="right"`` ranks left rows for every right row (nearest neighbours);
     ``per="left"`` ranks right rows for every left row (nearest centroid).
-    Each Arrow batch of the left side is multiplied with one block of the right
-    side and trimmed to its own k best before anything is shuffled. Scores are
-    rounded to 9 places so that ties fall to the smaller id.
+    Both sides are packed into blocks; the right blocks are numbered and each left block meets each number once, by an equi-join that Spark
+    broadcasts only below its own threshold. Every product is trimmed to its own k best before anything is shuffled again. Scores
+    are rounded to 9 places so that ties fall to the smaller id.
     """
-    def unit_rows(column) -> np.ndarray:  # local, so that it travels to the workers by value
-        matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in column])
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return matrix / np.where(norms == 0, 1.0, norms)
-
-    spark = left.sparkSession
-    left = left.where(F.col(vector).isNotNull())
-    right = right.where(F.col(vector).isNotNull())
-    n_right = right.count()
-    blocks = max(1, -(-n_right // BLOCK_ROWS))
     left_type = left.schema[left_id].dataType.simpleString()
     right_type = right.schema[right_id].dataType.simpleString()
-    schema = f"`{left_id}` {left_type}, `{right_id}` {right_type}, score double"
-
-    parts = []
-    for block in range(blocks):
-        chunk = right if blocks == 1 else right.where(F.pmod(F.xxhash64(right_id), F.lit(blocks)) == block)
-        rows = chunk.select(right_id, vector).toPandas().sort_values(right_id)  # bounded by BLOCK_ROWS on average
-        if rows.empty:
-            continue
-        shared = spark.sparkContext.broadcast((rows[right_id].to_numpy(), unit_rows(rows[vector])))
-
-        def trim(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                batch = batch.sort_values(left_id)
-                scores = np.round(unit_rows(batch[vector]) @ matrix.T, 9)
+    # A few tasks pack the right side, so that its blocks are full.
+    packed = materialise(_blocks(right.coalesce(8), right_id, vector, block_rows).withColumn("place", F.monotonically_increasing_id()), "vector_blocks")
+    numbered = packed.join(packed.select("place", (F.row_number().over(Window.orderBy("place")) - 1).alias("block")), "place").select(  # one number per block
+        "block", F.col("ids").alias("right_ids"), F.col("matrix").alias("right_matrix"))
+    blocks = packed.count()
+    pairs = _blocks(left, left_id, vector, block_rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks else \
+        _blocks(left, left_id, vector, block_rows).where("false").withColumn("block", F.lit(0))
+    pairs = pairs.join(numbered, "block").select("ids", "matrix", "right_ids", "right_matrix")
+
+    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, matrix, right_ids, right_matrix in batch.itertuples(index=False):
+                a = np.frombuffer(matrix).reshape(len(ids), -1)
+                b = np.frombuffer(right_matrix).reshape(len(right_ids), -1)
+                scores = np.round(a @ b.T, 9)
                 if per == "right":
                     take = min(k, scores.shape[0])
                     order = np.argsort(-scores, axis=0, kind="stable")[:take]
-                    li = order.ravel(order="F")
-                    ri = np.repeat(np.arange(scores.shape[1]), take)
+                    li, ri = order.ravel(order="F"), np.repeat(np.arange(scores.shape[1]), take)
                 else:
                     take = min(k, scores.shape[1])
                     order = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-                    ri = order.ravel()
-                    li = np.repeat(np.arange(scores.shape[0]), take)
-                yield pd.DataFrame({left_id: batch[left_id].to_numpy()[li], right_id: ids[ri],
-                                    "score": scores[li, ri]})
-
-        parts.append(left.select(left_id, vector).mapInPandas(trim, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
+                    li, ri = np.repeat(np.arange(scores.shape[0]), take), order.ravel()
+                yield pd.DataFrame({left_id: np.asarray(ids)[li], right_id: np.asarray(right_ids)[ri], "score": scores[li, ri]})
+
+    found = pairs.mapInPandas(trim, f"`{left_id}` {left_type}, `{right_id}` {right_type}, score double")
     owner, other = (right_id, left_id) if per == "right" else (left_id, right_id)
-    return top_k(pairs, [owner], [F.desc("score"), F.col(other)], k)
+    return top_k(found, [owner], [F.desc("score"), F.col(other)], k)
 
 
 def mean_vectors(df: DataFrame, label: str, vector: str = "embedding") -> DataFrame:

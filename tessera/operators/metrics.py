@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as lx
 from ..functions.ranking import exact_percentiles, top_k
 from ..functions.text import squash
 from ..session import materialise
 
-RANKED_CAP = 200
 RANKING_METRICS = ("hit@1", "hit@3", "hit@5", "hit@10", "p@5", "r@5", "mrr", "ndcg@10")
 
 
-def ranked_ids(seeds: DataFrame, key: str = "query_id", item: str = "tmtid", cap: int = RANKED_CAP) -> DataFrame:
-    """(key, item, rank): distinct ids in rank order, at most ``cap``.
+def ranked_ids(seeds: DataFrame, key: str = "query_id", item: str = "tmtid", cap: int | None = None) -> DataFrame:
+    """(key, item, rank): distinct ids in rank order, all or at most ``cap``.
 
     Repeats are taken out on the first ``rank`` of each id, before the cut.
     """
     firsts = seeds.groupBy(key, item).agg(F.min("rank").alias("_r"))
-    return top_k(firsts, [key], [F.col("_r"), F.col(item)], cap).drop("_r")
+    if cap is not None:
+        return top_k(firsts, [key], [F.col("_r"), F.col(item)], cap).drop("_r")
+    return firsts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_r", item))).drop("_r")
 
 
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, asked: DataFrame, key: str = "query_id", item: str = "tmtid") -> DataFrame:

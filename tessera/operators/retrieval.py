@@ -25,6 +25,7 @@ from .understanding import fulltext_terms
 RRF_OFFSET = 60
 BM25_K1, BM25_B = 1.2, 0.75
 PATH_CAP = 80
+MAX_HOPS = 3
 FILTER_COLUMNS = ("level", "nlem", "nlem_category", "manufacturer", "tmtid")
 
 
@@ -221,6 +222,8 @@ def walk_counts(anchors: DataFrame, adjacency: DataFrame, hops: int) -> DataFram
     repeat an edge are taken off in closed form, from node degrees and the
     number of edges between two nodes. No edge joins a node to itself.
     """
+    if hops > MAX_HOPS:
+        raise ValueError(f"walks are counted to {MAX_HOPS} hops")
     start = anchors.select(F.col("node_id").alias("anchor")).distinct()
     levels = [start.select("anchor", F.col("anchor").alias("node_id"), F.lit(0).alias("hop"), F.lit(1).cast("bigint").alias("paths"))]
     near = adjacency.select(F.col("node_id").alias("from_id"), F.col("other_id").alias("node_id"), "n")
@@ -265,7 +268,7 @@ def graph_score(hop: Column, support: Column) -> Column:
 def traverse(requests: DataFrame, anchors: DataFrame, cat: Catalogue, limit: int) -> DataFrame:
     """(query_id, node_id, graph_hop, graph_support, g_score, g_rank): nodes around each request's anchors."""
     stored = materialise(anchors, "anchors")
-    hops = min(3, requests.agg(F.max("hops")).first()[0] or 1)
+    hops = requests.agg(F.max("hops")).first()[0] or 1
     counted = walk_counts(stored, cat.neighbours, hops)
     near = (
         stored.join(requests.select("query_id", "hops"), "query_id")

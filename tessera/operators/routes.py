@@ -7,7 +7,7 @@ stage. No stage waits for the one before it, and none is computed twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,8 +25,6 @@ from .retrieval import (Expansion, channel_weights, expand_context, merge_first,
 from .understanding import (anchor_hints, compare_terms, is_manufacturer_request, is_trade_name_request, route_operator,
                             slot_values)
 
-LIST_CAP = 200
-EVAL_LIST_CAP = 5000
 TP_TEXT = ("trade_name", "generic_name", "fsn", "active_substance", "active_substances")
 GP_TEXT = ("name", "fsn", "active_substance", "active_substances")
 SHOWN = ("node_id", "name", "fsn", "trade_name", "manufacturer")
@@ -86,37 +84,55 @@ def _staged(*lists: DataFrame) -> DataFrame:
     return lowest_stage(out)
 
 
+def once_per(asked: DataFrame, keys: Sequence[str], find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``find`` lists for each distinct ``keys``, beside every question that asks for them.
+
+    However many questions share a term, its matches are found and cut to length once; the questions meet only what is left.
+    """
+    keyed = asked.withColumn("asked_key", F.md5(F.to_json(F.struct(*keys))))
+    found = find(keyed.select(F.col("asked_key").alias("query_id"), *keys).distinct())
+    return keyed.select("query_id", "asked_key").join(found.withColumnRenamed("query_id", "asked_key"), "asked_key").drop("asked_key")
+
+
 def list_manufacturers(asked: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     """One trade product per manufacturer of a substance: by text, else through the tree."""
-    return _staged(_one_per_maker(text_matches(asked, cat.nodes, "TP", TP_TEXT), k),
-                   _one_per_maker(tree_products(asked, cat), k))
+    return once_per(asked, ("substance", "strength"), lambda a: _staged(
+        _one_per_maker(text_matches(a, cat.nodes, "TP", TP_TEXT), k), _one_per_maker(tree_products(a, cat), k)))
 
 
 def list_trade_names(asked: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     """Trade products of a substance by name: by text, else through the tree."""
-    return _staged(_named(text_matches(asked, cat.nodes, "TP", TP_TEXT), k, "trade_name", "fsn", "name"),
-                   _named(tree_products(asked, cat), k, "trade_name", "fsn", "name"))
+    return once_per(asked, ("substance", "strength"), lambda a: _staged(
+        _named(text_matches(a, cat.nodes, "TP", TP_TEXT), k, "trade_name", "fsn", "name"),
+        _named(tree_products(a, cat), k, "trade_name", "fsn", "name")))
 
 
 def list_substance_gp(asked: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     """Generic products of a substance: through the tree, else by text."""
-    tree = substance_generics(asked.withColumn("substance", F.lower("substance")), cat.nodes, cat.edges).select(
-        "query_id", F.col("gp").alias("node_id")).distinct().join(cat.nodes.where("level = 'GP'").select(*SHOWN), "node_id")
-    plain = asked.select("query_id", "substance", F.lit("").alias("strength"))
-    return _staged(_named(tree, k, "fsn", "name", "trade_name"),
-                   _named(text_matches(plain, cat.nodes, "GP", GP_TEXT), k, "fsn", "name", "trade_name"))
+    def find(a: DataFrame) -> DataFrame:
+        tree = substance_generics(a.withColumn("substance", F.lower("substance")), cat.nodes, cat.edges).select(
+            "query_id", F.col("gp").alias("node_id")).distinct().join(cat.nodes.where("level = 'GP'").select(*SHOWN), "node_id")
+        plain = a.select("query_id", "substance", F.lit("").alias("strength"))
+        return _staged(_named(tree, k, "fsn", "name", "trade_name"),
+                       _named(text_matches(plain, cat.nodes, "GP", GP_TEXT), k, "fsn", "name", "trade_name"))
+
+    return once_per(asked, ("substance",), find)
 
 
 def list_by_manufacturer(asked: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     """Trade products of a manufacturer: the exact name, else names that contain it."""
     tp = cat.nodes.where("level = 'TP' and manufacturer is not null").withColumn("maker", folded("manufacturer"))
-    terms = asked.select("query_id", F.lower("manufacturer").alias("term")).where("term <> ''")
-    exact = tp.join(terms.withColumnRenamed("term", "maker"), "maker")
-    names = contains_join(terms.select("term").distinct(), tp.select("maker").distinct(), text="maker", key="maker")
-    # Trimmed per term before the questions are attached, so a vast manufacturer ships k rows.
-    near = top_k(tp.join(names, "maker").select("term", "node_id", shown("trade_name", "fsn", "name").alias("shown")),
-                 ["term"], [F.col("shown"), F.col("node_id")], k).join(terms, "term")
-    return _staged(_named(exact, k, "trade_name", "fsn", "name"), near.select("query_id", "node_id", "rank"))
+
+    def find(a: DataFrame) -> DataFrame:
+        terms = a.select("query_id", F.lower("manufacturer").alias("term")).where("term <> ''")
+        exact = tp.join(terms.withColumnRenamed("term", "maker"), "maker")
+        names = contains_join(terms.select("term").distinct(), tp.select("maker").distinct(), text="maker", key="maker")
+        # Trimmed per term before the questions are attached, so a vast manufacturer ships k rows.
+        near = top_k(tp.join(names, "maker").select("term", "node_id", shown("trade_name", "fsn", "name").alias("shown")),
+                     ["term"], [F.col("shown"), F.col("node_id")], k).join(terms, "term")
+        return _staged(_named(exact, k, "trade_name", "fsn", "name"), near.select("query_id", "node_id", "rank"))
+
+    return once_per(asked, ("manufacturer",), find)
 
 
 LIST_HINTS = ("list_substance", "list_strength", "list_maker", "wants_trade", "wants_makers")
@@ -157,9 +173,9 @@ def own_terms() -> Column:
     return F.concat(slot_values("drug"), slot_values("brand"), slot_values("manufacturer"), slot_values("query"), F.col("must_match"))
 
 
-def list_deterministic(structured: DataFrame, cat: Catalogue, k: int, eval_mode: bool = False) -> DataFrame:
+def list_deterministic(structured: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     """(query_id, node_id, rank, mode) from the first list route that finds anything."""
-    k = min(max(k, 1000), EVAL_LIST_CAP) if eval_mode and k >= LIST_CAP else min(max(1, k), LIST_CAP)
+    k = max(1, k)
     asked = list_hints(structured).select(
         "query_id", F.col("list_substance").alias("substance"), F.col("list_strength").alias("strength"),
         F.col("list_maker").alias("manufacturer"), "wants_trade", "wants_makers")
@@ -184,15 +200,15 @@ def lookup_anchor(hints: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     asked = hints.select(
         "query_id", F.col("hint_substance").alias("substance"), F.col("hint_dose").alias("strength"),
         F.lower("hint_maker").alias("maker"), "wants_trade_name", "wants_maker")
-    tp = text_matches(asked, cat.nodes, "TP", TP_TEXT).where(
-        (F.col("maker") == "") | F.contains(folded("manufacturer"), F.col("maker")))
-    gp = text_matches(asked, cat.nodes, "GP", GP_TEXT)
+    tp = once_per(asked, ("substance", "strength", "maker"), lambda a: _named(text_matches(a, cat.nodes, "TP", TP_TEXT).where(
+        (F.col("maker") == "") | F.contains(folded("manufacturer"), F.col("maker"))), k, "trade_name", "fsn", "name"))
+    gp = once_per(asked, ("substance", "strength"), lambda a: _named(text_matches(a, cat.nodes, "GP", GP_TEXT), k, "fsn", "name"))
     mode = F.when(F.col("wants_maker"), "lookup_anchor_tp_manufacturer").when(
         F.col("wants_trade_name"), "lookup_anchor_tp_trade_name").otherwise("lookup_anchor_tp_substance")
     makers = list_by_manufacturer_contains(asked.select("query_id", "maker"), cat, k)
     staged = _staged(
-        _named(tp, k, "trade_name", "fsn", "name").join(asked.select("query_id", mode.alias("mode")), "query_id"),
-        _named(gp, k, "fsn", "name").withColumn("mode", F.lit("lookup_anchor_gp_substance")),
+        tp.join(asked.select("query_id", mode.alias("mode")), "query_id"),
+        gp.withColumn("mode", F.lit("lookup_anchor_gp_substance")),
         makers.withColumn("mode", F.lit("lookup_anchor_tp_manufacturer_only")))
     return staged.drop("stage")
 
@@ -302,7 +318,7 @@ def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
 
 def list_fallback_requests(rows: DataFrame, k: int) -> DataFrame:
     """Hybrid search for list questions no deterministic route answered."""
-    k = min(max(1, k), LIST_CAP)
+    k = max(1, k)
     hinted = prepared(rows)
     null = F.lit(None)
     by_maker = build_requests(
@@ -446,10 +462,10 @@ def compare_detail(found: DataFrame, nodes: DataFrame) -> DataFrame:
         "query_id", F.col("part_no").alias("term_no"), "seed_count", F.col("tmtid").alias("top_tmtid"))
 
 
-def list_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int = 100, eval_mode: bool = False) -> Results:
+def list_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int = 100) -> Results:
     """Deterministic lists first, hybrid search for the rest."""
     rows = prepared(rows)
-    listed = materialise(list_deterministic(rows, cat, k, eval_mode), "listed")
+    listed = materialise(list_deterministic(rows, cat, k), "listed")
     rest = rows.join(listed.select("query_id").distinct(), "query_id", "left_anti")
     found = search_general(list_fallback_requests(rest, k), cat, vectors)
     return _list_results(rows, listed, found)

@@ -25,16 +25,16 @@ def registered(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- ground truth
-PER_LEVEL, CASES, MIN_GP, MIN_PRODUCTS, MAX_IDS, SETS = 200, 120, 5, 20, 300, 80
+PER_LEVEL, CASES, MIN_GP, MIN_PRODUCTS, SETS = 200, 120, 5, 20, 80
 S.fragment("level_sample", f"SELECT *, row_number() OVER (PARTITION BY level ORDER BY {S.digest('42', 'tmtid')}, tmtid) AS sample_no FROM nodes QUALIFY sample_no <= {PER_LEVEL}", "nodes")
 S.fragment("subs_sets", f"""SELECT s.tmtid AS subs_tmtid, s.name AS substance_name, c.*, l.* EXCLUDE (qid), row_number() OVER (ORDER BY md5('42|' || s.tmtid), s.tmtid) AS set_no FROM nodes s
     JOIN (SELECT query_id, {', '.join(f"count(*) FILTER (level = '{lv}') AS {lv.lower()}_n" for lv in ('VTM', 'GP', 'GPU', 'TP', 'TPU'))} FROM members GROUP BY query_id) c ON c.query_id = s.tmtid AND c.gp_n >= {MIN_GP}
-    JOIN (SELECT query_id AS qid, {', '.join(f"coalesce(list_sort(list(node_id) FILTER (level = '{lv}'))[1:{MAX_IDS}], []) AS {lv.lower()}_ids" for lv in ('VTM', 'GP', 'GPU', 'TP', 'TPU'))} FROM members GROUP BY query_id) l ON l.qid = s.tmtid
+    JOIN (SELECT query_id AS qid, {', '.join(f"coalesce(list_sort(list(node_id) FILTER (level = '{lv}')), []) AS {lv.lower()}_ids" for lv in ('VTM', 'GP', 'GPU', 'TP', 'TPU'))} FROM members GROUP BY query_id) l ON l.qid = s.tmtid
     WHERE s.level = 'SUBS' QUALIFY set_no <= {SETS}""", "members", "nodes")
 S.fragment("maker_members", """SELECT lower(trim(manufacturer)) AS maker, 'tp' AS level, node_id FROM nodes WHERE level = 'TP' AND trim(coalesce(manufacturer, '')) <> ''
     UNION ALL SELECT DISTINCT lower(trim(n.manufacturer)), 'tpu', e.dst_id FROM nodes n JOIN edges e ON e.src_id = n.node_id AND e.type = 'HAS_TRADE_UNIT' WHERE n.level = 'TP' AND trim(coalesce(n.manufacturer, '')) <> ''""", "nodes", "edges")
 S.fragment("maker_sets", f"""SELECT maker AS manufacturer_norm, count(*) FILTER (level = 'tp') AS tp_n, count(*) FILTER (level = 'tpu') AS tpu_n, count(*) AS total_n,
-    coalesce(list_sort(list(node_id) FILTER (level = 'tp'))[1:{MAX_IDS}], []) AS tp_ids, coalesce(list_sort(list(node_id) FILTER (level = 'tpu'))[1:{MAX_IDS}], []) AS tpu_ids,
+    coalesce(list_sort(list(node_id) FILTER (level = 'tp')), []) AS tp_ids, coalesce(list_sort(list(node_id) FILTER (level = 'tpu')), []) AS tpu_ids,
     row_number() OVER (ORDER BY md5('42|' || maker), maker) AS set_no FROM maker_members GROUP BY maker HAVING count(*) >= {MIN_PRODUCTS} QUALIFY set_no <= {SETS}""", "maker_members")
 
 
@@ -44,12 +44,12 @@ def sample(spark, d):
 
 def subs_sets(spark, d):
     cat = fx.catalogue(spark, d)
-    return gt.substance_sets(cat.nodes, cat.edges, MIN_GP, MAX_IDS, SETS, 42)
+    return gt.substance_sets(cat.nodes, cat.edges, MIN_GP, None, SETS, 42)
 
 
 def maker_sets(spark, d):
     cat = fx.catalogue(spark, d)
-    return gt.manufacturer_sets(cat.nodes, cat.edges, MIN_PRODUCTS, MAX_IDS, SETS, 42)
+    return gt.manufacturer_sets(cat.nodes, cat.edges, MIN_PRODUCTS, None, SETS, 42)
 
 
 @registered("g1_stratified_sample", S.query("SELECT level, tmtid, sample_no FROM level_sample", "level_sample"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tessera.functions.matching import contains_join, gram_join
+from tessera.functions.matching import contains_join
 from tessera.functions.ranking import exact_percentiles, seeded_hash, spread_rank, top_k
 from tessera.functions.vectors import mean_vectors, score_topk
 from tessera.session import fits, materialise, shared_dir
@@ -20,9 +20,7 @@ def test_gram_join_equals_plain_substring_join(spark):
     t = spark.createDataFrame([(x,) for x in terms], "term string")
     d = spark.createDataFrame(texts, "node_id string, hay string")
     want = {(i, x) for i, s in texts for x in terms if x in s}
-    assert {(r["node_id"], r["term"]) for r in gram_join(t, d).collect()} == want
     assert {(r["node_id"], r["term"]) for r in contains_join(t, d).collect()} == want
-    assert {(r["node_id"], r["term"]) for r in contains_join(t, d, broadcast_limit=3).collect()} == want
 
 
 def test_spread_rank_is_one_global_order(spark):
