@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +25,13 @@ from tessera.session import materialise
 from .common import partitions, schema, text_bytes
 from .graph import keep_members
 from .ngram_join import MAX_CACHED_WORDS, mixed
-from .suffix_arrays import TAG, U64, extents, merged_cuts, per_document, planes, route_of, runs, unplanes
+from .suffix_arrays import (CUT, MARK, MARKS, RANGE, TAG, U64, extents, gather_cuts, gather_marks, homed, of_kind, planes, read, route_of, routed,
+                            runs)
 
 ROUNDS, CHUNK, HELD = 4, 100_000, 1_000_000
 FAR = 1 << 40
 SYMBOL = schema("route int, kind int, name binary, doc binary")
-MARK = schema("doc long, keys binary")
 WINDOW = schema("route int, kind int, hash binary, check binary, doc binary, tag binary, start binary")
-CUT = schema("doc long, tag int, cuts binary")
 
 
 class Words:
@@ -120,13 +118,6 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
 
-def _routed(route: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(route, kind="stable")
-    begins = runs(order, route)
-    for i, j in extents(begins, len(order)):
-        yield int(route[order[i]]), order[i:j]
-
-
 def symbols(docs: DataFrame, routes: int, length: int, rounds: int) -> DataFrame:
     """Top symbols with a context that fits a window (kind 0), one entry per symbol and task; marks (kind 1) of those a task met in two
     documents, and of documents with a window that holds no context at all (key 0 alone)."""
@@ -138,9 +129,9 @@ def symbols(docs: DataFrame, routes: int, length: int, rounds: int) -> DataFrame
         sizes = np.diff(np.r_[begins, len(order)])
         several = np.repeat(doc[order][begins] != doc[order][begins + sizes - 1], sizes) if len(order) else np.zeros(0, bool)
         marked, kept = order[several], order[begins]
-        rows = [(r, 0, planes(name[kept[e]]), planes(doc[kept[e]])) for r, e in _routed(route_of(name[kept], routes))]
+        rows = [(r, 0, planes(name[kept[e]]), planes(doc[kept[e]])) for r, e in routed(route_of(name[kept], routes))]
         key, of = np.r_[name_key(name[marked]), np.zeros(len(bare), np.uint16)], np.r_[doc[marked], bare]
-        rows += [(r, 1, planes(key[e]), planes(of[e])) for r, e in _routed(route_of(of.view(U64), routes))]
+        rows += [(r, 1, planes(key[e]), planes(of[e])) for r, e in routed(route_of(of.view(U64), routes))]
         if rows:
             yield _batch(rows, arrow)
 
@@ -164,10 +155,9 @@ def symbols(docs: DataFrame, routes: int, length: int, rounds: int) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, SYMBOL)
 
 
-def shared_symbols(part: pa.Table) -> pa.Table:
+def shared_symbols(part: pa.Table, routes: int) -> pa.Table:
     """Marks of one route's symbols that two documents have."""
-    read = lambda rows, c, kind: np.concatenate([np.zeros(0, kind), *(unplanes(x.as_py(), kind) for x in rows.column(c))])
-    zero, one = (part.filter(pc.equal(part.column("kind"), k)) for k in (0, 1))
+    zero, one = of_kind(part, 0), of_kind(part, 1)
     name, doc = read(zero, "name", "<u8"), read(zero, "doc", "<i8")
     order = np.argsort(name, kind="stable")
     begins = runs(order, name)
@@ -175,8 +165,7 @@ def shared_symbols(part: pa.Table) -> pa.Table:
     if len(order):
         d = doc[order]
         met[order] = np.repeat(np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins), np.diff(np.r_[begins, len(order)]))
-    rows = list(per_document(np.r_[doc[met], read(one, "doc", "<i8")], np.r_[name_key(name[met]), read(one, "name", "<u2")]))
-    return pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "keys": pa.array([k for _, k in rows], pa.binary())})
+    return homed(to_arrow_schema(MARK), routes, np.r_[doc[met], read(one, "doc", "<i8")], np.r_[name_key(name[met]), read(one, "name", "<u2")])
 
 
 def open_windows(rows: DataFrame, routes: int, length: int, rounds: int) -> DataFrame:
@@ -191,7 +180,7 @@ def open_windows(rows: DataFrame, routes: int, length: int, rounds: int) -> Data
         low = np.repeat(doc[order][begins], np.diff(np.r_[begins, len(order)]))
         rows = []
         for kind, some in ((0, order[doc[order] == low]), (1, order[doc[order] > low])):
-            for r, e in _routed(route_of(h[some] if kind == 0 else doc[some].view(U64), routes)):
+            for r, e in routed(route_of(h[some] if kind == 0 else doc[some].view(U64), routes)):
                 e = some[e]
                 rows.append((r, kind, planes(h[e]) if kind == 0 else b"", planes(check[e]) if kind == 0 else b"", planes(doc[e]), planes(tag[e]), planes(start[e])))
         if rows:
@@ -206,7 +195,7 @@ def open_windows(rows: DataFrame, routes: int, length: int, rounds: int) -> Data
             key, of, alone = name_key(name), owner[low], np.ones(len(name), bool)
             begins = runs(np.arange(len(of)), of)
             for i, j in extents(begins, len(of)):
-                alone[i:j] = ~np.isin(key[i:j], np.frombuffer(b"".join(texts[of[i]][2]), "<u2"))
+                alone[i:j] = ~np.isin(key[i:j], np.frombuffer(texts[of[i]][2], "<u2"))
             starts = window_starts(owner, length)
             s = starts[~holding(starts, low[alone], high[alone], len(words), length)]
             if not len(s):
@@ -227,32 +216,28 @@ def open_windows(rows: DataFrame, routes: int, length: int, rounds: int) -> Data
     return rows.mapInArrow(run, WINDOW)
 
 
-def compare_windows(part: pa.Table, length: int) -> pa.Table:
+def compare_windows(part: pa.Table, length: int, routes: int) -> pa.Table:
     """The cuts of one route: windows that also start in a document with a smaller id."""
-    read = lambda rows, c, kind: np.concatenate([np.zeros(0, kind), *(unplanes(x.as_py(), kind) for x in rows.column(c))])
-    zero, one = (part.filter(pc.equal(part.column("kind"), k)) for k in (0, 1))
+    zero, one = of_kind(part, 0), of_kind(part, 1)
     h, check = read(zero, "hash", "<u8"), read(zero, "check", "<u4")
     doc, tag, start = (read(zero, c, k) for c, k in (("doc", "<i8"), ("tag", "<i4"), ("start", "<i4")))
     order = np.lexsort((doc, check, h))
     begins = runs(order, h, check)
     gone = order[doc[order] > np.repeat(doc[order][begins], np.diff(np.r_[begins, len(order)]))]
     doc, tag, start = (np.r_[x[gone], read(one, c, k)] for x, c, k in ((doc, "doc", "<i8"), (tag, "tag", "<i4"), (start, "start", "<i4")))
-    order = np.lexsort((start, tag, doc))
-    begins = runs(order, doc, tag)
-    cuts = np.c_[start, start + length][order].astype("<i4")
-    return pa.table({"doc": pa.array(doc[order][begins]), "tag": pa.array(tag[order][begins]), "cuts": pa.array(
-        [merged_cuts(cuts[i:j]).tobytes() for i, j in extents(begins, len(order))], pa.binary())})
+    return homed(to_arrow_schema(RANGE), routes, doc, tag, start, (start + length).astype("<i4"))
 
 
 def find_cuts(docs: DataFrame, length: int = 13, rounds: int = ROUNDS) -> DataFrame:
-    """``doc, tag, cuts``: the word ranges to remove from each document, in packed parts that may overlap."""
+    """``doc, tag, cuts``: the word ranges to remove from each document, packed."""
     routes = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marks = symbols(docs, routes, length, rounds).repartition(routes, "route").groupBy("route").applyInArrow(shared_symbols, MARK)
-    found = materialise(marks.groupBy("doc").agg(F.collect_list("keys").alias("keys")), "recompression_found")
+    marks = symbols(docs, routes, length, rounds).repartition(routes, "route").groupBy("route").applyInArrow(lambda part: shared_symbols(part, routes), MARK)
+    found = materialise(marks.groupBy("home").applyInArrow(gather_marks, MARKS), "recompression_found")
     rows = keep_members(docs, "doc_id", found, "doc").join(found, F.col("doc_id") == F.col("doc")).select("doc_id", TAG("text").alias("tag"), "keys", "text")
     windows = open_windows(rows, routes, length, rounds).repartition(routes, "route")
-    return windows.groupBy("route").applyInArrow(lambda part: compare_windows(part, length), CUT)
+    cuts = windows.groupBy("route").applyInArrow(lambda part: compare_windows(part, length, routes), RANGE)
+    return cuts.groupBy("home").applyInArrow(gather_cuts, CUT)
 
 
 def dedup(docs: DataFrame, length: int = 13, rounds: int = ROUNDS, digest: bool = False) -> DataFrame:
@@ -279,7 +264,7 @@ def dedup(docs: DataFrame, length: int = 13, rounds: int = ROUNDS, digest: bool
             rows = []
             for doc, tag, ranges, text in zip(*(part.column(c).to_pylist() for c in ("doc", "tag", "cuts")), text_bytes(part.column("text")), strict=True):
                 words = text.split()
-                edges = [0, *merged_cuts(np.frombuffer(b"".join(ranges), "<i4").reshape(-1, 2)).ravel().tolist(), len(words)]
+                edges = [0, *np.frombuffer(ranges, "<i4").tolist(), len(words)]
                 stays = [w for i, j in zip(edges[::2], edges[1::2], strict=True) for w in words[i:j]]
                 rows.append((doc, tag, len(words) - len(stays), finish(stays)))
             if rows:
@@ -293,8 +278,7 @@ def dedup(docs: DataFrame, length: int = 13, rounds: int = ROUNDS, digest: bool
                 yield _batch(rows, to_arrow_schema(own_schema))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), TAG("text").alias("tag"), "text")
-    each = cuts.groupBy(F.col("doc"), F.col("tag").alias("of_tag")).agg(F.collect_list("cuts").alias("cuts"))
-    some = keep_members(texts, "doc_id", cuts.select("doc").distinct(), "doc").join(each, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("of_tag")))
+    some = keep_members(texts.withColumnRenamed("tag", "of_tag"), "doc_id", cuts, "doc").join(cuts, (F.col("doc_id") == F.col("doc")) & (F.col("of_tag") == F.col("tag")))
     done = materialise(some.select("doc", "tag", "cuts", "text").mapInArrow(cut, out_schema).dropDuplicates(["cut_doc", "cut_tag"]), "recompression_done")
     joined = texts.mapInArrow(whole, own_schema).join(done, (F.col("doc_id") == F.col("cut_doc")) & (F.col("own_tag") == F.col("cut_tag")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("cut_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_kept", "own_kept").alias("kept"))

@@ -29,9 +29,9 @@ from .ngram_join import mixed
 
 GRAM, CHUNK, HELD = 8, 1 << 20, 8 << 20
 ENTRY = schema("route int, kind int, prefix binary, right binary, left binary, doc binary")
-MARK = schema("doc long, keys binary")
+MARK, MARKS = schema("home int, doc binary, key binary"), schema("doc long, keys binary")
 SPAN = schema("route int, kind int, prefix binary, doc binary, tag binary, start binary, lead binary, size binary, bytes binary")
-CUT = schema("doc long, tag int, cuts binary")
+RANGE, CUT = schema("home int, doc binary, tag binary, low binary, high binary"), schema("doc long, tag int, cuts binary")
 U64 = np.uint64
 
 
@@ -153,6 +153,41 @@ def per_document(doc: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, byte
         yield int(both.d[i]), both.v[i:j].tobytes()
 
 
+def routed(route: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each route with the places that go there."""
+    order = np.argsort(route, kind="stable")
+    return ((int(route[order[i]]), order[i:j]) for i, j in extents(runs(order, route), len(order)))
+
+
+def read(rows: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(unplanes(x.as_py(), kind) for x in rows.column(column))])
+
+
+def of_kind(part: pa.Table, kind: int) -> pa.Table:
+    return part.filter(pc.equal(part.column("kind"), kind))
+
+
+def homed(names: pa.Schema, routes: int, doc: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """Results of many documents, one packed row for each route that their documents belong to."""
+    rows = [(r, planes(doc[e]), *(planes(c[e]) for c in columns)) for r, e in routed(route_of(doc.view(U64), routes))]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(names), names, strict=True)], schema=names)
+
+
+def gather_marks(part: pa.Table) -> pa.Table:
+    """One row per document with its distinct marks."""
+    rows = list(per_document(read(part, "doc", "<i8"), read(part, "key", "<u2")))
+    return pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "keys": pa.array([k for _, k in rows], pa.binary())})
+
+
+def gather_cuts(part: pa.Table) -> pa.Table:
+    """One row per document with its ranges, those that touch made one."""
+    doc, tag, low, high = (read(part, c, k) for c, k in (("doc", "<i8"), ("tag", "<i4"), ("low", "<i4"), ("high", "<i4")))
+    order = np.lexsort((low, tag, doc))
+    begins, ranges = runs(order, doc, tag), np.c_[low, high][order]
+    return pa.table({"doc": pa.array(doc[order][begins]), "tag": pa.array(tag[order][begins]), "cuts": pa.array(
+        [merged_cuts(ranges[i:j]).tobytes() for i, j in extents(begins, len(order))], pa.binary())})
+
+
 def batch_entries(texts: DataFrame, routes: int, length: int) -> DataFrame:
     """The suffix array of ``texts`` in one sorted part per route and task (kind 0), and marks (kind 1) of suffixes that a task met
     in two documents. Of such suffixes the first document's alone is indexed, so a passage of very many documents gives one entry a task."""
@@ -166,18 +201,10 @@ def batch_entries(texts: DataFrame, routes: int, length: int) -> DataFrame:
         several = np.repeat(doc[order][begins] != doc[order][begins + sizes - 1], sizes)
         marked = order[several]
         kept = order[begins]
-        route = route_of(prefix[kept], routes)
-        by_route = np.argsort(route, kind="stable")
-        rows = []
-        cut = runs(by_route, route)
-        for i, j in extents(cut, len(by_route)):
-            e = kept[by_route[i:j]]
-            rows.append((int(route[by_route[i]]), 0, planes(prefix[e]), planes(right[e]), planes(left[e]), planes(doc[e])))
+        rows = [(r, 0, planes(prefix[e]), planes(right[e]), planes(left[e]), planes(doc[e]))
+                for r, e in ((r, kept[at]) for r, at in routed(route_of(prefix[kept], routes)))]
         key = mark_of(prefix[marked], right[marked], left[marked])
-        home = route_of(doc[marked].view(U64), routes)
-        for r in np.unique(home):
-            at = home == r
-            rows.append((int(r), 1, b"", planes(key[at]), b"", planes(doc[marked][at])))
+        rows += [(r, 1, b"", planes(key[at]), b"", planes(doc[marked][at])) for r, at in routed(route_of(doc[marked].view(U64), routes))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -198,15 +225,9 @@ def batch_entries(texts: DataFrame, routes: int, length: int) -> DataFrame:
     return texts.mapInArrow(run, ENTRY)
 
 
-def _read(part: pa.Table) -> tuple[np.ndarray, ...]:
-    rows = part.filter(pc.equal(part.column("kind"), 0))
-    read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(unplanes(x.as_py(), kind) for x in rows.column(c))])
-    return read("prefix", "<u8"), read("right", "<u2"), read("left", "<u2"), read("doc", "<i8")
-
-
-def _marks(doc: np.ndarray, key: np.ndarray) -> pa.Table:
-    rows = list(per_document(doc, key))
-    return pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "keys": pa.array([k for _, k in rows], pa.binary())})
+def _entries(part: pa.Table) -> tuple[np.ndarray, ...]:
+    rows = of_kind(part, 0)
+    return read(rows, "prefix", "<u8"), read(rows, "right", "<u2"), read(rows, "left", "<u2"), read(rows, "doc", "<i8")
 
 
 def _meet(prefix: np.ndarray, side: np.ndarray, doc: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -222,24 +243,23 @@ def _meet(prefix: np.ndarray, side: np.ndarray, doc: np.ndarray, new: np.ndarray
     return out
 
 
-def merge_scan(part: pa.Table, level: pa.Table | None) -> pa.Table:
+def merge_scan(part: pa.Table, level: pa.Table | None, routes: int) -> pa.Table:
     """Marks of all suffixes that the batch shares with the level, or within itself if there is none."""
-    sides = [_read(part)] + ([_read(level)] if level is not None else [])
+    sides = [_entries(part)] + ([_entries(level)] if level is not None else [])
     prefix, right, left, doc = (np.concatenate(x) for x in zip(*sides, strict=True))
     new = np.arange(len(doc)) < len(sides[0][3])
     met = _meet(prefix, right, doc, new) | _meet(prefix, left, doc, new)
-    docs, keys = [doc[met]], [mark_of(prefix[met], right[met], left[met])]
+    docs, keys = doc[met], mark_of(prefix[met], right[met], left[met])
     if level is None:
-        for r in part.filter(pc.equal(part.column("kind"), 1)).to_pylist():
-            docs.append(unplanes(r["doc"], "<i8"))
-            keys.append(unplanes(r["right"], "<u2"))
-    return _marks(np.concatenate(docs), np.concatenate(keys))
+        known = of_kind(part, 1)
+        docs, keys = np.r_[docs, read(known, "doc", "<i8")], np.r_[keys, read(known, "right", "<u2")]
+    return homed(to_arrow_schema(MARK), routes, docs, keys)
 
 
 def merge_levels(a: pa.Table, b: pa.Table) -> pa.Table:
     """Two levels' parts as one sorted part. Of a suffix in several documents, all marked by now, the first document's entry stays."""
     route = (a if a.num_rows else b).column("route")[0].as_py()
-    prefix, right, left, doc = (np.concatenate(x) for x in zip(_read(a), _read(b), strict=True))
+    prefix, right, left, doc = (np.concatenate(x) for x in zip(_entries(a), _entries(b), strict=True))
     order = np.lexsort((doc, left, right, prefix))
     kept = order[runs(order, prefix, right, left)]
     row = [route], [0], [planes(prefix[kept])], [planes(right[kept])], [planes(left[kept])], [planes(doc[kept])]
@@ -269,8 +289,10 @@ class SuffixIndex:
             for old in (a, b):
                 self.spark.sql(f"DROP TABLE {old}")
         new = self._store(batch_entries(texts, self.routes, self.length).repartition(self.routes, "route"))
-        marks = [self._by_route(new).applyInArrow(lambda part: merge_scan(part, None), MARK)]
-        marks += [self._by_route(new).cogroup(self._by_route(level)).applyInArrow(merge_scan, MARK) for _, level in self.levels]
+        routes = self.routes
+        marks = [self._by_route(new).applyInArrow(lambda part: merge_scan(part, None, routes), MARK)]
+        marks += [self._by_route(new).cogroup(self._by_route(level)).applyInArrow(lambda part, old: merge_scan(part, old, routes), MARK)
+                  for _, level in self.levels]
         marks = [materialise(m, "suffix_marks") for m in marks]
         self.levels.append((1, new))
         return marks
@@ -288,32 +310,51 @@ def _window_hash(b: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.nd
     return h
 
 
+class Spans:
+    """Byte strings around marked suffixes, as parallel arrays and one buffer."""
+
+    FIELDS = (("prefix", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("lead", "<i4"), ("size", "<i4"))
+
+    def __init__(self, arrays: list[np.ndarray], whole: np.ndarray, base: np.ndarray):
+        self.prefix, self.doc, self.tag, self.start, self.lead, self.size = arrays
+        self.bytes, self.base = whole, base
+
+    def gather(self, some: np.ndarray) -> bytes:
+        size = self.size[some].astype(np.int64)
+        return self.bytes[np.repeat(self.base[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+
+    def by_content(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order in which equal spans stand together, the first document first; which of them are that document's; and which a later one's."""
+        whole = np.zeros(len(self.doc), U64)
+        for n in np.unique(self.size):
+            at = np.flatnonzero(self.size == n)
+            whole[at] = _window_hash(self.bytes, self.base[at], int(n), 11) ^ mixed(np.full(len(at), n, U64))
+        order = np.lexsort((self.doc, whole, self.lead, self.prefix))
+        begins = runs(order, self.prefix, self.lead, whole)
+        lowest = np.repeat(self.doc[order][begins], np.diff(np.r_[begins, len(order)]))
+        return order, self.doc[order] == lowest, self.doc[order] > lowest
+
+    def ranges(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        start = self.start[some].astype(np.int64)
+        return self.doc[some], self.tag[some], start, start + self.size[some]
+
+
 def marked_spans(rows: DataFrame, routes: int, length: int) -> DataFrame:
     """The bytes around each marked suffix of ``doc_id, tag, text, keys`` (kind 0): all windows that have it as their anchor. A task that meets the
     same bytes in a later document cuts them there at once (kind 1)."""
     arrow = to_arrow_schema(SPAN)
 
-    def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # held: prefix, document, tag, start, anchor's place, bytes
-        first: dict[tuple[int, bytes], tuple] = {}
-        cuts: dict[int, list[tuple]] = {}
-        for x in sorted(held, key=lambda x: (x[1], x[3])):
-            if first.setdefault((x[4], x[5]), x)[1] < x[1]:
-                cuts.setdefault(x[1], []).append(x)
-        kept = [x for x in held if first[x[4], x[5]][1] == x[1]]
+    def emit(held: list[Spans]) -> Iterator[pa.RecordBatch]:
+        arrays = [np.concatenate([getattr(x, name) for x in held]) for name, _ in Spans.FIELDS]
+        size = arrays[-1].astype(np.int64)
+        s = Spans(arrays, np.concatenate([*(x.bytes for x in held), np.zeros(8, np.uint8)]), np.cumsum(size) - size)
+        order, first, later = s.by_content()
         rows = []
-        for kind, some, key in ((0, kept, 0), (1, [x for c in cuts.values() for x in c], 1)):
-            if not some:
-                continue
-            prefix, doc, tag, start, lead = (np.array([x[i] for x in some], t) for i, t in enumerate(("<u8", "<i8", "<i4", "<i4", "<i4")))
-            size = np.array([len(x[5]) for x in some], "<i4")
-            route = route_of(prefix if kind == 0 else doc.view(U64), routes)
-            order = np.lexsort((doc, prefix, route))
-            cut = runs(order, route)
-            for i, j in extents(cut, len(order)):
-                e = order[i:j]
-                body = b"".join(some[k][5] for k in e) if kind == 0 else b""
-                rows.append((int(route[e[0]]), kind, planes(prefix[e]), planes(doc[e]), planes(tag[e]), planes(start[e]), planes(lead[e]), planes(size[e]), body))
+        for kind, some in ((0, order[first]), (1, order[later])):
+            for r, e in routed(route_of(s.prefix[some] if kind == 0 else s.doc[some].view(U64), routes)):
+                e = some[e]
+                fields = [planes(getattr(s, name)[e]) for name, _ in Spans.FIELDS]
+                rows.append((r, kind, *fields, s.gather(e) if kind == 0 else b""))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -324,14 +365,14 @@ def marked_spans(rows: DataFrame, routes: int, length: int) -> DataFrame:
         for a, keys in chunks(texts, length):
             own = mark_of(a.prefix, a.right, a.left)
             wanted = np.zeros(len(own), bool)
-            begins = runs(np.arange(len(own)), a.piece)
-            for i, j in extents(begins, len(own)):
-                wanted[i:j] = np.isin(own[i:j], np.frombuffer(b"".join(keys[a.piece[i]]), "<u2"))
-            whole = a.bytes.tobytes()
-            for i in np.flatnonzero(wanted).tolist():
-                body = whole[a.begin[i]:a.end[i] + length]
-                held.append((int(a.prefix[i]), int(a.doc[i]), int(a.tag[i]), int(a.start[i]), int(a.at[i] - a.begin[i]), body))
-                size += 200
+            for i, j in extents(runs(np.arange(len(own)), a.piece), len(own)):
+                wanted[i:j] = np.isin(own[i:j], np.frombuffer(keys[a.piece[i]], "<u2"))
+            i = np.flatnonzero(wanted)
+            found = Spans([x.astype(kind) for x, (_, kind) in zip((a.prefix[i], a.doc[i], a.tag[i], a.start[i], a.at[i] - a.begin[i], a.end[i] + length - a.begin[i]),
+                                                                 Spans.FIELDS, strict=True)], a.bytes, a.begin[i])
+            found.bytes = np.frombuffer(found.gather(np.arange(len(i))), np.uint8)
+            held.append(found)
+            size += len(found.bytes)
             if size >= HELD:
                 yield from emit(held)
                 held, size = [], 0
@@ -341,52 +382,49 @@ def marked_spans(rows: DataFrame, routes: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, SPAN)
 
 
-def compare_spans(part: pa.Table, length: int) -> pa.Table:
+def compare_spans(part: pa.Table, length: int, routes: int) -> pa.Table:
     """The cuts of one route: windows whose bytes start in a document with a smaller id as well."""
-    read = lambda rows, c, kind: np.concatenate([np.zeros(0, kind), *(unplanes(x.as_py(), kind) for x in rows.column(c))])
-    done = part.filter(pc.equal(part.column("kind"), 1))
-    out = [(read(done, "doc", "<i8"), read(done, "tag", "<i4"), s := read(done, "start", "<i4").astype(np.int64), s + read(done, "size", "<i4"))]
-    rows = part.filter(pc.equal(part.column("kind"), 0))
-    prefix, doc, tag, start, lead, size = (read(rows, c, k) for c, k in (
-        ("prefix", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("lead", "<i4"), ("size", "<i4")))
-    b = np.frombuffer(b"".join(x.as_py() for x in rows.column("bytes")) + bytes(8), np.uint8)
-    base = np.cumsum(size, dtype=np.int64) - size
-    # Equal spans first: one each, its first document's, goes on to the windows; the others are cut whole or stand for the same document.
-    whole = np.zeros(len(doc), U64)
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        whole[at] = _window_hash(b, base[at], int(n), 11) ^ mixed(np.full(len(at), n, U64))
-    order = np.lexsort((doc, whole, lead, prefix))
-    begins = runs(order, prefix, lead, whole)
-    sizes = np.diff(np.r_[begins, len(order)])
-    lowest = np.repeat(doc[order][begins], sizes)
-    later = order[doc[order] > lowest]
-    out.append((doc[later], tag[later], start[later].astype(np.int64), start[later].astype(np.int64) + size[later]))
-    # Within one prefix, more than one distinct span: compare window by window. All spans of the first document stay, for each needs its own cuts.
-    rest = order[doc[order] == lowest]
-    groups = runs(rest, prefix)
-    counts = np.diff(np.r_[groups, len(rest)])
-    rest = rest[np.repeat(counts > 1, counts)]
-    for i, j in _slices(rest, prefix, size - length + 1):
+    done, rows, half = of_kind(part, 1), of_kind(part, 0), (length - GRAM) // 2
+    start = read(done, "start", "<i4").astype(np.int64)
+    out = [(read(done, "doc", "<i8"), read(done, "tag", "<i4"), start, start + read(done, "size", "<i4"))]
+    arrays = [read(rows, name, kind) for name, kind in Spans.FIELDS]
+    size = arrays[-1].astype(np.int64)
+    s = Spans(arrays, np.frombuffer(b"".join(x.as_py() for x in rows.column("bytes")) + bytes(8), np.uint8), np.cumsum(size) - size)
+    # Equal spans first: a later document's are cut whole. All of the first document's stay, for each needs its own cuts.
+    order, first, later = s.by_content()
+    out.append(s.ranges(order[later]))
+    rest = order[first]
+    # A window holds the anchor and `half` bytes on one side of it. Where no other span has these, none of the windows on that side is met again.
+    meets = {}
+    for side, has, at in (("right", s.size[rest] - s.lead[rest] >= half + GRAM, s.lead[rest]), ("left", s.lead[rest] >= half, s.lead[rest] - half)):
+        some = np.flatnonzero(has)
+        h = _window_hash(s.bytes, s.base[rest[some]] + at[some], half + GRAM, 17)
+        by = np.lexsort((h, s.prefix[rest[some]]))
+        begins = runs(by, s.prefix[rest[some]], h)
+        counts = np.diff(np.r_[begins, len(by)])
+        meets[side] = np.zeros(len(rest), bool)
+        meets[side][some[by]] = np.repeat(counts > 1, counts)
+    some = np.flatnonzero(meets["right"] | meets["left"])
+    right, left = np.zeros(len(s.doc), bool), np.zeros(len(s.doc), bool)
+    right[rest], left[rest] = meets["right"], meets["left"]
+    rest = rest[some]
+    for i, j in _slices(rest, s.prefix, s.size - length + 1):
         e = rest[i:j]
-        each = (size[e] - length + 1).astype(np.int64)
+        each = (s.size[e] - length + 1).astype(np.int64)
         of = np.repeat(e, each)
         shift = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-        at = base[of] + shift
-        h = _window_hash(b, at, length, 13)
-        place = lead[of] - shift  # of the anchor in the window
-        order = np.lexsort((doc[of], h, place, prefix[of]))
-        begins = runs(order, prefix[of], place, h)
-        low = np.repeat(doc[of][order][begins], np.diff(np.r_[begins, len(order)]))
-        gone = order[doc[of][order] > low]
-        s = start[of[gone]].astype(np.int64) + shift[gone]
-        out.append((doc[of[gone]], tag[of[gone]], s, s + length))
+        place = s.lead[of] - shift  # of the anchor in the window
+        wanted = np.where(place <= half, right[of], left[of])
+        of, shift, place = of[wanted], shift[wanted], place[wanted]
+        h = _window_hash(s.bytes, s.base[of] + shift, length, 13)
+        order = np.lexsort((s.doc[of], h, place, s.prefix[of]))
+        begins = runs(order, s.prefix[of], place, h)
+        low = np.repeat(s.doc[of][order][begins], np.diff(np.r_[begins, len(order)]))
+        gone = order[s.doc[of][order] > low]
+        at = s.start[of[gone]].astype(np.int64) + shift[gone]
+        out.append((s.doc[of[gone]], s.tag[of[gone]], at, at + length))
     doc, tag, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((low, tag, doc))
-    begins = runs(order, doc, tag)
-    cuts = np.c_[low, high][order].astype("<i4")
-    return pa.table({"doc": pa.array(doc[order][begins]), "tag": pa.array(tag[order][begins]), "cuts": pa.array(
-        [merged_cuts(cuts[i:j]).tobytes() for i, j in extents(begins, len(order))], pa.binary())})
+    return homed(to_arrow_schema(RANGE), routes, doc, tag, low.astype("<i4"), high.astype("<i4"))
 
 
 def _slices(rest: np.ndarray, prefix: np.ndarray, windows: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -411,7 +449,7 @@ def merged_cuts(cuts: np.ndarray) -> np.ndarray:
 
 
 def find_cuts(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
-    """``doc, tag, cuts``: the byte ranges to remove from each document, in packed parts that may overlap."""
+    """``doc, tag, cuts``: the byte ranges to remove from each document, packed."""
     spark, routes = docs.sparkSession, partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
@@ -423,11 +461,12 @@ def find_cuts(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
     found = marks[0]
     for m in marks[1:]:
         found = found.unionAll(m)
-    found = materialise(found.groupBy("doc").agg(F.collect_list("keys").alias("keys")), "suffix_found")
+    found = materialise(found.groupBy("home").applyInArrow(gather_marks, MARKS), "suffix_found")
     index.drop()
     rows = keep_members(docs, "doc_id", found, "doc").join(found, F.col("doc_id") == F.col("doc")).select("doc_id", TAG("text").alias("tag"), "text", "keys")
     spans = marked_spans(rows, routes, length).repartition(routes, "route")
-    return spans.groupBy("route").applyInArrow(lambda part: compare_spans(part, length), CUT)
+    cuts = spans.groupBy("route").applyInArrow(lambda part: compare_spans(part, length, routes), RANGE)
+    return cuts.groupBy("home").applyInArrow(gather_cuts, CUT)
 
 
 def dedup(docs: DataFrame, length: int = 50, batches: int = 4, outputs: dict[str, Callable[[Column], Column]] | None = None,
@@ -473,7 +512,7 @@ def cut_texts(rows: DataFrame, cuts: DataFrame, whole_letters: bool = False) ->
         for part in parts:
             out = []
             for doc, tag, ranges, text in zip(*(part.column(c).to_pylist() for c in ("doc", "tag", "cuts")), text_bytes(part.column("text")), strict=True):
-                ranges = merged_cuts(np.frombuffer(b"".join(ranges), "<i4").reshape(-1, 2))
+                ranges = np.frombuffer(ranges, "<i4").reshape(-1, 2)
                 if whole_letters:
                     ranges = merged_cuts(np.array([_whole(text, *x) for x in ranges.tolist()], "<i4"))
                 edges = [0, *ranges.ravel().tolist(), len(text)]
@@ -482,10 +521,9 @@ def cut_texts(rows: DataFrame, cuts: DataFrame, whole_letters: bool = False) ->
             columns = list(zip(*out, strict=True)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    each = cuts.groupBy("doc", "tag").agg(F.collect_list("cuts").alias("cuts"))
-    texts = keep_members(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", cuts.select("doc").distinct(), "doc")
+    texts = keep_members(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", cuts, "doc")
     same = (F.col("doc_id") == F.col("doc")) & (TAG("text") == F.col("tag"))
-    return texts.join(each, same).select("doc", "tag", "cuts", "text").mapInArrow(run, out_schema)
+    return texts.join(cuts, same).select("doc", "tag", "cuts", "text").mapInArrow(run, out_schema)
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
