@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from tessera.session import materialise
+
 KINDS = {"long": LongType(), "int": IntegerType(), "binary": BinaryType(), "boolean": BooleanType(), "string": StringType()}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,6 +33,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a stage table in the shared folder, read back.
+
+    Shuffle files go when the driver collects the garbage that refers to them, which a small driver may not do for half an hour. After a stage table
+    nothing needs the shuffles before it, so the collection is asked for here and disks hold one stage's shuffles at a time.
+    """
+    out = materialise(rows, name)
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def carry(rows: DataFrame, *own: str) -> DataFrame:
     """``rows`` with the columns ``own`` and all others in one, so that their names can't clash with an operator's."""
     others = [F.col(f"`{c}`") for c in rows.columns if c not in own]

@@ -10,9 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
-
-from .common import carry, lower_ascii, restore
+from .common import carry, lower_ascii, restore, stored
 
 #: Whatever is neither a digit, a letter a-z or A-Z, nor outside ASCII.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -25,9 +23,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def parts_of(text: Column) -> Column:
+    """A text, A-Z lower-cased, parted at gaps; the first and the last part may be empty."""
+    # Spark's own lower-casing is far quicker, and does the same to texts of ASCII letters alone.
+    return F.split(F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(lower_ascii(text)), GAP)
+
+
 def words_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; none for null."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != ""), lower_ascii)
+    """The words of a text; none for null."""
+    return F.filter(parts_of(F.coalesce(text, F.lit(""))), lambda w: w != "")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
@@ -41,28 +45,26 @@ def benchmark_windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
     windows = let(F.struct("w", "length"), lambda x: F.transform(
         F.sequence(F.lit(1), F.size(x["w"]) - x["length"] + 1), lambda i: F.slice(x["w"], i, x["length"])))
     each = item.select("item", F.explode(windows).alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    longest = F.array_max(F.transform("window", lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("word"))))["word"]
-    return each.withColumn("key", longest).withColumn("at", (F.array_position(F.transform("window", F.lower), F.col("key")) - 1).cast("int"))
+    longest = F.array_max(F.transform("window", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    return each.withColumn("key", longest).withColumn("at", (F.array_position("window", F.col("key")) - 1).cast("int"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """``hit_doc, hit_text, spans, items`` of the documents that hold a window; ``hit_text`` is a hash of the text.
 
     ``spans`` are the hit word ranges ``[first, end)``, merged and in order. The hash table of windows is keyed by their longest words, so that only
-    places of those words are looked at: first all words of the window there in full lower case, then, of what is left, as the rule has them. It is broadcast
-    after a count shows at most ``BROADCAST_WINDOWS``; a larger benchmark is joined by shuffling on the word. Hits alone shuffle.
+    places of those words are looked at, and there all words of the window are compared. It is broadcast after a count shows at most ``BROADCAST_WINDOWS``; a larger benchmark is joined by shuffling on the word. Hits alone shuffle.
     """
-    windows = materialise(benchmark_windows(benchmark, size), "benchmark_windows")
+    windows = stored(benchmark_windows(benchmark, size), "benchmark_windows")
     total, shortest = windows.agg(F.count("*"), F.coalesce(F.min(F.length("key")), F.lit(0))).first()
-    table = windows.select("key", "at", "window", "items", F.transform("window", F.lower).alias("lowered"), F.size("window").alias("n"))
-    text = docs.select("doc_id", "text", F.split(F.lower("text"), GAP).alias("w"))
-    each = text.select("doc_id", "text", "w", F.posexplode("w").alias("place", "word")).where(F.length("word") >= shortest)
+    table = windows.select("key", "at", "window", "items", F.size("window").alias("n"))
+    each = (docs.select("doc_id", F.xxhash64("text").alias("hit_text"), parts_of(F.col("text")).alias("w"))
+            .select("doc_id", "hit_text", "w", F.posexplode("w").alias("place", "word")).where(F.length("word") >= shortest))
     hit = each.join(F.broadcast(table) if total <= BROADCAST_WINDOWS else table, F.col("word") == F.col("key"))
-    # `lowered` is coarser than the rule, which lowers A-Z only. A text that begins with a gap has an empty first word.
-    hit = hit.where((F.col("place") >= F.col("at")) & (F.slice("w", F.greatest(F.col("place") - F.col("at") + 1, F.lit(1)), F.col("n")) == F.col("lowered")))
+    hit = hit.where((F.col("place") >= F.col("at")) & (F.slice("w", F.greatest(F.col("place") - F.col("at") + 1, F.lit(1)), F.col("n")) == F.col("window")))
+    # A text that begins with a gap has an empty first part.
     first = F.col("place") - F.col("at") - F.when(F.element_at("w", 1) == "", 1).otherwise(0)
-    hit = hit.withColumn("first", first).where(F.slice(words_of(F.col("text")), F.col("first") + 1, F.col("n")) == F.col("window"))
-    found = hit.select("doc_id", F.xxhash64("text").alias("hit_text"), F.struct("first", (F.col("first") + F.col("n")).alias("end")).alias("span"), "items")
+    found = hit.select("doc_id", "hit_text", F.struct(first.alias("first"), (first + F.col("n")).alias("end")).alias("span"), "items")
     merge = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["first"]), F.concat(
         F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))
     ).otherwise(F.concat(acc, F.array(s)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from .common import stored
 
 MEMBER_BITS = 1 << 24
 
@@ -35,7 +35,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star rounds (Kiveris et al., 2014): each node's neighbours move to the smallest one, until nothing moves. Edges never
     grow in number; a hub's neighbours are joined with one row, which adaptive execution splits.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -43,7 +43,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         large = (both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
         lower = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
         small = large.join(lower, F.col("a") == F.col("node")).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialise(small.unionAll(lower.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct(), name)
+        edges = stored(small.unionAll(lower.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct(), name)
         after = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from .common import stored
 
 MAX_TERMS, WEIGHT_CLASSES = 20_000, 8
 #: Licence and the wording of its notices (fixed values).
@@ -77,7 +77,7 @@ def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     bound = F.aggregate("found", F.lit(0.0), lambda acc, t: acc + upper(t))
     share = threshold * threshold / (1 - threshold * threshold)
     unit = unit.where((F.size("found") > 0) & (bound * bound >= share * F.size(F.array_except("words", "found"))))
-    unit = materialise(unit.select("path", "of_text", "line"), "licence_lines")
+    unit = stored(unit.select("path", "of_text", "line"), "licence_lines")
 
     rows = [(i, name, t, n * weight[t]) for i, (name, v) in enumerate(vectors) for t, n in v.items()]
     norms = Counter()
@@ -116,7 +116,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thr
     Inheritance is worked out once per directory: its ancestors, at most as many as its depth, are joined with the directories that have a licence file.
     """
     rows = files.drop("own_licence", "score", "licence", "inherited_from", "of_path", "of_text", "own", "best").withColumn("is_licence_file", F.coalesce("is_licence_file", F.lit(False)))
-    own = materialise(own_licences(rows, templates, threshold), "licence_own").select("of_path", "of_text", F.col("score"), F.col("licence").alias("own_licence"))
+    own = stored(own_licences(rows, templates, threshold), "licence_own").select("of_path", "of_text", F.col("score"), F.col("licence").alias("own_licence"))
     joined = rows.withColumn("in_folder", directory(F.col("path"))).join(own, F.col("path").eqNullSafe(F.col("of_path")) & (F.xxhash64("text") == F.col("of_text")), "left")
     small = joined.select("path", "in_folder", "is_licence_file", "own_licence", "score")
     given = (small.where("is_licence_file and own_licence is not null and path is not null").groupBy(F.col("in_folder").alias("giver"))

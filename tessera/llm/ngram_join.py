@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from tessera.session import materialise
-
-from .common import carry, partitions, restore, schema, text_bytes
+from .common import carry, partitions, restore, schema, stored, text_bytes
 from .graph import components, keep_members
 
 SKETCH_BITS, BLOCK = 20, 4096
@@ -58,8 +56,8 @@ class Shingler:
             return h
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
-            out = mixed(out * _MIX[0] + h[i:len(h) - n + 1 + i])
-        return np.unique(out)
+            out = out * _MIX[0] + h[i:len(h) - n + 1 + i]
+        return np.unique(mixed(out))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -155,7 +153,7 @@ def _may_link(x: Column, y: Column, percent: int) -> Column:
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets are as similar as asked. Only the sets of documents in some pair are built."""
-    members = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "join_members")
+    members = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "join_members")
     arrow = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +163,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, arrow.field(1).type)], schema=arrow)
 
     text = keep_members(docs.select("doc_id", "text"), "doc_id", members, "doc")
-    sets = materialise(text.mapInArrow(run, StructType([StructField("doc", LongType()), StructField("tokens", ArrayType(LongType()))])), "join_sets")
+    sets = stored(text.mapInArrow(run, StructType([StructField("doc", LongType()), StructField("tokens", ArrayType(LongType()))])), "join_sets")
     left, right = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     joined = pairs.select("a", "b").join(left, F.col("a") == F.col("doc_a")).join(right, F.col("b") == F.col("doc_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -181,7 +179,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     Extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialise(profiles(docs, size, percent), "join_profiles")
+    profile = stored(profiles(docs, size, percent), "join_profiles")
     known = profile.where("doc is not null")
     place = known.select("doc", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "p")).select(
         "doc", "n", "at", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"),
@@ -189,29 +187,29 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     whole = F.expr("count(*) over (partition by token, salt)")
     lead = F.expr("min(struct(doc, n, at)) over (partition by token, salt)")
     # A token that the counts show to be frequent is dealt out by salt; the leaders of its salts meet in a second round.
-    salted = materialise(place.withColumns({"members": whole, "lead": lead}).where("members > 1 or salts > 1"), "join_buckets")
+    salted = stored(place.withColumns({"members": whole, "lead": lead}).where("members > 1 or salts > 1"), "join_buckets")
     leads = salted.select("token", "lead").distinct()
     top = leads.groupBy("token").agg(F.min("lead").alias("top"), F.count("*").alias("k")).where("k > 1")
     pair = lambda x, y: (F.greatest(x["doc"], y["doc"]).alias("a"), F.least(x["doc"], y["doc"]).alias("b"))
     me = F.struct("doc", "n", "at")
     star = salted.where((F.col("lead.doc") != F.col("doc")) & _may_link(me, F.col("lead"), percent)).select(*pair(me, F.col("lead")))
     tops = leads.join(top, "token").where((F.col("lead.doc") != F.col("top.doc")) & _may_link(F.col("lead"), F.col("top"), percent)).select(*pair(F.col("lead"), F.col("top")))
-    pairs = materialise(passing(star.unionAll(tops).distinct(), known), "join_pairs")
-    links = materialise(verified(pairs, docs, size, percent), "join_links")
+    pairs = stored(passing(star.unionAll(tops).distinct(), known), "join_pairs")
+    links = stored(verified(pairs, docs, size, percent), "join_links")
 
     # Members of one bucket that are still apart.
-    label = materialise(components(links, "join_first"), "join_labels")
+    label = stored(components(links, "join_first"), "join_labels")
     apart = (salted.select("token", "doc", "n", "at").join(label, F.col("doc") == F.col("node"), "left")
              .select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("component")))
     mixed_up = apart.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("k > 2 and low <> high")
-    apart = materialise(apart.join(mixed_up.select("token", "low"), "token"), "join_apart")
+    apart = stored(apart.join(mixed_up.select("token", "low"), "token"), "join_apart")
     # The component of a bucket's first member, mostly the largest, is never paired with itself.
     x, y = apart.where("component <> low").alias("x"), apart.alias("y")
     more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.low")) | (F.col("x.doc") > F.col("y.doc")))
                    & _may_link(F.struct("x.n", "x.at"), F.struct("y.n", "y.at"), percent))
             .select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    second = materialise(passing(more, known), "join_more")
+    second = stored(passing(more, known), "join_more")
     links = links.unionAll(verified(second, docs, size, percent))
 
     first_of = known.where("copy_of is not null").groupBy("copy_of").agg(F.min("doc").alias("b"))

@@ -19,9 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import materialise
-
-from .common import batches, schema, text_bytes
+from .common import batches, schema, stored, text_bytes
 
 SEQUENCE, OPEN_WINDOWS, FAN_IN, END_ID = 4096, 64, 16, 2
 MAX_WORDS, MAX_CHUNKS = 1_000_000, 300_000
@@ -152,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_windows: in
         return run
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = materialise(text.mapInArrow(first, PLACED), "packed_0")
+    placed = stored(text.mapInArrow(first, PLACED), "packed_0")
     done, left, level = placed.where("not open"), placed.where("open"), 0
     tasks = (left.agg(F.max("task")).first()[0] or 0) + 1
     while True:
@@ -160,5 +158,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_windows: in
         repacked = left.groupBy(F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(again(level, tasks == 1), PLACED)
         if tasks == 1:
             return done.unionAll(repacked).drop("open", "task")
-        repacked = materialise(repacked, f"packed_{level}")
+        repacked = stored(repacked, f"packed_{level}")
         done, left = done.unionAll(repacked.where("not open")), repacked.where("open")

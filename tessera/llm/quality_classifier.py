@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from .common import stored
 
 FEATURES = ("log_words", "mean_word", "symbol_share", "capital_share", "digit_share", "mark_share", "distinct_share", "dup_line_share", "line_words")
 EDGE = 1e-4
@@ -60,9 +60,9 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, thr
     An empty table gives no rows, extra columns are ignored.
     """
     rows = form(docs.select("doc_id", "text", site.cast("string").alias("site"), path.cast("string").alias("path"))).drop("text")
-    rows = materialise(rows, "quality_form")
+    rows = stored(rows, "quality_form")
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("of_doc")).agg(F.round(F.avg("quality")).cast("double").alias("good"))
-    sample = materialise(rows.join(known, F.col("doc_id") == F.col("of_doc")).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(train_rows), "quality_sample")
+    sample = stored(rows.join(known, F.col("doc_id") == F.col("of_doc")).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(train_rows), "quality_sample")
     total, good = sample.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0.0))).first()
     if 0 < good < total:
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="form")
@@ -71,9 +71,9 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, thr
         rows = model.transform(assemble.transform(rows)).withColumn("p_document", vector_to_array("probability")[1])
     else:
         rows = rows.withColumn("p_document", F.lit((good + 1) / (total + 2)))
-    rows = materialise(rows.select("doc_id", "site", "path", "p_document"), "quality_scores")
+    rows = stored(rows.select("doc_id", "site", "path", "p_document"), "quality_scores")
 
-    paths = materialise(rows.groupBy("site", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p_document").alias("sum")), "quality_paths")
+    paths = stored(rows.groupBy("site", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p_document").alias("sum")), "quality_paths")
     sites = paths.groupBy(F.col("site").alias("of_site")).agg(F.sum("n").alias("site_n"), F.sum("sum").alias("site_sum"))
     whole = sites.agg(F.sum("site_sum") / F.sum("site_n")).first()[0]
     if whole is None:

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.session import materialise
-
-from .common import carry, restore, text_bytes
+from .common import carry, restore, stored, text_bytes
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -89,7 +87,7 @@ def group_limits(rows: DataFrame, min_rows: int, width: float, k: int) -> DataFr
     half of a source may be bad without moving it, plus the measure's slack.
     """
     sketches = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, k).alias(m) for m in MEASURES))
-    sketches = materialise(sketches, "quality_sketches")
+    sketches = stored(sketches, "quality_sketches")
     merged = lambda *keys: sketches.groupBy(*keys).agg(F.sum("n").alias("up_n"), *(F.kll_merge_agg_double(m, k).alias(f"up_{m}") for m in MEASURES))
     by_lang = merged("lang").withColumnRenamed("lang", "up_lang")
     whole = merged().first()  # one row of sketches, each of a size that k bounds
@@ -120,7 +118,7 @@ def apply_rules(docs: DataFrame, carry_columns: bool = False, min_rows: int = 20
     rows = with_counts(docs)
     if not carry_columns:
         rows = rows.select("doc_id", "lang", "source", *COUNTS)
-    rows = materialise(rows.drop("base_failed", "failed", "kept"), "quality_counts")
+    rows = stored(rows.drop("base_failed", "failed", "kept"), "quality_counts")
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     shares = {m: _share(top, base) for m, (top, base, _, _) in MEASURES.items()}
     usual = rows.where("not base_failed").select("lang", "source", *(c.alias(m) for m, c in shares.items()))

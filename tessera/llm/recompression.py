@@ -20,9 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import materialise
-
-from .common import partitions, schema, text_bytes
+from .common import partitions, schema, stored, text_bytes
 from .graph import keep_members
 from .ngram_join import MAX_CACHED_WORDS, mixed
 from .suffix_arrays import (CUT, MARK, MARKS, RANGE, TAG, U64, extents, gather_cuts, gather_marks, homed, of_kind, planes, read, route_of, routed,
@@ -201,8 +199,10 @@ def open_windows(rows: DataFrame, routes: int, length: int, rounds: int) -> Data
             if not len(s):
                 continue
             h, check = np.zeros(len(s), U64), np.zeros(len(s), U64)
-            for j in range(length):
-                h, check = mixed(h * U64(3) + words[s + j], 8), mixed(check * U64(5) + words[s + j], 9)
+            for j in range(length):  # two polynomials in the words' hashes
+                word = words[s + j]
+                h, check = h * U64(0x9E3779B97F4A7C15) + word, check * U64(0xC2B2AE3D27D4EB4F) + word
+            h = mixed(h, 8)
             begin = np.searchsorted(owner, np.arange(len(texts)))
             held.append((h, (check >> U64(32)).astype(np.uint32), np.array([t[0] for t in texts], np.int64)[owner[s]],
                          np.array([t[1] for t in texts], np.int32)[owner[s]], (s - begin[owner[s]]).astype(np.int32)))
@@ -233,7 +233,7 @@ def find_cuts(docs: DataFrame, length: int = 13, rounds: int = ROUNDS) -> DataFr
     routes = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     marks = symbols(docs, routes, length, rounds).repartition(routes, "route").groupBy("route").applyInArrow(lambda part: shared_symbols(part, routes), MARK)
-    found = materialise(marks.groupBy("home").applyInArrow(gather_marks, MARKS), "recompression_found")
+    found = stored(marks.groupBy("home").applyInArrow(gather_marks, MARKS), "recompression_found")
     rows = keep_members(docs, "doc_id", found, "doc").join(found, F.col("doc_id") == F.col("doc")).select("doc_id", TAG("text").alias("tag"), "keys", "text")
     windows = open_windows(rows, routes, length, rounds).repartition(routes, "route")
     cuts = windows.groupBy("route").applyInArrow(lambda part: compare_windows(part, length, routes), RANGE)
@@ -247,7 +247,7 @@ def dedup(docs: DataFrame, length: int = 13, rounds: int = ROUNDS, digest: bool
     judged on the input. Null and empty texts have no words. Rows with a null ``doc_id`` neither cut nor are cut; rows that share a ``doc_id`` don't cut
     each other and are told apart by their texts. Extra columns are ignored, and an empty table gives no rows.
     """
-    cuts = materialise(find_cuts(docs, length, rounds), "recompression_cuts")
+    cuts = stored(find_cuts(docs, length, rounds), "recompression_cuts")
     out_schema = schema("cut_doc long, cut_tag int, cut_removed long, cut_kept string")
     own_schema = schema("doc_id long, own_tag int, n_words long, own_kept string")
 
@@ -279,6 +279,6 @@ def dedup(docs: DataFrame, length: int = 13, rounds: int = ROUNDS, digest: bool
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), TAG("text").alias("tag"), "text")
     some = keep_members(texts.withColumnRenamed("tag", "of_tag"), "doc_id", cuts, "doc").join(cuts, (F.col("doc_id") == F.col("doc")) & (F.col("of_tag") == F.col("tag")))
-    done = materialise(some.select("doc", "tag", "cuts", "text").mapInArrow(cut, out_schema).dropDuplicates(["cut_doc", "cut_tag"]), "recompression_done")
+    done = stored(some.select("doc", "tag", "cuts", "text").mapInArrow(cut, out_schema).dropDuplicates(["cut_doc", "cut_tag"]), "recompression_done")
     joined = texts.mapInArrow(whole, own_schema).join(done, (F.col("doc_id") == F.col("cut_doc")) & (F.col("own_tag") == F.col("cut_tag")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("cut_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_kept", "own_kept").alias("kept"))

@@ -21,9 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import materialise
-
-from .common import carry, partitions, restore, schema, text_bytes
+from .common import carry, partitions, restore, schema, stored, text_bytes
 from .graph import keep_members
 from .ngram_join import mixed
 
@@ -35,12 +33,13 @@ RANGE, CUT = schema("home int, doc binary, tag binary, low binary, high binary")
 U64 = np.uint64
 
 
+def grams(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a big-endian number, without a copy: numbers order as the bytes do."""
+    return np.ndarray((len(b) - 7,), ">u8", b, strides=(1,))
+
+
 def load(b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as a big-endian number: numbers order as the bytes do."""
-    out = np.zeros(len(at), U64)
-    for j in range(8):
-        out = (out << U64(8)) | b[at + j].astype(U64)
-    return out
+    return grams(b)[at].astype(U64)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -67,9 +66,7 @@ class Anchors:
         ends = np.cumsum(sizes)
         b = np.frombuffer(b"".join(p[3] for p in pieces) + bytes(GRAM), np.uint8)
         n = int(ends[-1])
-        gram = np.zeros(n, U64)
-        for j in range(GRAM):
-            gram = (gram << U64(8)) | b[j:j + n]
+        gram = grams(b)[:n].astype(U64)
         low = (mixed(gram) & ~U64(0xFFFFFF)) | np.arange(n, dtype=U64)  # smallest hash, of equals the leftmost
         step = 1
         while step * 2 <= reach:
@@ -276,6 +273,7 @@ class SuffixIndex:
     def _store(self, entries: DataFrame) -> str:
         name = f"tessera_suffixes_{uuid.uuid4().hex}"
         entries.write.bucketBy(self.routes, "route").format("parquet").saveAsTable(name)
+        self.spark.sparkContext._jvm.System.gc()  # as in ``stored``
         return name
 
     def _by_route(self, name: str):
@@ -293,7 +291,7 @@ class SuffixIndex:
         marks = [self._by_route(new).applyInArrow(lambda part: merge_scan(part, None, routes), MARK)]
         marks += [self._by_route(new).cogroup(self._by_route(level)).applyInArrow(lambda part, old: merge_scan(part, old, routes), MARK)
                   for _, level in self.levels]
-        marks = [materialise(m, "suffix_marks") for m in marks]
+        marks = [stored(m, "suffix_marks") for m in marks]
         self.levels.append((1, new))
         return marks
 
@@ -461,7 +459,7 @@ def find_cuts(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
     found = marks[0]
     for m in marks[1:]:
         found = found.unionAll(m)
-    found = materialise(found.groupBy("home").applyInArrow(gather_marks, MARKS), "suffix_found")
+    found = stored(found.groupBy("home").applyInArrow(gather_marks, MARKS), "suffix_found")
     index.drop()
     rows = keep_members(docs, "doc_id", found, "doc").join(found, F.col("doc_id") == F.col("doc")).select("doc_id", TAG("text").alias("tag"), "text", "keys")
     spans = marked_spans(rows, routes, length).repartition(routes, "route")
@@ -483,8 +481,8 @@ def dedup(docs: DataFrame, length: int = 50, batches: int = 4, outputs: dict[str
     """
     outputs = outputs or {"kept": lambda b: b}
     rows = docs.drop("n_bytes", "n_removed", "n_spans", "cut_doc", "cut_tag", "cuts", *(f"own_{o}" for o in outputs))
-    cuts = materialise(find_cuts(docs, length, batches), "suffix_cuts")
-    done = materialise(cut_texts(rows, cuts, whole_letters).select("cut_doc", "cut_tag", F.col("n_removed").alias("cut_removed"), F.col("n_spans").alias("cut_spans"), *(
+    cuts = stored(find_cuts(docs, length, batches), "suffix_cuts")
+    done = stored(cut_texts(rows, cuts, whole_letters).select("cut_doc", "cut_tag", F.col("n_removed").alias("cut_removed"), F.col("n_spans").alias("cut_spans"), *(
         f(F.col("kept")).alias(f"cut_{o}") for o, f in outputs.items())).dropDuplicates(["cut_doc", "cut_tag"]), "suffix_done")
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     own = rows.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "own_tag": TAG("text"), **{f"own_{o}": f(whole) for o, f in outputs.items()}})
