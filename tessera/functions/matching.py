@@ -27,6 +27,9 @@ def contains_join(terms: DataFrame, texts: DataFrame, term: str = "term", text:
             F.sequence(F.lit(1), F.length(term) - size + 1), lambda i: F.substring(F.col(term), i, size)))).alias("gram"))
     lengths = [r[0] for r in terms.select(size.alias("n")).distinct().collect()]  # at most three values
 
+    if not lengths:
+        return texts.where("false").withColumn(term, F.lit(None).cast("string"))
+
     def cells(column: str, n: int):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))),
                            lambda i: F.substring(F.col(column), i, F.lit(n)))

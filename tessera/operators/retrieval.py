@@ -421,60 +421,53 @@ class Expansion:
     relationships: DataFrame
 
 
-def expand_context(seeds: DataFrame, cat: Catalogue, depth: int = 2, cap: int = PATH_CAP) -> Expansion:
-    """Undirected trails of 1 to ``depth`` (at most 2) edges from the seeds, ``cap`` per question.
+def expand_context(seeds: DataFrame, cat: Catalogue, depth: int = 2, cap: int | None = PATH_CAP) -> Expansion:
+    """Undirected trails of 1 to ``depth`` edges from the seeds, all of them or the first ``cap`` per question.
 
-    A ``depth`` column of the seeds sets the depth question by question.
-    Paths come in the order (seed rank, hop, edges). Since a question never
-    needs more than ``cap`` of them, every node's links are first trimmed to the
-    ones that order can reach: a node with a billion links sends two short lists.
+    A ``depth`` column of the seeds sets the depth question by question, up to ``depth``.
+    Paths come in the order (seed rank, hop, edges). Under a cap no more than ``cap`` trails per question go on to the next hop, and
+    only such as lead on, and every node's links are first trimmed to the ones that order can reach: a node with a billion links sends a short list.
     """
     if "depth" not in seeds.columns:
         seeds = seeds.withColumn("depth", F.lit(depth))
     seeds = materialise(seeds.select("query_id", "node_id", "rank", "depth"), "expand_seeds")
     near = cat.links.select("node_id", "edge_id", "other_id")
-    frontier = seeds.select("node_id").distinct()
-    mine = near.join(frontier, "node_id")
-    first = top_k(mine, ["node_id"], [F.col("edge_id")], cap, "_r").drop("_r")
-    hop1 = seeds.join(first, "node_id").select(
-        "query_id", "rank", F.col("node_id").alias("n0"), F.col("edge_id").alias("e1"), F.col("other_id").alias("n1"),
-        F.lit(1).alias("hop"), F.lit(None).cast("string").alias("e2"), F.lit(None).cast("string").alias("n2"))
-    paths = hop1
-    if depth >= 2:
-        # The links that lead on: those whose far end has another edge.
-        deep = seeds.where("depth >= 2").select("node_id").distinct()
-        leaving = near.join(deep, "node_id")
-        degree = cat.neighbours.join(leaving.select(F.col("other_id").alias("node_id")).distinct(), "node_id").groupBy("node_id").agg(
-            F.sum("n").alias("degree"))
-        onward = top_k(leaving.join(degree.withColumnRenamed("node_id", "other_id"), "other_id").where("degree > 1"),
-                       ["node_id"], [F.col("edge_id")], cap, "_r").select(
-            "node_id", F.col("edge_id").alias("e1"), F.col("other_id").alias("n1"))
-        onward = materialise(onward, "onward")
-        middle = onward.select(F.col("n1").alias("node_id")).distinct()
-        # One spare link, since the edge just walked is not taken again.
-        second = top_k(near.join(middle, "node_id"), ["node_id"], [F.col("edge_id")], cap + 1, "_r").select(
-            F.col("node_id").alias("n1"), F.col("edge_id").alias("e2"), F.col("other_id").alias("n2"))
-        hop2 = (seeds.where("depth >= 2").join(onward, "node_id").join(second, "n1").where("e1 <> e2")
-                .select("query_id", "rank", F.col("node_id").alias("n0"), "e1", "n1", F.lit(2).alias("hop"), "e2", "n2"))
-        paths = paths.unionByName(hop2)
-    kept = materialise(top_k(paths, ["query_id"], [F.col("rank"), F.col("hop"), F.col("e1"), F.col("e2")], cap, "path_no"),
-                       "paths")
-    steps = F.filter(F.array(
-        F.struct(F.col("e1").alias("edge_id"), F.lit(1).alias("step")),
-        F.struct(F.col("e2").alias("edge_id"), F.lit(2).alias("step"))), lambda s: s.edge_id.isNotNull())
-    stops = F.filter(F.array(F.struct(F.col("n0").alias("node_id"), F.lit(0).alias("step")),
-                             F.struct(F.col("n1").alias("node_id"), F.lit(1).alias("step")),
-                             F.struct(F.col("n2").alias("node_id"), F.lit(2).alias("step"))),
-                     lambda s: s.node_id.isNotNull())
+
+    def first(rows: DataFrame, keys: list[str], order: list[Column], n: int | None, name: str = "_r") -> DataFrame:
+        if n is not None:
+            return top_k(rows, keys, order, n, name)
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    front = seeds.select("query_id", "rank", "depth", F.array("node_id").alias("stops"), F.array().cast("array<string>").alias("steps"))
+    paths = None
+    for hop in range(1, depth + 1):
+        last = front.withColumn("node_id", F.element_at("stops", -1)).where(F.col("depth") >= hop)
+        # A trail takes no edge twice, so up to hop - 1 of a node's links may be taken already.
+        reach = first(near.join(last.select("node_id").distinct(), "node_id"), ["node_id"], [F.col("edge_id")], None if cap is None else cap + hop - 1).drop("_r")
+        walked = last.join(reach, "node_id").where(~F.array_contains("steps", F.col("edge_id"))).select(
+            "query_id", "rank", "depth", F.concat("stops", F.array("other_id")).alias("stops"), F.concat("steps", F.array("edge_id")).alias("steps"))
+        walked = walked.withColumn("hop", F.lit(hop))
+        if hop < depth:
+            walked = materialise(walked, f"walked_{hop}")
+            # Those that lead on: their end has more edges than the trail has taken of it. A trail's own edges at its end are those beside it in ``stops``.
+            ends = walked.where(F.col("depth") > hop).withColumn("node_id", F.element_at("stops", -1))
+            degree = cat.neighbours.join(ends.select("node_id").distinct(), "node_id").groupBy("node_id").agg(F.sum("n").alias("degree"))
+            taken = F.aggregate(F.sequence(F.lit(1), F.size("steps")), F.lit(0), lambda acc, i: acc + F.when(
+                (F.element_at("stops", i) == F.col("node_id")) | (F.element_at("stops", i + 1) == F.col("node_id")), 1).otherwise(0))
+            front = ends.join(degree, "node_id").where(F.col("degree") > taken).drop("node_id", "degree", "hop")
+            if cap is not None:
+                front = first(front, ["query_id"], [F.col("rank"), F.col("steps")], cap).drop("_r")
+        paths = walked if paths is None else paths.unionByName(walked)
+    kept = materialise(first(paths, ["query_id"], [F.col("rank"), F.col("hop"), F.col("steps")], cap, "path_no"), "paths")
     found = (
-        kept.select("query_id", "path_no", F.explode(stops).alias("s"))
-        .groupBy("query_id", "s.node_id").agg(F.min(F.struct("path_no", "s.step")).alias("o")))
+        kept.select("query_id", "path_no", F.posexplode("stops").alias("step", "node_id"))
+        .groupBy("query_id", "node_id").agg(F.min(F.struct("path_no", "step")).alias("o")))
     marked = found.join(seeds.select("query_id", "node_id", F.lit(True).alias("is_seed")), ["query_id", "node_id"], "left")
     nodes = marked.select("query_id", "node_id", F.coalesce("is_seed", F.lit(False)).alias("is_seed"),
                           (F.col("o.path_no") * 10 + F.col("o.step")).alias("found_at"))
     used = (
-        kept.select("query_id", "path_no", F.explode(steps).alias("s"))
-        .groupBy("query_id", "s.edge_id").agg(F.min(F.struct("path_no", "s.step")).alias("o")))
+        kept.select("query_id", "path_no", F.posexplode("steps").alias("step", "edge_id"))
+        .groupBy("query_id", "edge_id").agg(F.min(F.struct("path_no", (F.col("step") + 1).alias("step"))).alias("o")))
     named = F.coalesce("name", "fsn", "trade_name", F.lit("Unknown"))
     ends = materialise(used.join(cat.edges, "edge_id"), "used_edges")
     touched = ends.select(F.explode(F.array("src_id", "dst_id")).alias("node_id"))

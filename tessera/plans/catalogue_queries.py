@@ -206,7 +206,7 @@ def p5(spark, d):
     return rows.select("tmtid", "strength", fl.keep_strength(F.col("strength"), F.col("fsn")).alias("kept"))
 
 
-S.fragment("pairs", "SELECT CAST(l_partkey AS VARCHAR) AS query_id, CAST(l_partkey * 1000 + l_suppkey AS VARCHAR) AS tmtid, l_suppkey, "
+S.fragment("pairs", "SELECT CAST(l_partkey AS VARCHAR) AS query_id, CAST(l_partkey * 1000000000 + l_suppkey AS VARCHAR) AS tmtid, l_suppkey, "
                     "max(l_extendedprice) AS price, max(l_quantity) AS quantity, bool_or(l_returnflag = 'R') AS relevant, max(l_tax) AS tax FROM lineitem GROUP BY l_partkey, l_suppkey")
 S.fragment("ranked_pairs", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY price DESC, l_suppkey) AS rank FROM pairs", "pairs")
 
@@ -216,7 +216,7 @@ def pairs(spark, d) -> DataFrame:
     return li.groupBy("l_partkey", "l_suppkey").agg(
         F.max("l_extendedprice").alias("price"), F.max("l_quantity").alias("quantity"),
         F.bool_or(F.col("l_returnflag") == "R").alias("relevant"), F.max("l_tax").alias("tax")).select(
-        F.col("l_partkey").cast("string").alias("query_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("string").alias("tmtid"),
+        F.col("l_partkey").cast("string").alias("query_id"), (F.col("l_partkey") * 1000000000 + F.col("l_suppkey")).cast("string").alias("tmtid"),
         "l_suppkey", "price", "quantity", "relevant", "tax")
 
 
@@ -363,6 +363,18 @@ def c9(spark, d):
     return ct.reconcile_counts(manual, router)
 
 
+@registered("c9_reconcile_summary", S.query(f"""
+    SELECT verdict, count(*) AS n FROM (SELECT question, manual, router, manual - router AS delta, CASE WHEN router IS NULL THEN 'missing' WHEN manual > router THEN 'broader'
+      WHEN manual < router THEN 'more_constrained' ELSE 'same' END AS verdict FROM (
+    SELECT a.substance AS question, (SELECT count(DISTINCT node_id) FROM members m WHERE m.query_id = a.query_id AND m.level IN ('GP', 'GPU', 'TP', 'TPU')) AS manual,
+      CASE WHEN CAST(a.query_id AS BIGINT) % 4 = 0 THEN NULL WHEN CAST(a.query_id AS BIGINT) % 4 = 1 THEN
+        (SELECT count(*) FROM nodes n WHERE n.level IN ('GP', 'GPU', 'TP', 'TPU') AND {S.contains_any('a.substance')})
+        ELSE (SELECT count(DISTINCT node_id) FROM members m WHERE m.query_id = a.query_id AND m.level = 'GP') END AS router FROM substances a)) GROUP BY verdict""",
+    "substances", "members", "nodes"))
+def c9_summary(spark, d):
+    return ct.reconcile_summary(c9(spark, d))
+
+
 # ---------------------------------------------------------------- deterministic lists
 S.fragment("list_asked", "SELECT 's|' || tmtid AS query_id, lower(name) AS substance, '' AS strength FROM nodes WHERE level = 'SUBS' "
                          "UNION ALL SELECT 'd|' || tmtid, lower(name), '28mg' FROM nodes WHERE level = 'SUBS' "

@@ -203,7 +203,7 @@ def m2(spark, d):
     return mt.count_metrics(rows).withColumn("ape", F.round("ape", 6))
 
 
-S.fragment("claims", "SELECT CAST(p_partkey AS VARCHAR) AS query_id, CAST(p_partkey * 1000 + p_partkey % 10 AS VARCHAR) AS claim_tmtid, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'NATION_' || (p_partkey % 25) END AS claim_manufacturer, p_size % 2 = 0 AS gold_label FROM part")
+S.fragment("claims", "SELECT CAST(p_partkey AS VARCHAR) AS query_id, CAST(p_partkey * 1000000000 + p_partkey % 10 AS VARCHAR) AS claim_tmtid, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'NATION_' || (p_partkey % 25) END AS claim_manufacturer, p_size % 2 = 0 AS gold_label FROM part")
 S.fragment("claim_labels", """SELECT c.query_id, c.gold_label, coalesce(bool_or(s.query_id IS NOT NULL), false) AS pred_label FROM claims c LEFT JOIN (SELECT p.query_id, p.tmtid, lower(m.maker) AS maker FROM pairs p JOIN maker m ON m.s_suppkey = p.l_suppkey) s
     ON s.query_id = c.query_id AND s.tmtid = c.claim_tmtid AND contains(s.maker, lower(c.claim_manufacturer)) GROUP BY ALL""", "claims", "pairs", "maker")
 
@@ -211,7 +211,7 @@ S.fragment("claim_labels", """SELECT c.query_id, c.gold_label, coalesce(bool_or(
 def claim_labels(spark, d) -> DataFrame:
     p = fx.table(spark, d, "part")
     k = F.col("p_partkey")
-    claims = p.select(k.cast("string").alias("query_id"), (k * 1000 + k % 10).cast("string").alias("claim_tmtid"),
+    claims = p.select(k.cast("string").alias("query_id"), (k * 1000000000 + k % 10).cast("string").alias("claim_tmtid"),
                       F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("NATION_"), (k % 25).cast("string"))).alias("claim_manufacturer"), (F.col("p_size") % 2 == 0).alias("gold_label"))
     maker = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("l_suppkey"), F.concat_ws(", ", "s_name", "n_name").alias("manufacturer"))
@@ -277,6 +277,14 @@ def m7(spark, d):
     return mt.acceptance_gate(measured).select("policy", "metric", "op", "target", "value", "passed")
 
 
+@registered("m7_acceptance_verdict", S.query(f"""
+    SELECT policy, bool_and(passed) AS passed FROM (
+      SELECT p.policy, coalesce(CASE WHEN l.op = '>=' THEN a.value >= l.target ELSE a.value <= l.target END, false) AS passed
+      FROM (SELECT DISTINCT policy FROM run_rows) p CROSS JOIN (VALUES {_LIMITS}) l(metric, op, target) LEFT JOIN acceptance a ON a.policy = p.policy AND a.metric = l.metric) GROUP BY policy""", "acceptance"))
+def m7_verdict(spark, d):
+    return mt.acceptance_verdict(m7(spark, d))
+
+
 def policy_runs(spark, d) -> DataFrame:
     """Two policies over the same parts: suppliers by price, and by quantity."""
     def one(by, policy, weight):

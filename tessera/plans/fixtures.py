@@ -42,9 +42,9 @@ def _ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     part = table(spark, sf_dir, "part")
     # Distinct names are a fixed small vocabulary, so ranking them in one window is safe.
     names = part.select("p_name").distinct().withColumn(
-        "vtm", (F.dense_rank().over(Window.orderBy("p_name")) + 200000).cast("string"))
+        "vtm", (F.dense_rank().over(Window.orderBy("p_name")) + 5000000000000).cast("string"))
     words = part.select(F.split("p_name", " ")[1].alias("word")).distinct().withColumn(
-        "subs", (F.dense_rank().over(Window.orderBy("word")) + 100000).cast("string"))
+        "subs", (F.dense_rank().over(Window.orderBy("word")) + 6000000000000).cast("string"))
     gp = (
         part.withColumn("word", F.split("p_name", " ")[1])
         .withColumn("gp", (F.col("p_partkey") + 1000000).cast("string"))
@@ -68,7 +68,7 @@ def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = facts.select("l_partkey", "l_returnflag").distinct().join(parts, "l_partkey")
     trade = (
         facts.select("l_partkey", "l_suppkey").distinct().join(parts, "l_partkey").join(maker, "l_suppkey")
-        .withColumn("pair", F.col("l_partkey") * 1000 + F.col("l_suppkey"))
+        .withColumn("pair", F.col("l_partkey") * 1000000000 + F.col("l_suppkey"))
         .withColumn("brand", F.concat_ws(" ", "p_brand", "p_name"))
         .withColumn("tp_fsn", F.concat(F.col("brand"), F.lit(" ("), F.col("maker"), F.lit(") ("), F.col("word"),
                                        F.lit(" "), F.col("dose"), F.lit(")"))))
@@ -84,11 +84,11 @@ def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
               fsn=F.concat("p_name", F.lit(" (VTM)")), active_substance=F.split("p_name", " ")[1]),
         _node(gp.join(vectors, "p_partkey", "left"), tmtid=F.col("gp"), level=F.lit("GP"), fsn=F.col("gp_fsn"),
               embedding_vec=F.col("embedding"), **generic),
-        _node(units, tmtid=(F.col("l_partkey") * 4 + _flag("l_returnflag") + 2000000).cast("string"),
+        _node(units, tmtid=(F.col("l_partkey") * 4 + _flag("l_returnflag") + 20000000000000).cast("string"),
               level=F.lit("GPU"), fsn=F.concat_ws(" ", "gp_fsn", "l_returnflag"), **generic),
-        _node(trade, tmtid=(F.col("pair") + 1000000000).cast("string"), level=F.lit("TP"), fsn=F.col("tp_fsn"),
+        _node(trade, tmtid=(F.col("pair") + 3000000000000000000).cast("string"), level=F.lit("TP"), fsn=F.col("tp_fsn"),
               **branded),
-        _node(trade_units, tmtid=(F.col("pair") * 4 + _flag("l_returnflag") + 2000000000).cast("string"),
+        _node(trade_units, tmtid=(F.col("pair") * 4 + _flag("l_returnflag") + 4000000000000000000).cast("string"),
               level=F.lit("TPU"), fsn=F.concat_ws(" ", "tp_fsn", "l_returnflag"), **branded),
     ]
     nodes = levels[0]
@@ -100,10 +100,10 @@ def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, words, gp, facts = _ids(spark, sf_dir)
     gp_id = (F.col("l_partkey") + 1000000).cast("string")
-    gpu_id = (F.col("l_partkey") * 4 + _flag("l_returnflag") + 2000000).cast("string")
-    pair = F.col("l_partkey") * 1000 + F.col("l_suppkey")
-    tp_id = (pair + 1000000000).cast("string")
-    tpu_id = (pair * 4 + _flag("l_returnflag") + 2000000000).cast("string")
+    gpu_id = (F.col("l_partkey") * 4 + _flag("l_returnflag") + 20000000000000).cast("string")
+    pair = F.col("l_partkey") * 1000000000 + F.col("l_suppkey")
+    tp_id = (pair + 3000000000000000000).cast("string")
+    tpu_id = (pair * 4 + _flag("l_returnflag") + 4000000000000000000).cast("string")
     linked = names.withColumn("word", F.split("p_name", " ")[1]).join(words, "word")
     pairs = [
         (linked.select(F.col("subs").alias("a"), F.col("vtm").alias("b")), "IS_ACTIVE_SUBSTANCE_OF", "HAS_ACTIVE_SUBSTANCE"),

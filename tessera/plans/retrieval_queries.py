@@ -136,7 +136,7 @@ def r9(spark, d):
     return rv.merge_query_variants(found, exact, 24).select("query_id", "node_id", F.round("rrf_score", 9).alias("rrf_score"), "exact_rank", "found_by_query", "rank")
 
 
-S.fragment("context_seeds", "SELECT query_id, node_id, rank, CASE WHEN CAST(substr(query_id, 3) AS BIGINT) % 3 = 0 THEN 1 ELSE 2 END AS depth FROM r_seeds WHERE rank <= 10", "r_seeds")
+S.fragment("context_seeds", "SELECT query_id, node_id, rank, CASE CAST(substr(query_id, 3) AS BIGINT) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS depth FROM r_seeds WHERE rank <= 10", "r_seeds")
 X.paths("context_seeds", "x")
 
 
@@ -145,9 +145,10 @@ def found_seeds(spark, d) -> DataFrame:
 
 
 def context(spark, d):
-    depth = F.when(F.substring("query_id", 3, 20).cast("bigint") % 3 == 0, 1).otherwise(2)
+    third = F.substring("query_id", 3, 20).cast("bigint") % 3
+    depth = F.when(third == 0, 1).when(third == 1, 2).otherwise(3)
     seeds = found_seeds(spark, d).where("rank <= 10").withColumn("depth", depth)
-    return rv.expand_context(seeds, fx.catalogue(spark, d), 2)
+    return rv.expand_context(seeds, fx.catalogue(spark, d), 3)
 
 
 @registered("r10_expand_context", S.query(
@@ -187,10 +188,10 @@ def r13(spark, d):
     SELECT query_id, node_id, round(score, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM (
       SELECT c.query_id, n.node_id, c.rank, coalesce(len(list_intersect(q.words, {{w}})) / nullif(len(q.words), 0)::DOUBLE, 0.0) AS score
       FROM ranked_pairs c JOIN (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), {X.WORDS}), lambda w: w <> '')) AS words FROM templated) q ON q.query_id = 'p|' || c.query_id
-      JOIN nodes n ON n.node_id = CAST(1000000000 + CAST(c.tmtid AS BIGINT) AS VARCHAR)) QUALIFY new_rank <= 10""".replace(
+      JOIN nodes n ON n.node_id = CAST(3000000000000000000 + CAST(c.tmtid AS BIGINT) AS VARCHAR)) QUALIFY new_rank <= 10""".replace(
     "{w}", f"list_filter(regexp_split_to_array(lower(concat_ws(' ', n.fsn, n.trade_name, n.generic_name)), {X.WORDS}), lambda w: w <> '')"), "ranked_pairs", "templated", "nodes"))
 def r14(spark, d):
-    found = ranked_pairs(spark, d).select(F.concat(F.lit("p|"), "query_id").alias("query_id"), "rank", (F.col("tmtid").cast("bigint") + 1000000000).cast("string").alias("node_id"))
+    found = ranked_pairs(spark, d).select(F.concat(F.lit("p|"), "query_id").alias("query_id"), "rank", (F.col("tmtid").cast("bigint") + 3000000000000000000).cast("string").alias("node_id"))
     ranked = rv.rerank(found, fx.templated(spark, d), fx.catalogue(spark, d).nodes, 10)
     return ranked.select(F.substring("query_id", 3, 20).alias("query_id"), "node_id", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
 

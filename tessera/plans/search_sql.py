@@ -115,15 +115,19 @@ def search(req: str, p: str, vectors: str | None, *needs: str, limit: int = 20)
         JOIN (SELECT query_id AS qid, greatest(3 * k0, 24) AS cap FROM (SELECT query_id, {'k0' if p.startswith('b') else 'k AS k0'} FROM {req})) c ON c.qid = s.query_id WHERE rank <= cap""", f"{p}_fused", f"{p}_exact")
 
 
-def paths(seeds: str, p: str, cap: int = 80) -> None:
+def paths(seeds: str, p: str, cap: int | None = 80) -> None:
     """Fragments ``<p>_paths``, ``<p>_ctx`` and ``<p>_rels`` of the context around ``seeds`` (query_id, node_id, rank, depth)."""
-    S.fragment(f"{p}_paths", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, hop, e1, e2) AS path_no FROM (
-        SELECT s.query_id, s.rank, 1 AS hop, s.node_id AS n0, a.edge_id AS e1, a.other_id AS n1, NULL AS e2, NULL AS n2 FROM {seeds} s JOIN und a ON a.node_id = s.node_id
-        UNION ALL SELECT s.query_id, s.rank, 2, s.node_id, a.edge_id, a.other_id, b.edge_id, b.other_id FROM {seeds} s JOIN und a ON a.node_id = s.node_id
-          JOIN und b ON b.node_id = a.other_id AND b.edge_id <> a.edge_id WHERE s.depth >= 2) QUALIFY path_no <= {cap}""", seeds, "und")
+    limit = f"QUALIFY path_no <= {cap}" if cap else ""
+    S.fragment(f"{p}_paths", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, hop, e1, e2, e3) AS path_no FROM (
+        SELECT s.query_id, s.rank, 1 AS hop, s.node_id AS n0, a.edge_id AS e1, a.other_id AS n1, NULL AS e2, NULL AS n2, NULL AS e3, NULL AS n3 FROM {seeds} s JOIN und a ON a.node_id = s.node_id
+        UNION ALL SELECT s.query_id, s.rank, 2, s.node_id, a.edge_id, a.other_id, b.edge_id, b.other_id, NULL, NULL FROM {seeds} s JOIN und a ON a.node_id = s.node_id
+          JOIN und b ON b.node_id = a.other_id AND b.edge_id <> a.edge_id WHERE s.depth >= 2
+        UNION ALL SELECT s.query_id, s.rank, 3, s.node_id, a.edge_id, a.other_id, b.edge_id, b.other_id, c.edge_id, c.other_id FROM {seeds} s JOIN und a ON a.node_id = s.node_id
+          JOIN und b ON b.node_id = a.other_id AND b.edge_id <> a.edge_id JOIN und c ON c.node_id = b.other_id AND c.edge_id <> a.edge_id AND c.edge_id <> b.edge_id WHERE s.depth >= 3) {limit}""", seeds, "und")
     S.fragment(f"{p}_ctx", f"""SELECT x.query_id, x.node_id, EXISTS (SELECT 1 FROM {seeds} s WHERE s.query_id = x.query_id AND s.node_id = x.node_id) AS is_seed, min(pos_at) AS found_at FROM (
         SELECT query_id, n0 AS node_id, path_no * 10 AS pos_at FROM {p}_paths UNION ALL SELECT query_id, n1, path_no * 10 + 1 FROM {p}_paths
-        UNION ALL SELECT query_id, n2, path_no * 10 + 2 FROM {p}_paths WHERE n2 IS NOT NULL) x GROUP BY ALL""", f"{p}_paths")
+        UNION ALL SELECT query_id, n2, path_no * 10 + 2 FROM {p}_paths WHERE n2 IS NOT NULL UNION ALL SELECT query_id, n3, path_no * 10 + 3 FROM {p}_paths WHERE n3 IS NOT NULL) x GROUP BY ALL""", f"{p}_paths")
     S.fragment(f"{p}_rels", f"""SELECT u.query_id, e.src_id AS start_id, e.type, e.dst_id AS end_id, min(pos_at) AS found_at FROM (
-        SELECT query_id, e1 AS edge_id, path_no * 10 + 1 AS pos_at FROM {p}_paths UNION ALL SELECT query_id, e2, path_no * 10 + 2 FROM {p}_paths WHERE e2 IS NOT NULL) u
+        SELECT query_id, e1 AS edge_id, path_no * 10 + 1 AS pos_at FROM {p}_paths UNION ALL SELECT query_id, e2, path_no * 10 + 2 FROM {p}_paths WHERE e2 IS NOT NULL
+        UNION ALL SELECT query_id, e3, path_no * 10 + 3 FROM {p}_paths WHERE e3 IS NOT NULL) u
         JOIN edges e USING (edge_id) GROUP BY ALL""", f"{p}_paths", "edges")

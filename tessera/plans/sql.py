@@ -127,8 +127,8 @@ def keep_strength(strength: str, fsn: str) -> str:
 
 
 # ---------------------------------------------------------------- the catalogue
-fragment("names", "SELECT p_name, CAST(200000 + dense_rank() OVER (ORDER BY p_name) AS VARCHAR) AS vtm FROM (SELECT DISTINCT p_name FROM part)")
-fragment("words", "SELECT word, CAST(100000 + dense_rank() OVER (ORDER BY word) AS VARCHAR) AS subs FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part)")
+fragment("names", "SELECT p_name, CAST(5000000000000 + dense_rank() OVER (ORDER BY p_name) AS VARCHAR) AS vtm FROM (SELECT DISTINCT p_name FROM part)")
+fragment("words", "SELECT word, CAST(6000000000000 + dense_rank() OVER (ORDER BY word) AS VARCHAR) AS subs FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part)")
 fragment("gp", "SELECT *, split_part(p_name, ' ', 2) AS word, CAST(p_partkey + 1000000 AS VARCHAR) AS gp, "
                "p_name || ' ' || p_size || ' mg ' || lower(p_type) AS gp_fsn, p_size || ' mg' AS dose, "
                "(p_size % 2 = 0) AS is_nlem, (['ก','ข','ค','ง','จ'])[p_size % 5 + 1] AS cat FROM part")
@@ -136,7 +136,7 @@ fragment("facts", "SELECT DISTINCT l_partkey, l_suppkey, l_returnflag, CASE l_re
 fragment("maker", "SELECT s_suppkey, s_name || ', ' || n_name AS maker FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 fragment("trade", "SELECT f.*, g.p_name, g.word, g.dose, m.maker, g.p_brand || ' ' || g.p_name AS brand, "
                   "g.p_brand || ' ' || g.p_name || ' (' || m.maker || ') (' || g.word || ' ' || g.dose || ')' AS tp_fsn "
-                  "FROM (SELECT DISTINCT l_partkey, l_suppkey, l_partkey * 1000 + l_suppkey AS pair FROM facts) f "
+                  "FROM (SELECT DISTINCT l_partkey, l_suppkey, l_partkey * 1000000000 + l_suppkey AS pair FROM facts) f "
                   "JOIN gp g ON g.p_partkey = f.l_partkey JOIN maker m ON m.s_suppkey = f.l_suppkey", "facts", "gp", "maker")
 _NODE = ("tmtid, level, name, fsn, trade_name, generic_name, manufacturer, active_substance, strength, dosageform, nlem, "
          "nlem_category, vec")
@@ -149,11 +149,11 @@ fragment("nodes", f"""
     UNION ALL SELECT vtm, 'VTM', p_name, p_name || ' (VTM)', NULL, NULL, NULL, split_part(p_name, ' ', 2), NULL, NULL, NULL, NULL, NULL FROM names
     UNION ALL SELECT gp, 'GP', p_name, gp_fsn, NULL, p_name, NULL, word, dose, p_type, is_nlem, cat, e.embedding
               FROM gp LEFT JOIN embeddings e ON e.vec_id = gp.p_partkey
-    UNION ALL SELECT CAST(l_partkey * 4 + flag + 2000000 AS VARCHAR), 'GPU', p_name, gp_fsn || ' ' || l_returnflag, NULL, p_name,
+    UNION ALL SELECT CAST(l_partkey * 4 + flag + 20000000000000 AS VARCHAR), 'GPU', p_name, gp_fsn || ' ' || l_returnflag, NULL, p_name,
               NULL, word, dose, p_type, is_nlem, cat, NULL
               FROM (SELECT DISTINCT l_partkey, l_returnflag, flag FROM facts) u JOIN gp ON gp.p_partkey = u.l_partkey
-    UNION ALL SELECT CAST(pair + 1000000000 AS VARCHAR), 'TP', brand, tp_fsn, brand, p_name, maker, word, dose, NULL, NULL, NULL, NULL FROM trade
-    UNION ALL SELECT CAST(t.pair * 4 + f.flag + 2000000000 AS VARCHAR), 'TPU', brand, tp_fsn || ' ' || l_returnflag, brand, p_name, maker,
+    UNION ALL SELECT CAST(pair + 3000000000000000000 AS VARCHAR), 'TP', brand, tp_fsn, brand, p_name, maker, word, dose, NULL, NULL, NULL, NULL FROM trade
+    UNION ALL SELECT CAST(t.pair * 4 + f.flag + 4000000000000000000 AS VARCHAR), 'TPU', brand, tp_fsn || ' ' || l_returnflag, brand, p_name, maker,
               word, dose, NULL, NULL, NULL, NULL
               FROM facts f JOIN trade t ON t.l_partkey = f.l_partkey AND t.l_suppkey = f.l_suppkey)""",
          "words", "names", "gp", "facts", "trade")
@@ -162,10 +162,10 @@ fragment("edges", """
     SELECT UNNEST([{'src_id': a, 'dst_id': b, 'type': f}, {'src_id': b, 'dst_id': a, 'type': r}], recursive := true) FROM (
       SELECT w.subs AS a, n.vtm AS b, 'IS_ACTIVE_SUBSTANCE_OF' AS f, 'HAS_ACTIVE_SUBSTANCE' AS r FROM names n JOIN words w ON w.word = split_part(n.p_name, ' ', 2)
       UNION ALL SELECT g.gp, n.vtm, 'HAS_VTM', 'IS_VTM_OF' FROM gp g JOIN names n ON n.p_name = g.p_name
-      UNION ALL SELECT DISTINCT CAST(l_partkey + 1000000 AS VARCHAR), CAST(l_partkey * 4 + flag + 2000000 AS VARCHAR), 'HAS_GENERIC_UNIT', 'IS_GENERIC_UNIT_OF' FROM facts
-      UNION ALL SELECT DISTINCT CAST(l_partkey + 1000000 AS VARCHAR), CAST(l_partkey * 1000 + l_suppkey + 1000000000 AS VARCHAR), 'HAS_TRADE_PRODUCT', 'IS_TRADE_PRODUCT_OF' FROM facts
-      UNION ALL SELECT CAST(l_partkey * 1000 + l_suppkey + 1000000000 AS VARCHAR), CAST((l_partkey * 1000 + l_suppkey) * 4 + flag + 2000000000 AS VARCHAR), 'HAS_TRADE_UNIT', 'IS_UNIT_OF_TRADE_PRODUCT' FROM facts
-      UNION ALL SELECT CAST(l_partkey * 4 + flag + 2000000 AS VARCHAR), CAST((l_partkey * 1000 + l_suppkey) * 4 + flag + 2000000000 AS VARCHAR), 'HAS_TRADE_EQUIVALENT', 'IS_TRADE_EQUIVALENT_OF' FROM facts))""",
+      UNION ALL SELECT DISTINCT CAST(l_partkey + 1000000 AS VARCHAR), CAST(l_partkey * 4 + flag + 20000000000000 AS VARCHAR), 'HAS_GENERIC_UNIT', 'IS_GENERIC_UNIT_OF' FROM facts
+      UNION ALL SELECT DISTINCT CAST(l_partkey + 1000000 AS VARCHAR), CAST(l_partkey * 1000000000 + l_suppkey + 3000000000000000000 AS VARCHAR), 'HAS_TRADE_PRODUCT', 'IS_TRADE_PRODUCT_OF' FROM facts
+      UNION ALL SELECT CAST(l_partkey * 1000000000 + l_suppkey + 3000000000000000000 AS VARCHAR), CAST((l_partkey * 1000000000 + l_suppkey) * 4 + flag + 4000000000000000000 AS VARCHAR), 'HAS_TRADE_UNIT', 'IS_UNIT_OF_TRADE_PRODUCT' FROM facts
+      UNION ALL SELECT CAST(l_partkey * 4 + flag + 20000000000000 AS VARCHAR), CAST((l_partkey * 1000000000 + l_suppkey) * 4 + flag + 4000000000000000000 AS VARCHAR), 'HAS_TRADE_EQUIVALENT', 'IS_TRADE_EQUIVALENT_OF' FROM facts))""",
          "words", "names", "gp", "facts")
 
 # ---------------------------------------------------------------- fixtures over it

@@ -54,8 +54,8 @@ def small_catalogue(spark, edges):
     return Catalogue(nodes, df, index_documents(nodes), index_postings(nodes), links(df), neighbours(links(df)), len(ids), 2.0)
 
 
-@pytest.mark.parametrize("cap", [5, 80])
-def test_expand_context(spark, cap):
+@pytest.mark.parametrize("cap, depth", [(5, 2), (80, 2), (7, 3), (200, 3), (None, 4)])
+def test_expand_context(spark, cap, depth):
     edges = random_edges(7)
     cat = small_catalogue(spark, edges)
     near = {}
@@ -64,14 +64,19 @@ def test_expand_context(spark, cap):
         near.setdefault(b, []).append((e, a))
     paths = []
     for rank, seed in enumerate(("n2", "n5"), start=1):
-        for e1, n1 in near[seed]:
-            paths.append((rank, 1, e1, "", (seed, n1)))
-            paths += [(rank, 2, e1, e2, (seed, n1, n2)) for e2, n2 in near[n1] if e2 != e1]
+        level = [((), (seed,))]
+        for hop in range(1, depth + 1):
+            level = [((*used, e), (*stops, b)) for used, stops in level for e, b in near.get(stops[-1], []) if e not in used]
+            paths += [(rank, hop, used, stops) for used, stops in level]
     kept = sorted(paths)[:cap]
     seeds = spark.createDataFrame([("q", "n2", 1), ("q", "n5", 2)], "query_id string, node_id string, rank int")
-    around = rv.expand_context(seeds, cat, 2, cap)
-    assert {r["node_id"] for r in around.nodes.collect()} == set(itertools.chain(*[p[4] for p in kept]))
-    used = {e for p in kept for e in p[2:4] if e}
+    around = rv.expand_context(seeds, cat, depth, cap)
+    first: dict = {}
+    for no, p in enumerate(kept, start=1):
+        for step, node in enumerate(p[3]):
+            first.setdefault(node, no * 10 + step)
+    assert {r["node_id"]: r["found_at"] for r in around.nodes.collect()} == first
+    used = {e for p in kept for e in p[2]}
     assert {f"{r['start_id']}|{r['type']}|{r['end_id']}" for r in around.relationships.collect()} == used
     assert {r["node_id"] for r in around.nodes.where("is_seed").collect()} <= {"n2", "n5"}
 
@@ -103,6 +108,11 @@ def test_links_give_both_orientations(spark):
     assert {(r["node_id"], r["other_id"]) for r in links(df).collect()} == {("a", "b"), ("b", "a")}
 
 
+def test_walks_beyond_the_counted_hops_are_refused(spark):
+    with pytest.raises(ValueError):
+        rv.walk_counts(spark.createDataFrame([("q", "n0")], "query_id string, node_id string"), None, 4)
+
+
 def test_variants_are_merged_in_order(spark):
     """A later variant's candidate must beat score plus boost; a node that entered on a boost takes no ranks until it is beaten."""
     candidates = spark.createDataFrame(

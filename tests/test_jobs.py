@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as mt, tagging as tg
 from tessera.operators.intents import parse_label, stratified_split
+from tessera.plans import fixtures
 from tessera.session import stage_path
 from tessera.sources import interactions as it, labelled
 from tessera.streaming.interactions import append_stream, follow_interactions
@@ -76,3 +77,18 @@ def test_gate_fails_on_a_missing_metric(spark):
 def test_ignored_positions_are_left_out(spark):
     rows = spark.createDataFrame([([-100, 1, -100, 2], ["a", "b", "c", "d"])], "labels array<int>, t array<string>")
     assert tg.drop_ignored(rows, "labels", "t").first()["t"] == ["b", "d"]
+
+
+def test_node_ids_stay_apart_at_any_scale(spark, tmp_path):
+    """Part keys beyond a million and supplier keys beyond a thousand give no id twice."""
+    keys, makers = [1, 2, 1_000_000, 1_000_001, 250_000_000], [1, 999, 1000, 1001, 2001]
+    frames = {
+        "part": spark.createDataFrame([(k, f"new word{k} x", "B#1", "STEEL", k % 50) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        "supplier": spark.createDataFrame([(m, f"S{m}", 1) for m in makers], "s_suppkey long, s_name string, s_nationkey long"),
+        "nation": spark.createDataFrame([(1, "N")], "n_nationkey long, n_name string"),
+        "lineitem": spark.createDataFrame([(k, m, f) for k in keys for m in makers for f in "ANR"], "l_partkey long, l_suppkey long, l_returnflag string"),
+        "embeddings": spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")}
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    nodes = fixtures.build_nodes(spark, str(tmp_path))
+    assert nodes.count() == nodes.select("node_id").distinct().count() and nodes.where("level = 'TPU'").count() == 75
