@@ -50,9 +50,9 @@ def carry(rows: DataFrame, *own: str) -> DataFrame:
     return rows.select(*own, (F.struct(*others) if others else F.lit(None)).alias("carried"))
 
 
-def restore(rows: DataFrame, like: DataFrame, *own: str) -> DataFrame:
-    """The columns of ``like`` from rows made by ``carry``."""
-    return rows.select(*(F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in like.columns))
+def restore(rows: DataFrame, like: DataFrame, *own: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``like`` from rows made by ``carry``, and ``extra`` ones."""
+    return rows.select(*(F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in like.columns), *extra)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:

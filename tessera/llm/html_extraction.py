@@ -50,6 +50,7 @@ SEEDS = (
     '<body><h1 data-content>A letter</h1><p data-content>I am writing to you from the coast, where the wind has not stopped since we came here.</p><p data-content>We walk on the beach in the morning; in the afternoon we read.</p><p data-content>Yours.</p><form><p>Write to us and we will answer as soon as we can.</p><input><button>Send</button></form><div class="ad"><p>Buy one, get one for free, only today and only here.</p></div></body>',
     '<body><nav><a href="/">Start</a></nav><article data-content><h1>Bread</h1><p>Flour, water, salt and time are all that a good loaf needs.</p><aside data-not><p>Related: how to clean an oven without any chemicals at all.</p></aside><h2>The dough</h2><p>Mix it in the evening and let it rest until the next day.</p><section data-not class="comments"><p>Mine did not rise, what did I do wrong? I used warm water as you say.</p></section></article><div class="sidebar"><h3>Newsletter</h3><p>Get our best recipes once a week in your mailbox.</p></div></body>',
     '<body><div><div><div class="links"><a href="/1">one</a> | <a href="/2">two</a> | <a href="/3">three</a></div><div data-content><h3>Notes on a walk</h3><div>From the station we went uphill, past the last houses and into the wood.</div><div>There was nobody there, and it was very quiet.</div><pre>km 12, 400 m up</pre></div></div><div class="share"><p>Share this page with your friends</p></div><div role="contentinfo"><p>Hosted by nobody in particular.</p></div></div></body>',
+    '<body><div><a href="/i">Index</a> <a href="/s">Search</a></div><div data-content><h2>On the lake</h2><div>We took the boat out early, when there was still mist on the water.</div><div>Nobody spoke.</div><div>By noon it was hot, and we swam to the island and back.</div></div><div class="related"><div><a href="/r">Another lake, another summer</a></div></div><div>Page made by hand</div></body>',
 )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import carry, restore, stored
 
 MAX_TERMS, WEIGHT_CLASSES = 20_000, 8
 #: Licence and the wording of its notices (fixed values).
@@ -115,7 +115,8 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thr
 
     Inheritance is worked out once per directory: its ancestors, at most as many as its depth, are joined with the directories that have a licence file.
     """
-    rows = files.drop("own_licence", "score", "licence", "inherited_from", "of_path", "of_text", "own", "best").withColumn("is_licence_file", F.coalesce("is_licence_file", F.lit(False)))
+    given_columns = files.drop("own_licence", "score", "licence", "inherited_from")
+    rows = carry(given_columns, "path", "text", "is_licence_file").withColumn("is_licence_file", F.coalesce("is_licence_file", F.lit(False)))
     own = stored(own_licences(rows, templates, threshold), "licence_own").select("of_path", "of_text", F.col("score"), F.col("licence").alias("own_licence"))
     joined = rows.withColumn("in_folder", directory(F.col("path"))).join(own, F.col("path").eqNullSafe(F.col("of_path")) & (F.xxhash64("text") == F.col("of_text")), "left")
     small = joined.select("path", "in_folder", "is_licence_file", "own_licence", "score")
@@ -128,5 +129,6 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thr
     nearest = above.join(given, "giver").groupBy(F.col("in_folder").alias("for_folder")).agg(
         F.max_by(F.struct("giver", "given"), "depth").alias("near"))
     out = joined.join(nearest, (F.col("in_folder") == F.col("for_folder")) & F.col("path").isNotNull(), "left")
-    return out.select(*rows.columns, "own_licence", "score", F.coalesce("own_licence", "near.given").alias("licence"),
-                      F.when(F.col("own_licence").isNull(), F.col("near.giver")).alias("inherited_from"))
+    out = out.select(*rows.columns, "own_licence", "score", F.coalesce("own_licence", "near.given").alias("licence"),
+                     F.when(F.col("own_licence").isNull(), F.col("near.giver")).alias("inherited_from"))
+    return restore(out, given_columns, "path", "text", "is_licence_file", extra=("own_licence", "score", "licence", "inherited_from"))
