@@ -259,7 +259,10 @@ def train(pages: DataFrame, train_pages: int = 2000, seed_weight: int = 25) -> M
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    sample = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("html"), "html").limit(train_pages)
+    marked = pages.select("html", F.xxhash64("html").alias("h")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    # Hashes alone are sorted; pages are read only up to the last hash that is needed.
+    last = marked.select("h").distinct().orderBy("h").limit(train_pages).agg(F.max("h")).first()[0]
+    sample = marked.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).select("html")
     rows = sample.mapInArrow(run, found).groupBy("what", "name", "state").agg(F.sum("n").alias("n")).collect()
     counts = Counter({(r.what, r.name, r.state): r.n for r in rows})
     for seed in SEEDS:

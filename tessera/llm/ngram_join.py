@@ -164,7 +164,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
     text = keep_members(docs.select("doc_id", "text"), "doc_id", members, "doc")
     sets = stored(text.mapInArrow(run, StructType([StructField("doc", LongType()), StructField("tokens", ArrayType(LongType()))])), "join_sets")
-    left, right = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    # Most pairs are with one of few leaders, on the side of ``b``.
+    leaders = stored(keep_members(sets, "doc", pairs.select("b").distinct(), "b"), "join_leaders")
+    left, right = (x.select(F.col("doc").alias(f"doc_{s}"), F.col("tokens").alias(f"tokens_{s}")) for x, s in ((sets, "a"), (leaders, "b")))
     joined = pairs.select("a", "b").join(left, F.col("a") == F.col("doc_a")).join(right, F.col("b") == F.col("doc_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return joined.where(100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
@@ -181,13 +183,16 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = stored(profiles(docs, size, percent), "join_profiles")
     known = profile.where("doc is not null")
+    # Narrow rows, for there are many: size of the set and place in the prefix in one number, and a salt of 0 where the token is not dealt out.
     place = known.select("doc", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "p")).select(
-        "doc", "n", "at", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"),
-        F.pmod(F.xxhash64("doc"), F.col("p.salts")).cast("int").alias("salt"))
+        F.col("p.prefix").alias("token"), "doc", (F.shiftleft("n", 32) + F.col("at")).alias("n_at"),
+        F.when(F.col("p.salts") > 1, F.pmod(F.xxhash64("doc"), F.col("p.salts")) + 1).otherwise(0).cast("int").alias("salt"))
     whole = F.expr("count(*) over (partition by token, salt)")
-    lead = F.expr("min(struct(doc, n, at)) over (partition by token, salt)")
+    lead = F.expr("min(struct(doc, n_at)) over (partition by token, salt)")
+    n_at = lambda x: (F.shiftright(x, 32).alias("n"), x.bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
     # A token that the counts show to be frequent is dealt out by salt; the leaders of its salts meet in a second round.
-    salted = stored(place.withColumns({"members": whole, "lead": lead}).where("members > 1 or salts > 1"), "join_buckets")
+    met = place.withColumns({"members": whole, "lead": lead}).where("members > 1 or salt > 0")
+    salted = stored(met.select("token", "doc", *n_at(F.col("n_at")), F.struct("lead.doc", *n_at(F.col("lead.n_at"))).alias("lead")), "join_buckets")
     leads = salted.select("token", "lead").distinct()
     top = leads.groupBy("token").agg(F.min("lead").alias("top"), F.count("*").alias("k")).where("k > 1")
     pair = lambda x, y: (F.greatest(x["doc"], y["doc"]).alias("a"), F.least(x["doc"], y["doc"]).alias("b"))
@@ -220,8 +225,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 
 
 def passing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
-    """The pairs that share prefix tokens under the second and the third order as well."""
-    side = lambda s: profile.where("prefix is not null").select(F.col("doc").alias(f"doc_{s}"), F.col("second").alias(f"second_{s}"), F.col("third").alias(f"third_{s}"))
+    """The pairs that share prefix tokens under the second and the third order as well. Only the prefixes of documents in some pair are shuffled."""
+    pairs = stored(pairs, "join_met")
+    members = stored(pairs.select(F.explode(F.array("a", "b")).alias("met")).distinct(), "join_met_members")
+    some = stored(keep_members(profile.where("prefix is not null").select("doc", "second", "third"), "doc", members, "met"), "join_met_prefixes")
+    side = lambda s: some.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc", "second", "third")))
     return (pairs.join(side("a"), F.col("a") == F.col("doc_a")).join(side("b"), F.col("b") == F.col("doc_b"))
             .where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"))
 
