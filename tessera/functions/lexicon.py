@@ -121,7 +121,6 @@ BIO_LABELS = ("O", "B-DRUG", "I-DRUG", "B-BRAND", "I-BRAND", "B-MANUFACTURER", "
 # Fixed values.
 ACTION_SUFFIXES = ("find", "check", "count")
 ACTION_OF_SUFFIX = (("find", "lookup"), ("check", "verify"), ("count", "count"))
-KNOWN_TOPICS = ("manufacturer", "substance", "nlem", "hierarchy", "formula", "general")
 HOLDOUT_LABELS = ("manufacturer_check", "substance_count", "nlem_find", "hierarchy_check", "formula_count",
                   "general_find")
 CONFIDENCE_FLOOR, MARGIN_FLOOR = 0.55, 0.03

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon as lx
 from ..functions.matching import contains_join
-from ..functions.ranking import top_k
 from ..functions.text import folded, haystack, matches_any
 from ..schema import CONTAINS_COLUMNS, LEVELS
 
@@ -100,7 +99,3 @@ def final_cap(seeds: DataFrame, routes: DataFrame, limit: int = FINAL_SEEDS) ->
     return (
         seeds.join(routes.select("query_id", "operator", "fallback_used"), "query_id")
         .where((F.col("rank") <= limit) | is_deterministic(F.col("operator"), F.col("fallback_used"))))
-
-
-def best_per_query(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    return top_k(df, ["query_id"], order, k)

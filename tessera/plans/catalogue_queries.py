@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as lx
+from ..functions.ranking import top_k
 from ..operators import counts as ct, filters as fl, routes as rt
 from ..schema import LEVELS, PRODUCT_LEVELS
 from ..session import stage_path
@@ -220,9 +221,12 @@ def pairs(spark, d) -> DataFrame:
         "l_suppkey", "price", "quantity", "relevant", "tax")
 
 
-def ranked_pairs(spark, d, by: str = "price", cap: int = 200) -> DataFrame:
-    from ..functions.ranking import top_k
-    return top_k(pairs(spark, d), ["query_id"], [F.desc(by), F.col("l_suppkey")], cap)
+def ranked_pairs(spark, d, by: str = "price", cap: int | None = None) -> DataFrame:
+    """The suppliers of every part in order, all of them or the first ``cap``."""
+    order = [F.desc(by), F.col("l_suppkey")]
+    if cap is not None:
+        return top_k(pairs(spark, d), ["query_id"], order, cap)
+    return pairs(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
 @registered("p6_final_cap", S.query(

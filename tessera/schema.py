@@ -32,17 +32,12 @@ NODE_SCHEMA = T.StructType(
        T.StructField("embedding_vec", T.ArrayType(T.FloatType())),
        T.StructField("level", T.StringType())])
 EDGE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("edge_id", "src_id", "dst_id", "type")])
-QUESTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("query_id", "question")])
 
 # Text properties searched literally, and those in the text index.
 CONTAINS_COLUMNS = ("fsn", "trade_name", "name", "generic_name", "active_substance", "active_substances")
 INDEX_COLUMNS = ("name", "fsn", "trade_name", "generic_name", "active_substance", "active_substances",
                  "strength", "strengths", "dosageform", "manufacturer")
 
-SLOT = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("value", T.StringType()),
-    T.StructField("confidence", T.DoubleType()), T.StructField("source", T.StringType())])
-
 RUN_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()), T.StructField("query", T.StringType()),
     T.StructField("policy", T.StringType()), T.StructField("expected_operator", T.StringType()),

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import haystack, index_tokens, squash
-from ..schema import EDGE_SCHEMA, INDEX_COLUMNS, CONTAINS_COLUMNS, NODE_SCHEMA, TRAVERSAL_TYPES
+from ..functions.text import index_tokens, squash
+from ..schema import EDGE_SCHEMA, INDEX_COLUMNS, NODE_SCHEMA, TRAVERSAL_TYPES
 from ..session import materialise, stage_path
 
 
@@ -37,11 +37,6 @@ def fetch_nodes(ids: DataFrame, nodes: DataFrame, id_col: str = "node_id") -> Da
     return nodes.join(wanted, "node_id")
 
 
-def search_texts(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``hay``, the folded searchable columns as one string."""
-    return nodes.withColumn("hay", haystack(CONTAINS_COLUMNS))
-
-
 def index_documents(nodes: DataFrame) -> DataFrame:
     """(node_id, doc, doc_len): the indexed properties as one blank-separated token string."""
     words = index_tokens(F.concat_ws(" ", *INDEX_COLUMNS))
