@@ -44,6 +44,14 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stage tables that ``stored`` gave, once all that was made from them is stored itself."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def carry(rows: DataFrame, *own: str) -> DataFrame:
     """``rows`` with the columns ``own`` and all others in one, so that their names can't clash with an operator's."""
     others = [F.col(f"`{c}`") for c in rows.columns if c not in own]

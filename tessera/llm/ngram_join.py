@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import carry, partitions, restore, schema, stored, text_bytes
+from .common import carry, discard, partitions, restore, schema, stored, text_bytes
 from .graph import components, keep_members
 
 SKETCH_BITS, BLOCK = 20, 4096
@@ -169,7 +169,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     left, right = (x.select(F.col("doc").alias(f"doc_{s}"), F.col("tokens").alias(f"tokens_{s}")) for x, s in ((sets, "a"), (leaders, "b")))
     joined = pairs.select("a", "b").join(left, F.col("a") == F.col("doc_a")).join(right, F.col("b") == F.col("doc_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return joined.where(100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
+    links = stored(joined.where(100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b"), "join_links")
+    discard(members, sets, leaders)
+    return links
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -199,8 +201,8 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     me = F.struct("doc", "n", "at")
     star = salted.where((F.col("lead.doc") != F.col("doc")) & _may_link(me, F.col("lead"), percent)).select(*pair(me, F.col("lead")))
     tops = leads.join(top, "token").where((F.col("lead.doc") != F.col("top.doc")) & _may_link(F.col("lead"), F.col("top"), percent)).select(*pair(F.col("lead"), F.col("top")))
-    pairs = stored(passing(star.unionAll(tops).distinct(), known), "join_pairs")
-    links = stored(verified(pairs, docs, size, percent), "join_links")
+    pairs = passing(star.unionAll(tops).distinct(), known)
+    links = verified(pairs, docs, size, percent)
 
     # Members of one bucket that are still apart.
     label = stored(components(links, "join_first"), "join_labels")
@@ -214,13 +216,15 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
                    & ((F.col("y.component") == F.col("y.low")) | (F.col("x.doc") > F.col("y.doc")))
                    & _may_link(F.struct("x.n", "x.at"), F.struct("y.n", "y.at"), percent))
             .select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    second = stored(passing(more, known), "join_more")
-    links = links.unionAll(verified(second, docs, size, percent))
+    second = passing(more, known)
+    more_links = verified(second, docs, size, percent)
 
     first_of = known.where("copy_of is not null").groupBy("copy_of").agg(F.min("doc").alias("b"))
     copies = known.select("copy_of", F.col("doc").alias("a")).join(first_of, "copy_of").where("a <> b").select("a", "b")
-    whole_graph = components(links.unionAll(copies), "join_graph")
-    return (profile.select("doc", "n").join(whole_graph, F.col("doc") == F.col("node"), "left")
+    whole_graph = components(links.unionAll(more_links).unionAll(copies), "join_graph")
+    sizes = stored(profile.select("doc", "n"), "join_sizes")
+    discard(profile, salted, pairs, links, label, apart, second, more_links)
+    return (sizes.join(whole_graph, F.col("doc") == F.col("node"), "left")
             .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")))
 
 
@@ -230,8 +234,10 @@ def passing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("met")).distinct(), "join_met_members")
     some = stored(keep_members(profile.where("prefix is not null").select("doc", "second", "third"), "doc", members, "met"), "join_met_prefixes")
     side = lambda s: some.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc", "second", "third")))
-    return (pairs.join(side("a"), F.col("a") == F.col("doc_a")).join(side("b"), F.col("b") == F.col("doc_b"))
-            .where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"))
+    left = stored(pairs.join(side("a"), F.col("a") == F.col("doc_a")).join(side("b"), F.col("b") == F.col("doc_b"))
+                  .where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), "join_pairs")
+    discard(pairs, members, some)
+    return left
 
 
 def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -112,13 +112,15 @@ def apply_rules(docs: DataFrame, carry_columns: bool = False, min_rows: int = 20
     texts fail the base rule. Repeated rows are judged alike, an empty table gives an empty result, and columns with the names made here
     are replaced. With ``carry_columns`` the input's columns stay, else only ``doc_id``, ``lang`` and ``source``.
 
+    Counts are stored between the two uses, but not with texts beside them: then they are worked out twice.
+
     Sketches are built where the rows lie and merged after, so a hot source sends one sketch a task. The limits join on
     language and source: a small side that Spark broadcasts below its own threshold and else joins with skew splitting.
     """
     rows = with_counts(docs)
     if not carry_columns:
-        rows = rows.select("doc_id", "lang", "source", *COUNTS)
-    rows = stored(rows.drop("base_failed", "failed", "kept"), "quality_counts")
+        rows = stored(rows.select("doc_id", "lang", "source", *COUNTS), "quality_counts")
+    rows = rows.drop("base_failed", "failed", "kept")
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     shares = {m: _share(top, base) for m, (top, base, _, _) in MEASURES.items()}
     usual = rows.where("not base_failed").select("lang", "source", *(c.alias(m) for m, c in shares.items()))
