@@ -39,9 +39,9 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     Shuffle files go when the driver collects the garbage that refers to them, which a small driver may not do for half an hour. After a stage table
     nothing needs the shuffles before it, so the collection is asked for here and disks hold one stage's shuffles at a time.
     """
-    out = materialise(rows, name)
+    # Before the stage, since right after the last one its last events still held on to the plan.
     rows.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return materialise(rows, name)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -80,15 +80,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, min_percent: int
     benchmark window. Null and empty texts have no words and are clean. Rows that repeat a document are judged alike, an empty table on
     either side is fine, and rows of one ``doc_id`` with different texts are kept apart.
     """
-    rows = docs.drop("n_words", "n_hit", "items", "spans", "contaminated", "hit_doc", "hit_text")
+    rows = docs.drop("n_words", "n_hit", "items", "spans", "contaminated", "hit_doc", "hit_text", "own_text")
     hits = find_hits(rows, benchmark, size)
-    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.xxhash64("text") == F.col("hit_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("own_text") == F.col("hit_text"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["first"])
-    joined = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).join(hits, same, "left")
+    # The hash is a column of its own, so that texts nobody asks for stay out of the shuffle.
+    joined = rows.withColumns({"n_words": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "own_text": F.xxhash64("text")}).join(hits, same, "left")
     return (joined.withColumns({"n_hit": F.coalesce(n_hit, F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")),
                                 "spans": F.coalesce("spans", F.array().cast("array<struct<first:int,end:int>>"))})
             .withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words")))
-            .drop("hit_doc", "hit_text"))
+            .drop("hit_doc", "hit_text", "own_text"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = 13, min_percent: int = 5) -> DataFrame:

@@ -118,8 +118,10 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thr
     given_columns = files.drop("own_licence", "score", "licence", "inherited_from")
     rows = carry(given_columns, "path", "text", "is_licence_file").withColumn("is_licence_file", F.coalesce("is_licence_file", F.lit(False)))
     own = stored(own_licences(rows, templates, threshold), "licence_own").select("of_path", "of_text", F.col("score"), F.col("licence").alias("own_licence"))
-    joined = rows.withColumn("in_folder", directory(F.col("path"))).join(own, F.col("path").eqNullSafe(F.col("of_path")) & (F.xxhash64("text") == F.col("of_text")), "left")
-    small = joined.select("path", "in_folder", "is_licence_file", "own_licence", "score")
+    # The hash is a column of its own, so that texts nobody asks for stay out of the shuffle.
+    joined = rows.withColumn("in_folder", directory(F.col("path"))).withColumn("own_text", F.xxhash64("text")).join(
+        own, F.col("path").eqNullSafe(F.col("of_path")) & (F.col("own_text") == F.col("of_text")), "left").drop("of_path", "of_text", "own_text")
+    small = stored(joined.select("path", "in_folder", "is_licence_file", "own_licence", "score"), "licence_files")
     given = (small.where("is_licence_file and own_licence is not null and path is not null").groupBy(F.col("in_folder").alias("giver"))
              .agg(F.min_by("own_licence", F.struct((-F.col("score")).alias("s"), "path")).alias("given")))
     folders = small.where("path is not null").select("in_folder").distinct()
