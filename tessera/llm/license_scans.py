@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import carry, restore, stored
+from .decontamination import let
 
 MAX_TERMS, WEIGHT_CLASSES = 20_000, 8
 #: Licence and the wording of its notices (fixed values).
@@ -73,10 +74,14 @@ def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
     whole = F.when(F.col("is_licence_file"), F.array(text)).otherwise(F.array().cast("array<string>"))
     unit = files.select("path", F.xxhash64("text").alias("of_text"), F.explode(F.array_distinct(F.concat(lines, whole))).alias("line"))
-    unit = unit.withColumn("words", terms(F.col("line"))).withColumn("found", known(F.col("words")))
-    bound = F.aggregate("found", F.lit(0.0), lambda acc, t: acc + upper(t))
     share = threshold * threshold / (1 - threshold * threshold)
-    unit = unit.where((F.size("found") > 0) & (bound * bound >= share * F.size(F.array_except("words", "found"))))
+
+    def may_reach(words: Column, found: Column) -> Column:
+        bound = F.aggregate(found, F.lit(0.0), lambda acc, t: acc + upper(t))
+        return (F.size(found) > 0) & let(bound, lambda x: x * x >= share * (F.size(words) - F.size(found)))  # squares of counts add up to no less than the counts
+
+    # Each of the long expressions stands once in the plan.
+    unit = unit.where(let(terms(F.col("line")), lambda words: let(known(words), lambda found: may_reach(words, found))))
     unit = stored(unit.select("path", "of_text", "line"), "licence_lines")
 
     rows = [(i, name, t, n * weight[t]) for i, (name, v) in enumerate(vectors) for t, n in v.items()]
