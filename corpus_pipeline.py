@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, five-word shingles at a similarity of 0.85, the document with the smallest id stays."""
-    return ngram_join.keep_first(docs, size=5, percent=85)
+    """Of each group of near-duplicates, five-word shingles at a similarity of 0.8 or more, the document with the smallest id stays."""
+    return ngram_join.keep_first(docs, size=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

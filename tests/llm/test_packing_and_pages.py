@@ -155,3 +155,21 @@ def test_pipeline_is_its_stages_over_the_whole_table(spark, sf, tokenizer):
     want = sorted((d, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for d, t in clean)
     got = corpus_pipeline.run(spark, sf)
     assert rows(got.select("doc_id", "doc_tokens").distinct(), "doc_id", "doc_tokens") == want
+
+
+def test_near_duplicate_stage_takes_four_fifths(spark, sf):
+    """Two texts with a five-word Jaccard of 90 to 110 are copies to the pipeline, two with 88 to 112 are not."""
+    first = [f"w{i}" for i in range(104)]  # 100 shingles
+    table = [(1, " ".join(first)), (2, " ".join([*first[:94], *(f"x{i}" for i in range(10))])), (3, " ".join(f"v{i}" for i in range(104))),
+             (4, " ".join([*(f"v{i}" for i in range(92)), *(f"y{i}" for i in range(12))]))]
+    likeness = lambda n: n / (200 - n)
+    assert likeness(90) > 0.8 > likeness(88) > 0.78
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(corpus_pipeline.near_duplicates(spark, docs, sf), "doc_id") == [(1,), (3,), (4,)]
+
+
+def test_pipeline_is_its_stages_at_four_fifths(spark, sf, tokenizer, monkeypatch):
+    """The comparison above with near-duplicates from 80 per cent, whatever figure it names itself."""
+    components = brute.jaccard_components
+    monkeypatch.setattr(brute, "jaccard_components", lambda docs, size, percent: components(docs, size, 80))
+    test_pipeline_is_its_stages_over_the_whole_table(spark, sf, tokenizer)
