@@ -106,6 +106,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     Orders: by the counts' sketch, rarest first; by the count's magnitude, then another hash; by a third hash alone. The last two serve
     as filters and keep 16 bits of each token. A text that the same task has met before has no prefixes: the first one stands for it.
+    Rows without an id link with nothing, so they have none either and stand for no other.
     """
     counts = token_counts(docs, size)
     per_salt = max(SALT_ABOVE, 4 * int(counts.mean()))
@@ -124,7 +125,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     rows.append((doc, 0, None, None, None, None, None))
                     continue
                 copy_of = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if copy_of in met:
+                if doc is None or copy_of in met:
                     rows.append((doc, len(s), copy_of, None, None, None, None))
                     continue
                 met.add(copy_of)

@@ -70,6 +70,13 @@ def test_repeated_rows_and_missing_ids(spark):
     assert rows(ngram_join.join(df), "doc_id", "component_id") == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 3), (None, None)]
 
 
+def test_row_without_id_does_not_stand_for_its_copy(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf at night"
+    df = spark.createDataFrame([(None, text), (5, text), (None, text), (3, text + " x"), (7, text)], "doc_id long, text string").coalesce(1)
+    assert rows(ngram_join.join(df), "doc_id", "n_shingles", "component_id") == [(3, 17, 3), (5, 16, 3), (7, 16, 3), (None, 16, None), (None, 16, None)]
+    assert rows(ngram_join.keep_first(df), "doc_id") == [(3,), (None,), (None,)]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(20, 60)] + [(5, i) for i in range(100, 160)] + [(7, 7)]
     found = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
