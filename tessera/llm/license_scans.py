@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import carry, restore, stored
 from .decontamination import let
 
-MAX_TERMS, WEIGHT_CLASSES = 20_000, 8
+MAX_TERMS, BUCKETS, SCALE = 20_000, 8192, 10_000
 #: Licence and the wording of its notices (fixed values).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -52,54 +52,60 @@ def plain_terms(text: str) -> list[str]:
 def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """``of_path, of_text, score, licence``: the best template of each file that has one; ``of_text`` is a hash of the text.
 
-    Terms outside the templates have the weight of a term that no file has, so foreign words lower a line's cosine. A line goes on to the exact
-    cosine only if an upper bound of it, from the weights of its known terms alone, reaches the threshold; distinct lines are then scored once.
+    Each term weighs by the share of files that have it, whether templates have it or not. A line goes on to the exact cosine only if an upper bound
+    of it, from a table of fixed size by the terms' hashes, reaches the threshold; distinct lines are then scored once.
     """
     vectors = [(name, Counter(plain_terms(text))) for name, text in templates]
     vocabulary = sorted({t for _, v in vectors for t in v})
     if len(vocabulary) > MAX_TERMS:
         raise ValueError(f"templates hold at most {MAX_TERMS} terms")
-    known = lambda words: F.filter(words, lambda t: t.isin(vocabulary))
     text = F.coalesce(F.col("text"), F.lit(""))
-    seen = files.select(F.explode(F.array_distinct(known(terms(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # bounded by the templates
     total = files.count()
-    df = {r.term: r.n for r in seen}
-    weight = {t: math.log((total + 2) / (df.get(t, 0) + 1)) / math.log(total + 2) for t in vocabulary}
-
-    # Upper bound: weights rounded up to a few classes, each a set of terms.
-    classes = {}
-    for t, w in weight.items():
-        classes.setdefault(math.ceil(w * WEIGHT_CLASSES) / WEIGHT_CLASSES, []).append(t)
-    upper = lambda t: F.coalesce(*(F.when(t.isin(some), w) for w, some in sorted(classes.items())), F.lit(0.0))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
-    whole = F.when(F.col("is_licence_file"), F.array(text)).otherwise(F.array().cast("array<string>"))
-    unit = files.select("path", F.xxhash64("text").alias("of_text"), F.explode(F.array_distinct(F.concat(lines, whole))).alias("line"))
-    share = threshold * threshold / (1 - threshold * threshold)
-
-    def may_reach(words: Column, found: Column) -> Column:
-        bound = F.aggregate(found, F.lit(0.0), lambda acc, t: acc + upper(t))
-        return (F.size(found) > 0) & let(bound, lambda x: x * x >= share * (F.size(words) - F.size(found)))  # squares of counts add up to no less than the counts
-
-    # Each of the long expressions stands once in the plan.
-    unit = unit.where(let(terms(F.col("line")), lambda words: let(known(words), lambda found: may_reach(words, found))))
-    unit = stored(unit.select("path", "of_text", "line"), "licence_lines")
-
+    # A term of one file needs no row, for each term of a line is in some file.
+    counts = stored(files.select(F.explode(F.array_distinct(terms(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+                    .where((F.col("n") > 1) | F.col("term").isin(vocabulary)), "licence_terms")
+    df = {r.term: r.n for r in counts.where(F.col("term").isin(vocabulary)).collect()}  # bounded by the templates
+    log_total = math.log(total + 2)
+    weigh = lambda n: math.log((total + 2) / (n + 1)) / log_total
+    weight = {t: weigh(df.get(t, 0)) for t in vocabulary}
     rows = [(i, name, t, n * weight[t]) for i, (name, v) in enumerate(vectors) for t, n in v.items()]
     norms = Counter()
     for i, _, _, x in rows:
         norms[i] += x * x
     rows = [(name, i, t, x / math.sqrt(norms[i])) for i, name, t, x in rows if norms[i] > 0]
     spark = files.sparkSession
+
+    # Upper bound: a line's product with a template is at most the sum over its words of weight times largest value in a template, and its
+    # norm at least the root of the sum of squared weights; of all terms in a bucket the largest product and the smallest weight count.
+    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")
+    most, least = [0] * BUCKETS, [1] * BUCKETS
+    for r in counts.groupBy(bucket("term").alias("b")).agg(F.max("n").alias("n")).collect():
+        least[r.b] = r.n
+    place = {r.term: r.b for r in spark.createDataFrame([(t,) for t in vocabulary], "term string").select("term", bucket("term").alias("b")).collect()}
+    for _, _, t, value in rows:
+        most[place[t]] = max(most[place[t]], math.ceil(SCALE * weight[t] * value) + 1)
+    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    products, squares = listed(most), listed([math.floor(SCALE * SCALE * weigh(n) ** 2) for n in least])
+    added = lambda words, values: F.aggregate(words, F.lit(0).cast("long"), lambda acc, t: acc + F.get(values, bucket(t))).cast("double")
+    enough = threshold * threshold * (1 - 1e-6)  # scores are rounded
+    may_reach = lambda words: let(added(words, products), lambda x: (x > 0) & (x * x >= enough * added(words, squares)))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
+    whole = F.when(F.col("is_licence_file"), F.array(text)).otherwise(F.array().cast("array<string>"))
+    unit = files.select("path", F.xxhash64("text").alias("of_text"), F.explode(F.array_distinct(F.concat(lines, whole))).alias("line"))
+    # Each of the long expressions stands once in the plan. Lines go into the joins by a hash of 128 bits.
+    unit = unit.where(let(terms(F.col("line")), may_reach))
+    unit = stored(unit.select("path", "of_text", F.unhex(F.md5("line")).alias("line_key"), "line"), "licence_lines")
+
     template = spark.createDataFrame(rows, "licence string, template int, term string, value double")
-    weights = spark.createDataFrame(list(weight.items()), "known string, weight double")
-    term = (unit.select("line").distinct().select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-            .join(weights, F.col("term") == F.col("known"), "left").withColumn("x", F.col("tf") * F.coalesce("weight", F.lit(1.0))).select("line", "term", "x"))
+    term = (unit.groupBy("line_key").agg(F.first("line").alias("line")).select(F.col("line_key").alias("line"), F.explode(terms(F.col("line"))).alias("term"))
+            .groupBy("line", "term").agg(F.count("*").alias("tf")).join(counts.select(F.col("term").alias("known"), "n"), F.col("term") == F.col("known"), "left")
+            .withColumn("x", F.col("tf") * F.log((total + 2) / (F.coalesce("n", F.lit(1)) + 1)) / log_total).select("line", "term", "x"))
     norm = term.groupBy(F.col("line").alias("of_line")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = term.join(template, "term").groupBy("line", "licence", "template").agg(F.sum(F.col("x") * F.col("value")).alias("dot"))
     cosine = dot.join(norm, F.col("line") == F.col("of_line")).withColumn("score", F.round(F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0), 9))
     best = (cosine.where(F.col("score") >= threshold).groupBy("line")
             .agg(F.min_by(F.struct("score", "licence"), F.struct((-F.col("score")).alias("s"), "licence")).alias("best")))
-    return (unit.join(best.withColumnRenamed("line", "of_line"), F.col("line") == F.col("of_line"))
+    return (unit.join(best.withColumnRenamed("line", "of_line"), F.col("line_key") == F.col("of_line"))
             .groupBy(F.col("path").alias("of_path"), "of_text")
             .agg(F.min_by("best", F.struct((-F.col("best.score")).alias("s"), "best.licence")).alias("best"))
             .select("of_path", "of_text", "best.score", "best.licence"))
