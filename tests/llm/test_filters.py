@@ -110,6 +110,17 @@ def test_trees_learn_on_held_out_urls(spark):
     assert right >= 0.95 * 300
 
 
+def test_suffix_rates_count_every_label(spark):
+    """A site whose labelled urls all hash into the half that the trees' sample is drawn from, beyond that sample, is judged by its labels."""
+    known = [(f"https://s{i % 30}.example/page-{i:06d}", int(i % 30 < 9)) for i in range(3000)]
+    rare = spark.range(600).select(F.format_string("https://rare.example/page-%06d", "id").alias("url")).where(F.xxhash64("url", F.lit("part")) % 2 == 0)
+    largest = rare.where(F.xxhash64("url") > 0).limit(100).withColumn("bad", F.lit(1))
+    labelled = spark.createDataFrame(known, "url string, bad int").unionAll(largest)
+    asked = spark.createDataFrame([("https://rare.example/page-900000",), ("https://s3.example/page-900001",), ("https://s20.example/page-900002",)], "url string")
+    got = {r.url: r.verdict for r in url_filters.judge_urls(asked, labelled, [], train_rows=400, trees=4, depth=3).collect()}
+    assert list(map(got.get, (r.url for r in asked.collect()))) == ["block", "block", "allow"]
+
+
 # ---------------------------------------------------------------- licence scans
 def test_licences_of_lines_and_folders(spark):
     mit = license_scans.TEMPLATES[1][1]
