@@ -27,10 +27,14 @@ from .common import schema
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PART = re.compile(r"[a-z]+")
-SKIPPED = frozenset("script style noscript template svg math iframe object title textarea select canvas audio video".split())
+#: Left out up to their end tag, or to the end of the page: what they hold is no markup, or is not shown.
+SKIPPED = frozenset("script style noscript template iframe title textarea".split())
+FOREIGN = frozenset("svg math".split())
+#: Text in them belongs to the block around them, parted from the words beside them.
+EMBEDDED = FOREIGN | frozenset("object canvas audio video".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 ROOT = frozenset("html body".split())
-SIDE = frozenset("nav header footer aside form fieldset menu dialog button label legend".split())
+SIDE = frozenset("nav header footer aside form fieldset menu dialog button label legend select".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption caption summary address".split())
 BOXES = frozenset("div section main article td th ul ol dl table tbody thead tfoot tr figure details center head frameset hgroup".split())
 BLOCKS = ROOT | SIDE | TEXTUAL | BOXES
@@ -69,7 +73,7 @@ def kind(tag: str) -> str:
 def parse(page: str) -> list[Node]:
     """The block elements of a page, parents before children; inline elements belong to the block around them. Never fails: unclosed and stray tags are put up with."""
     nodes = [Node("html", -1, ["tag:html"], None)]
-    stack, place, at, link, held = [0], 0, 0, 0, []
+    stack, place, at, link, held, foreign = [0], 0, 0, 0, [], 0
 
     def flush() -> None:
         nonlocal held, place
@@ -99,7 +103,10 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "a":
+            if tag in EMBEDDED:
+                held.append(" ")
+                foreign = max(0, foreign - (tag in FOREIGN))
+            elif tag == "a":
                 link = max(0, link - 1)
             elif tag in BLOCKS:
                 open_at = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), 0)
@@ -108,7 +115,12 @@ def parse(page: str) -> list[Node]:
                     del stack[open_at:]
                     link = 0
             continue
-        if tag in SKIPPED:
+        if tag in EMBEDDED:
+            held.append(" ")
+            foreign += tag in FOREIGN and not m[3].endswith("/")
+        elif tag in SKIPPED:
+            if foreign and m[3].endswith("/"):
+                continue  # in svg and math any element may be empty
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             held.append(" ")
@@ -116,6 +128,7 @@ def parse(page: str) -> list[Node]:
             link += 1
         elif tag in BLOCKS:
             flush()
+            foreign = 0
             if nodes[stack[-1]].tag == "p":
                 stack.pop()
             closes = CLOSES.get(tag)

@@ -130,6 +130,30 @@ def test_text_of_pages(spark, sf):
     assert len(got) == 7 and he.main_text(df.where("false")).collect() == []
 
 
+SENTENCE = "It rained for three days, so the road to the pass was closed on Monday, said the mayor."
+
+
+@pytest.mark.parametrize("inside, text", [
+    ('<svg viewBox="0 0 9 9"/>', ""), ("<math/>", ""), ("<svg><style/><title/><path d='M0'/></svg>", ""), ("<svg><path d='M0'/>", ""), ("<svg><style>p{}</style></svg>", ""),
+    ("<math><mi>E</mi><mo>=</mo><mi>m</mi></math>", "E=m"), ("<object data='a.pdf'>a plan of the road</object>", "a plan of the road"), ("<object data='a.pdf'>", ""), ("<audio src='a.mp3'>", ""),
+    ("<video controls><source src='a.mp4'></video>", ""), ("<canvas></canvas>", ""), ("<script>x('<p>')</script>", ""), ("<iframe src='a'>no frames</iframe>", ""), ("<noscript>turn it on</noscript>", ""),
+    ("<textarea>write</textarea>", ""), ("<template><p>none</p></template>", "")])
+def test_embedded_elements_leave_the_text_around_them(inside, text):
+    """No element without an end tag takes what follows it along, and formulas and fallback text stay."""
+    counts = he.Counter()
+    for seed in he.SEEDS:
+        he.count_page(he.parse(seed), False, 25, counts)
+    page = f"<body><nav><a href='/'>Home</a></nav><article><p>{SENTENCE}</p><p>{SENTENCE} {inside} {SENTENCE}</p><p>{SENTENCE}</p><svg>x</svg></article></body>"
+    assert he.extract(page, he.Model(counts)) == " ".join([SENTENCE, SENTENCE, *([text] if text else []), SENTENCE, SENTENCE, "x"])
+
+
+def test_choices_are_left_to_the_model(spark, sf):
+    model = he.train(spark.read.parquet(f"{sf}/pages.parquet"))
+    page = f"<body><article><p>{SENTENCE}</p><p>{SENTENCE}</p><select><option>one<option>two</select><p>{SENTENCE}</p></article></body>"
+    assert he.extract(page, model) == " ".join([SENTENCE] * 3)
+    assert he.extract(page.replace("</select>", ""), model).count(SENTENCE) >= 2
+
+
 # ---------------------------------------------------------------- the pipeline
 def test_pipeline_is_its_stages_over_the_whole_table(spark, sf, tokenizer):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
