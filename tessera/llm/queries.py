@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import stage_path
+
 from . import (decontamination, html_extraction, license_scans, ngram_join, packing, quality_classifier, quality_rules, recompression,
-               suffix_arrays, url_filters)
+               suffix_arrays, token_files, url_filters)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +90,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources are the sites, languages their paths."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stage_path(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_files.read(spark, folder)
