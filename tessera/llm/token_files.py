@@ -37,7 +37,10 @@ SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4096, 32768
 FILE_BYTES, GROUP_BYTES, MEMORY_BYTES = 16 << 20, 1 << 20, 96 << 20
 MAGIC, HEAD = b"tokfile1", "<8sB32sQQ"
 SPACE = re.compile(rb"[ \t-\r]")
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which may open a contraction
+#: ASCII punctuation between a letter or digit and white space, which is a word of its own; not the apostrophe, which may open a contraction.
+TAIL = re.compile(rb"([!-&(-/:-@\[-`{-~](?<=[0-9a-z].)[!-&(-/:-@\[-`{-~]*)(?=[ \t-\r]|\Z)")
+#: Words of lower-case letters of ASCII and Latin-1 alone.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 ENCODED = schema("bucket int, doc_id long, n_tokens long, ids_crc32 long, ids binary")
 FRAME = schema("path string, doc_id long, start long, n_tokens long, offset long, length long")
 TOKENS = schema("doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -48,6 +51,7 @@ class Encoder:
 
     The tokenizers served here drop white space and part words from punctuation before anything else, so a text's ids are those of its
     space-separated chunks one after another. A chunk is encoded once and then looked up; its ids lie in one flat array. What is kept has a bound in bytes.
+    Tokens that end a word are those named ``...</w>``; a vocabulary without such has its chunks encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -55,39 +59,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.held = array("I"), array("q", [0]), 0
 
-    def _add(self, chunk: bytes, ids: Iterable[int]) -> None:
-        self.known[chunk] = len(self.starts) - 1
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
-        self.held += len(chunk) + 150
-
-    def _learn(self, new: set[bytes]) -> None:
-        parts = {}
-        for c in new:
-            word = c.rstrip(PUNCTUATION)
-            if word != c and word[-1:].isalnum() and b"<|" not in c:  # of bytes: ASCII
-                parts[c] = (word, c[len(word):])
-        alone = [w for w in {*chain.from_iterable(parts.values()), *(new - parts.keys())} if w not in self.known]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            self._add(w, e.ids)
-        for c, pair in parts.items():
-            if c not in self.known:
-                self._add(c, [i for p in pair for i in self.ids[self.starts[self.known[p]]:self.starts[self.known[p] + 1]]])
+    def _add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.starts) - 1
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
+        self.starts.frombytes((self.starts[-1] + np.cumsum(sizes)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.held += sum(map(len, chunks)) + 150 * len(chunks)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Plain words are encoded many at a time: each gives one token that ends a word, the last of its own."""
+        plain = [c for c in new if PLAIN.fullmatch(c)]
+        rest = [c for c in new if not PLAIN.fullmatch(c)]
+        lines = [plain[i:i + 256] for i in range(0, len(plain), 256)]
+        for words, e in zip(lines, self._encode([b" ".join(x) for x in lines]), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                self._add(words, ids, np.diff(ends, prepend=0))
+            else:
+                rest += words
+        every = [e.ids for e in self._encode(rest)]
+        if rest:
+            self._add(rest, np.fromiter(chain.from_iterable(every), np.int64), np.fromiter(map(len, every), np.int64))
+
+    def _encode(self, texts: list[bytes]) -> list:
+        return self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
 
     def _group(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.held + 4 * len(self.ids) > MEMORY_BYTES:
             self._forget()
         # A special token's own string is matched as it stands; all other text is lowered by the tokenizer anyway.
-        cut = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        cut = [t.split() if b"<|" in t else TAIL.sub(rb" \1", t.lower()).split() for t in texts]
         chunks = list(chain.from_iterable(cut))
-        self._learn(set(chunks).difference(self.known))
+        self._learn(list(set(chunks).difference(self.known)))
         codes = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         starts = np.frombuffer(self.starts, np.int64)
         first, sizes = starts[codes], starts[codes + 1] - starts[codes]
