@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import stage_path
 
-from . import (decontamination, html_extraction, license_scans, ngram_join, packing, quality_classifier, quality_rules, recompression,
-               suffix_arrays, token_files, url_filters)
+from . import (decontamination, hard_negatives, html_extraction, lexical_search, license_scans, ngram_join, packing,
+               quality_classifier, quality_rules, recompression, suffix_arrays, token_files, url_filters)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,21 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = stage_path(spark, "token_files")
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return token_files.read(spark, folder)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row is given another label first; every fiftieth is an anchor."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = lexical_search.ORACLE
