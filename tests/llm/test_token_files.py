@@ -8,7 +8,7 @@ import pytest
 from conftest_helpers import rows
 from tokenizers import Tokenizer
 
-from tessera.llm import queries, token_files as tf
+from tessera.llm import encoding, queries, token_files as tf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,12 +32,12 @@ TEXTS = ["", "Don't  STOP'S it's... a.,b é… É. x<|endoftext|>y <|ENDOFTEXT|>
          "'S, THEY'LL. we'RE! 'd.", ".", "a'.", "''s.", "<|endoftext|>.", "x<|startoftext|>, y", "word " * 3000, "x" * 3000, " \n ", "A, b! ## ** \n\nA, b!"]
 
 
-@pytest.mark.parametrize("group, memory", [(1 << 20, 96 << 20), (7, 2000)])
+@pytest.mark.parametrize("group, memory", [(1 << 20, 48 << 20), (7, 2000)])
 def test_encoder_equals_the_tokenizer(tokenizer, made, monkeypatch, group, memory):
     """Also in pieces of a few bytes and with a memory that is full all the time."""
-    monkeypatch.setattr(tf, "GROUP_BYTES", group)
-    monkeypatch.setattr(tf, "MEMORY_BYTES", memory)
-    encode, texts = tf.Encoder(PATH), [*TEXTS, *(t or "" for _, t in made)]
+    monkeypatch.setattr(encoding, "GROUP_BYTES", group)
+    monkeypatch.setattr(encoding, "MEMORY_BYTES", memory)
+    encode, texts = encoding.Encoder(PATH), [*TEXTS, *(t or "" for _, t in made)]
     for _ in range(2):
         got = [x.tolist() for x in encode([t.encode() for t in texts])]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
