@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 
 GRAM = 3
+#: Cells of the byte map of grams that terms are keyed by; a fixed 256 KB in the plan, whatever the number of terms.
+CELLS = 1 << 18
+
+
+def grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct substrings of ``text`` of the given sizes."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes)))
+
+
+def _cell(gram: str) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(CELLS)).cast("int")
+
+
+def _cells_taken(keyed: DataFrame) -> bytes:
+    """A byte per cell, 1 where a gram of ``keyed`` falls; at most ``CELLS`` numbers come to the driver."""
+    taken = bytearray(CELLS)
+    for row in keyed.select(_cell("gram").alias("cell")).distinct().collect():
+        taken[row.cell] = 1
+    return bytes(taken)
 
 
 def contains_join(terms: DataFrame, texts: DataFrame, term: str = "term", text: str = "hay",
@@ -16,35 +35,31 @@ def contains_join(terms: DataFrame, texts: DataFrame, term: str = "term", text:
     ``terms`` holds distinct non-empty terms in column ``term``; ``texts`` holds
     one row per ``key``. Both sides must already be folded.
 
-    A text holding a term holds every gram of it. Each term is keyed by its
-    rarest gram, texts are exploded only into grams some term is keyed by, and
-    the literal test settles the match. Choosing the rarest gram keeps common
-    ones from becoming hot keys.
+    A text holding a term holds every gram of it. Grams are counted over all
+    texts first, as partial sums that write no row per text. Each term is then
+    keyed by its rarest gram, so that common ones do not become hot keys. Texts
+    are exploded into keyed grams alone, by a byte map of fixed size before the
+    join, and take their columns along; the literal test settles the match.
     """
     size = F.least(F.length(term), F.lit(GRAM))
-    grams_of_term = terms.select(
-        term, F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(term) - size + 1), lambda i: F.substring(F.col(term), i, size)))).alias("gram"))
-    lengths = [r[0] for r in terms.select(size.alias("n")).distinct().collect()]  # at most three values
-
-    if not lengths:
+    of_terms = materialise(terms.select(term, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(term) - size + 1), lambda i: F.substring(F.col(term), i, size)))).alias("gram")), "term_grams")
+    sizes = sorted(r[0] for r in of_terms.select(F.length("gram")).distinct().collect())  # at most three
+    if not sizes:
         return texts.where("false").withColumn(term, F.lit(None).cast("string"))
-
-    def cells(column: str, n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))),
-                           lambda i: F.substring(F.col(column), i, F.lit(n)))
-
-    def grams(column: str):
-        return F.explode(F.array_distinct(F.concat(*[cells(column, n) for n in lengths])))
-
-    text_grams = materialise(
-        texts.select(key, grams(text).alias("gram"))
-        .join(grams_of_term.select("gram").distinct(), "gram"), "grams")
-    frequency = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    keyed = (
-        grams_of_term.join(frequency, "gram", "left")
-        .groupBy(term).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram")))
+    in_text = grams(F.col(text), sizes)
+    wanted = F.lit(_cells_taken(of_terms))
+    frequency = (
+        texts.select(F.explode(in_text).alias("gram"))
+        .where(F.substring(wanted, _cell("gram") + 1, F.lit(1)) == F.lit(b"\1"))
+        .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    keyed = materialise(
+        of_terms.join(frequency, "gram", "left")
+        .groupBy(term).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram")), "keyed_terms")
+    taken = F.lit(_cells_taken(keyed))
     return (
-        text_grams.join(keyed, "gram").select(key, term)
-        .join(texts, key)
-        .where(F.contains(F.col(text), F.col(term))))
+        texts.withColumn("gram", F.explode(in_text))
+        .where(F.substring(taken, _cell("gram") + 1, F.lit(1)) == F.lit(b"\1"))
+        .join(keyed, "gram")
+        .where(F.contains(F.col(text), F.col(term)))
+        .select(key, term, *(c for c in texts.columns if c != key)))

@@ -7,12 +7,14 @@ g_weight, strategy, k, hops. Many requests are answered in one pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as lx
 from ..functions.matching import contains_join
+from ..functions.members import keep_members
 from ..functions.ranking import first_per_key, top_k
 from ..functions.text import folded, haystack, ordered_distinct, squash
 from ..functions.vectors import score_topk
@@ -97,29 +99,44 @@ def fulltext_topk(texts: DataFrame, cat: Catalogue, k: int) -> DataFrame:
         .where("term <> ''").distinct(), "text_terms")
     words = terms.where("not contains(term, ' ')").select(F.col("term").alias("token")).distinct()
     phrases = terms.where("contains(term, ' ')").select(F.concat(F.lit(" "), "term", F.lit(" ")).alias("term")).distinct()
-    # With the blanks doubled, phrases that follow each other do not share one.
-    wide = F.replace("doc", F.lit(" "), F.lit("  "))
-    phrase = F.concat(F.lit(" "), F.replace(F.trim("term"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    in_doc = contains_join(phrases, cat.documents, text="doc").select(
-        F.trim("term").alias("token"), "node_id",
-        ((F.length(wide) - F.length(F.replace(wide, phrase, F.lit("")))) / F.length(phrase)).cast("int").alias("tf"),
-        "doc_len")
+    in_doc = materialise(_phrase_postings(phrases, cat), "phrase_postings")
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.lit(cat.mean_len or 1.0))
     gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     postings = cat.postings.join(words, "token").select("token", "node_id", "tf", "doc_len").unionByName(in_doc)
     weighted = materialise(_term_weights(terms.withColumnRenamed("term", "token"), postings, gain, cat.n_docs, k), "term_weights")
     leading = weighted.where("leading").select("token", "text")
     asked = materialise(weighted.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("asked")), "text_weights")
-    # One row per document, so a word found everywhere costs a row per document and not one per question too.
-    documents = postings.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("token", gain.alias("g")))).alias("gains"))
+    # Only documents that a leading token names can be results; the other tokens' postings are kept for those alone.
+    candidates = materialise(postings.join(leading, "token").select("node_id", "text").distinct(), "text_candidates")
+    named = materialise(candidates.select("node_id").distinct(), "candidate_nodes")
+    # One row per document, so a word found everywhere costs a row per candidate document and not one per question too.
+    documents = keep_members(postings, "node_id", named).groupBy("node_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", gain.alias("g")))).alias("gains"))
     score = F.round(F.aggregate("asked", F.lit(0.0), lambda acc, t: acc + t["idf"] * F.coalesce(
         F.try_element_at("gains", t["token"]), F.lit(0.0))), 9)
-    scored = (
-        documents.withColumn("token", F.explode(F.map_keys("gains"))).join(leading, "token").join(asked, "text")
-        .groupBy("node_id", "text").agg(F.max(score).alias("score")))
+    scored = candidates.join(documents, "node_id").join(asked, "text").select("node_id", "text", score.alias("score"))
     return top_k(scored, ["text"], [F.desc("score"), F.col("node_id")], k)
 
 
+def _phrase_postings(phrases: DataFrame, cat: Catalogue) -> DataFrame:
+    """(token, node_id, tf, doc_len) of phrases, given as `` word word `` in ``term``.
+
+    A document with a phrase is among the documents of the phrase's rarest word; only those are fetched and searched for it.
+    """
+    words = phrases.select("term", F.explode(F.split(F.trim("term"), " ")).alias("token"))
+    frequency = cat.postings.join(words.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(frequency, "token", "left").groupBy("term").agg(
+        F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    possible = materialise(cat.postings.join(rarest, "token").select("term", "node_id"), "phrase_candidates")
+    documents = keep_members(cat.documents, "node_id", materialise(possible.select("node_id").distinct(), "phrase_nodes"))
+    # With the blanks doubled, phrases that follow each other do not share one.
+    wide = F.replace("doc", F.lit(" "), F.lit("  "))
+    phrase = F.concat(F.lit(" "), F.replace(F.trim("term"), F.lit(" "), F.lit("  ")), F.lit(" "))
+    return possible.join(documents, "node_id").where(F.contains("doc", "term")).select(
+        F.trim("term").alias("token"), "node_id",
+        ((F.length(wide) - F.length(F.replace(wide, phrase, F.lit("")))) / F.length(phrase)).cast("int").alias("tf"), "doc_len")
+
+
 def _term_weights(terms: DataFrame, postings: DataFrame, gain: Column, n_docs: int, k: int) -> DataFrame:
     """(text, token, idf, leading): a token is leading when a document without any such token cannot reach the top k.
 
@@ -214,51 +231,71 @@ def graph_anchors(requests: DataFrame, cat: Catalogue, hits: DataFrame, limit: i
     return placed.join(bound.select("query_id", "n"), "query_id").where(F.col("place") <= F.col("n")).drop("n")
 
 
-def walk_counts(anchors: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
-    """(anchor, node_id, hop, paths): undirected trails of up to ``hops`` (at most 3) edges.
+def nearest_ends(requests: DataFrame, anchors: DataFrame, cat: Catalogue, hops: int) -> DataFrame:
+    """(query_id, node_id, hop): the nodes that pass each request's filters, hop by hop from its anchors.
 
-    A trail uses no edge twice. Trails are counted, not listed: walks are
-    propagated as one number per anchor and reached node, and the walks that
-    repeat an edge are taken off in closed form, from node degrees and the
-    number of edges between two nodes. No edge joins a node to itself.
+    A request goes no further than the hop that fills its list, for nodes beyond
+    it rank behind. Of each hop only distinct (request, node) rows are kept.
+    """
+    asked = materialise(requests.select("query_id", "hops", channel_k(F.col("k")).alias("n"), *REQUEST_FILTERS), "walk_requests")
+    near = cat.neighbours.select("node_id", "other_id")
+    facts = cat.nodes.select("node_id", *FILTER_COLUMNS)
+    front = reached = materialise(anchors.select("query_id", "node_id").distinct(), "walk_0")
+    ends = None
+    for hop in range(hops + 1):
+        passed = materialise(front.join(facts, "node_id").join(asked, "query_id").where(passes_filters())
+                             .select("query_id", "node_id", F.lit(hop).alias("hop")), f"ends_{hop}")
+        ends = passed if ends is None else ends.unionByName(passed)
+        if hop == hops:
+            return ends
+        found = ends.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+        hungry = asked.join(found, "query_id", "left").where((F.coalesce("found", F.lit(0)) < F.col("n")) & (F.col("hops") > hop)).select("query_id")
+        beside = front.join(hungry, "query_id").join(near, "node_id").select("query_id", F.col("other_id").alias("node_id")).distinct()
+        front = materialise(beside.join(reached, ["query_id", "node_id"], "left_anti"), f"walk_{hop + 1}")
+        reached = reached.unionByName(front)
+
+
+def trail_counts(ends: DataFrame, starts: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
+    """(query_id, node_id, support): undirected trails of up to the request's ``hops`` edges from its anchors into each of its ends.
+
+    A trail uses no edge twice. Trails are counted, not listed, and only those
+    into the ends: the steps that leave the anchors meet those that enter an end
+    in the middle. Walks are summed per (request, node), and the walks that
+    repeat an edge are taken off in closed form, from node degrees and the number
+    of edges between two nodes. No edge joins a node to itself.
+    ``ends`` and ``starts`` carry ``hops``, 0 to 3; larger numbers are refused.
     """
     if hops > MAX_HOPS:
         raise ValueError(f"walks are counted to {MAX_HOPS} hops")
-    start = anchors.select(F.col("node_id").alias("anchor")).distinct()
-    levels = [start.select("anchor", F.col("anchor").alias("node_id"), F.lit(0).alias("hop"), F.lit(1).cast("bigint").alias("paths"))]
-    near = adjacency.select(F.col("node_id").alias("from_id"), F.col("other_id").alias("node_id"), "n")
-    one = materialise(start.join(near, start.anchor == near.from_id).select("anchor", "node_id", F.col("n").alias("paths")),
-                      "walk_1")
-    levels.append(one.select("anchor", "node_id", F.lit(1).alias("hop"), "paths"))
+    keys = ["query_id", "node_id"]
+    near = adjacency.select("node_id", "other_id", "n")
+    begun = starts.where("hops >= 1").join(near, "node_id")
+    m = F.col("n")
+    sums = [F.sum(m).alias("m")]
+    if hops >= 3:
+        degree = near.join(starts.select("node_id").distinct(), "node_id").groupBy("node_id").agg(F.sum("n").alias("degree"))
+        begun = begun.join(degree, "node_id")
+        sums.append(F.sum(m * F.col("degree") + m * m - 2 * m).alias("repeated"))
+    one = materialise(begun.groupBy("query_id", F.col("other_id").alias("node_id")).agg(*sums), "walk_sums")
+    counted = ends.select(*keys, "hops").join(starts.select(*keys, F.lit(1).alias("own")), keys, "left").join(one, keys, "left")
+    support = F.coalesce("own", F.lit(0)) + F.coalesce("m", F.lit(0))
     if hops >= 2:
-        step = one.withColumnRenamed("node_id", "from_id").join(near, "from_id").groupBy("anchor", "node_id").agg(
-            F.sum(F.col("paths") * F.col("n")).alias("walks"))
-        degree = one.groupBy("anchor").agg(F.sum("paths").alias("degree"))
-        two = step.join(degree, "anchor").select(
-            "anchor", "node_id", F.lit(2).alias("hop"),
-            (F.col("walks") - F.when(F.col("node_id") == F.col("anchor"), F.col("degree")).otherwise(0)).alias("paths"),
-            "walks")
-        if hops >= 3:
-            two = materialise(two, "walk_2")
-        levels.append(two.select("anchor", "node_id", "hop", "paths").where("paths > 0"))
+        # (query_id, node_id, mid): the last step of every walk into an end.
+        last = ends.where("hops >= 2").select(*keys, "hops").join(near, "node_id").withColumnRenamed("other_id", "mid")
+        middle = one.select("query_id", F.col("node_id").alias("mid"), F.col("m").alias("mid_m"))
+        two = last.join(middle, ["query_id", "mid"], "left").groupBy(*keys).agg(
+            F.sum(m * F.coalesce("mid_m", F.lit(0))).alias("walks_2"), F.sum(m).alias("end_degree"))
+        counted = counted.join(two, keys, "left")
+        support = support + F.coalesce(F.col("walks_2") - F.when(F.col("own") == 1, F.col("end_degree")).otherwise(0), F.lit(0))
     if hops >= 3:
-        third = two.select("anchor", F.col("node_id").alias("from_id"), "walks").join(near, "from_id").groupBy(
-            "anchor", "node_id").agg(F.sum(F.col("walks") * F.col("n")).alias("walks"))
-        reached = one.select("node_id").distinct()
-        own = near.join(reached.select(F.col("node_id").alias("from_id")), "from_id").groupBy("from_id").agg(
-            F.sum("n").alias("own_degree")).withColumnRenamed("from_id", "node_id")
-        m = F.col("m")
-        repeated = m * F.col("degree") + m * F.col("own_degree") + m * m - 2 * m
-        levels.append(
-            third.join(one.select("anchor", "node_id", F.col("paths").alias("m")), ["anchor", "node_id"], "left")
-            .join(degree, "anchor").join(own, "node_id", "left")
-            .select("anchor", "node_id", F.lit(3).alias("hop"),
-                    (F.col("walks") - F.coalesce(repeated, F.lit(0))).alias("paths"))
-            .where("paths > 0"))
-    counted = levels[0]
-    for level in levels[1:]:
-        counted = counted.unionByName(level)
-    return counted
+        before = (last.where("hops >= 3").select(*keys, F.col("mid").alias("next_id"), F.col("n").alias("last_n"))
+                  .join(near.withColumnRenamed("node_id", "next_id"), "next_id").withColumnRenamed("other_id", "mid")
+                  .groupBy(*keys, "mid").agg(F.sum(m * F.col("last_n")).alias("ways")))
+        three = before.join(middle, ["query_id", "mid"]).groupBy(*keys).agg(F.sum(F.col("ways") * F.col("mid_m")).alias("walks_3"))
+        counted = counted.join(three, keys, "left")
+        taken = F.coalesce(F.col("repeated") + F.col("m") * F.col("end_degree"), F.lit(0))
+        support = support + F.when(F.col("hops") >= 3, F.coalesce("walks_3", F.lit(0)) - taken).otherwise(0)
+    return counted.select(*keys, support.alias("support"))
 
 
 def graph_score(hop: Column, support: Column) -> Column:
@@ -267,16 +304,15 @@ def graph_score(hop: Column, support: Column) -> Column:
 
 def traverse(requests: DataFrame, anchors: DataFrame, cat: Catalogue, limit: int) -> DataFrame:
     """(query_id, node_id, graph_hop, graph_support, g_score, g_rank): nodes around each request's anchors."""
-    stored = materialise(anchors, "anchors")
     hops = requests.agg(F.max("hops")).first()[0] or 1
-    counted = walk_counts(stored, cat.neighbours, hops)
-    near = (
-        stored.join(requests.select("query_id", "hops"), "query_id")
-        .select("query_id", "hops", F.col("node_id").alias("anchor")).join(counted, "anchor")
-        .where(F.col("hop") <= F.col("hops")).groupBy("query_id", "node_id").agg(F.min("hop").alias("graph_hop"), F.sum("paths").alias("graph_support")))
-    asked = requests.select("query_id", "k", *REQUEST_FILTERS)
-    facts = cat.nodes.select("node_id", *FILTER_COLUMNS)
-    kept = near.join(facts, "node_id").join(asked, "query_id").where(passes_filters())
+    if hops > MAX_HOPS:
+        raise ValueError(f"walks are counted to {MAX_HOPS} hops")
+    own_hops = materialise(requests.select("query_id", "hops", "k"), "walk_hops")
+    starts = materialise(anchors.select("query_id", "node_id").distinct().join(own_hops, "query_id"), "anchors")
+    ends = materialise(nearest_ends(requests, starts, cat, hops).join(own_hops, "query_id"), "walk_ends")
+    counted = trail_counts(ends, starts, cat.neighbours, hops)
+    kept = ends.join(counted, ["query_id", "node_id"]).select(
+        "query_id", "node_id", "k", F.col("hop").alias("graph_hop"), F.col("support").alias("graph_support"))
     best = top_k(kept, ["query_id"], [F.col("graph_hop"), F.desc("graph_support"), F.col("node_id")], limit,
                  "g_rank", first=0)
     return best.where(F.col("g_rank") < channel_k(F.col("k"))).select(
@@ -342,7 +378,10 @@ def fuse_rrf(vector: DataFrame, text: DataFrame, graph: DataFrame, requests: Dat
 
 
 def hybrid_search(requests: DataFrame, cat: Catalogue, vectors: DataFrame | None = None) -> DataFrame:
-    """All three channels for every request, fused."""
+    """All three channels for every request, fused.
+
+    ``vectors`` holds ``embedding`` per ``text`` or per ``query_id``.
+    """
     limit = longest_channel(requests)
     hits = text_hits(requests, cat, limit)
     text = fulltext_channel(requests, hits, cat.nodes)
@@ -355,13 +394,14 @@ def hybrid_search(requests: DataFrame, cat: Catalogue, vectors: DataFrame | None
 
 
 def vector_channel(requests: DataFrame, vectors: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """As ``vector_topk``, cut at each request's own channel length."""
+    """As ``vector_topk``, cut at each request's own channel length; a text that many requests share is compared once."""
+    key = "text" if "text" in vectors.columns else "query_id"
     corpus = nodes.where("embedding_vec is not null").select("node_id", F.col("embedding_vec").alias("embedding"))
-    best = materialise(score_topk(corpus, "node_id", vectors, "query_id", limit), "vector_hits")
+    best = materialise(score_topk(corpus, "node_id", vectors, key, limit), "vector_hits")
     facts = nodes.where("embedding_vec is not null").select("node_id", *FILTER_COLUMNS)
+    asked = requests.select("query_id", "text", channel_k(F.col("k")).alias("n"), *REQUEST_FILTERS)
     kept = (
-        best.join(requests.select("query_id", channel_k(F.col("k")).alias("n"), *REQUEST_FILTERS), "query_id")
-        .where(F.col("rank") <= F.col("n")).join(facts, "node_id").where(passes_filters()))
+        best.join(asked, key).where(F.col("rank") <= F.col("n")).join(facts, "node_id").where(passes_filters()))
     return rank_again(kept, "v").select("query_id", "node_id", F.col("score").alias("v_score"), "v_rank")
 
 
@@ -484,12 +524,18 @@ def expand_context(seeds: DataFrame, cat: Catalogue, depth: int = 2, cap: int |
 
 
 # ---------------------------------------------------------------- the general search
-def search_general(requests: DataFrame, cat: Catalogue, vectors: DataFrame | None = None,
+#: Vectors to search with: ``embedding`` per ``query_id``, or a function that embeds a table of distinct ``text``.
+Vectors = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def search_general(requests: DataFrame, cat: Catalogue, vectors: Vectors | None = None,
                    variants: DataFrame | None = None) -> DataFrame:
     """Ranked seeds of every request: hybrid search, exact boosts on lookups, one list per request.
 
     ``variants`` (query_id, variant_no, text) replaces the request text by
     several phrasings. Each request is searched to max(8, k) and keeps max(3k, 24).
+    Where ``vectors`` is a function every text searched has a vector of its own;
+    it gets the distinct texts and returns ``text, embedding``.
     """
     asked = requests.withColumn("k", F.greatest(F.lit(8), F.col("k")))
     if variants is None:
@@ -499,9 +545,12 @@ def search_general(requests: DataFrame, cat: Catalogue, vectors: DataFrame | Non
                            .withColumn("query_id", sub), "searches")
     limit = longest_channel(searches)
     back = searches.select("query_id", "parent", "variant_no", F.col("text").alias("found_by_query"))
-    sub_vectors = None if vectors is None else vectors.join(
-        searches.select(F.col("query_id").alias("sub"), F.col("parent").alias("query_id")), "query_id").select(
-        F.col("sub").alias("query_id"), "embedding")
+    if callable(vectors):
+        sub_vectors = materialise(vectors(searches.select("text").distinct()).select("text", "embedding"), "text_vectors")
+    else:
+        sub_vectors = None if vectors is None else vectors.join(
+            searches.select(F.col("query_id").alias("sub"), F.col("parent").alias("query_id")), "query_id").select(
+            F.col("sub").alias("query_id"), "embedding")
     found = hybrid_search(searches, cat, sub_vectors)
     candidates = found.join(back, "query_id").drop("query_id").withColumnRenamed("parent", "query_id")
     lookups = searches.where("strategy = 'lookup'")
@@ -513,6 +562,24 @@ def search_general(requests: DataFrame, cat: Catalogue, vectors: DataFrame | Non
     return merged.join(caps, "query_id").where(F.col("rank") <= F.col("cap")).drop("cap")
 
 
+def route_plans(requests: DataFrame, seeds: DataFrame) -> DataFrame:
+    """How each request was searched and what it found, one row per request.
+
+    (query_id, query, filters, allowed_levels, vector_weight, fulltext_weight,
+    graph_weight, depth, seed_count, channel_hits); the hits are null where nothing was found.
+    """
+    weights = normalised_weights(F.col("v_weight"), F.col("t_weight"), F.col("g_weight"))
+    hits = channel_hits(seeds).select("query_id", F.struct("vector", "fulltext", "graph", "exact").alias("channel_hits"))
+    sizes = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("seed_count"))
+    return (
+        requests.withColumn("_w", weights).join(sizes, "query_id", "left").join(hits, "query_id", "left")
+        .select("query_id", squash("text").alias("query"),
+                F.struct(*(F.col(f"f_{c}").alias(c) for c in ("nlem", "nlem_category", "manufacturer", "tmtid"))).alias("filters"),
+                F.coalesce("levels", F.array().cast("array<string>")).alias("allowed_levels"), F.col("_w.v_weight").alias("vector_weight"),
+                F.col("_w.t_weight").alias("fulltext_weight"), F.col("_w.g_weight").alias("graph_weight"), F.col("hops").alias("depth"),
+                F.coalesce("seed_count", F.lit(0)).cast("bigint").alias("seed_count"), "channel_hits"))
+
+
 def channel_hits(seeds: DataFrame) -> DataFrame:
     """Per question, how many seeds each channel returned."""
     return seeds.groupBy("query_id").agg(*[

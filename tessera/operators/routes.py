@@ -1,8 +1,9 @@
 """The deterministic and hybrid routes a question can take, and the router over them.
 
-Cascades ("try this, else that") run as one pass: every stage yields its own
-short ranked list with a stage number, and each question keeps its lowest
-stage. No stage waits for the one before it, and none is computed twice.
+List cascades ("try this, else that") run as one pass: every stage yields its
+own short ranked list with a stage number, and each question keeps its lowest
+stage. Searches are dearer: ``staged_search`` runs each stage only on the
+questions that the one before it left without a result, and tells what it tried.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from ..functions.matching import contains_join
 from ..functions.ranking import top_k
 from ..functions.text import blank_to_null, drop_doses, first_dose, first_tail, folded, haystack, join_doses
 from ..schema import LEVELS, NO_RANK
-from ..session import materialise
+from ..session import fits, materialise
 from ..sources.catalogue import Catalogue
 from .counts import count_route, substance_generics
 from .filters import final_cap, keep_strength, search_profile
-from .retrieval import (Expansion, channel_weights, expand_context, merge_first, overlap_score, rerank, search_general)
+from .retrieval import (Expansion, Vectors, channel_weights, expand_context, merge_first, overlap_score, rerank, route_plans,
+                        search_general)
 from .understanding import (anchor_hints, compare_terms, is_manufacturer_request, is_trade_name_request, route_operator,
                             slot_values)
 
@@ -278,8 +280,8 @@ def lookup_requests(rows: DataFrame, k: int, depth: int, graph_weight: float | N
     return build_requests(rows, strategy="lookup", k=k, hops=min(3, max(1, depth)), g=g)
 
 
-def verify_requests(rows: DataFrame, k: int) -> DataFrame:
-    """Three attempts per question, as ``query_id@n``: strict, one filter less, all levels."""
+def verify_requests(rows: DataFrame, k: int, attempt: int) -> DataFrame:
+    """The search of one of the ``VERIFY_ATTEMPTS``: strict, one filter less, all levels."""
     rows = prepared(rows)
     n = max(8, min(k, 20))
     null = F.lit(None)
@@ -290,17 +292,11 @@ def verify_requests(rows: DataFrame, k: int) -> DataFrame:
         "nlem": F.when(has_maker | has_cat, F.col("nlem_filter")),
     }
     own = policy_weights(rows)
+    if attempt == 0:
+        return build_requests(rows, strategy="verify", k=n, hops=1, **(own or {}))
     even = own or dict(v=F.lit(0.33), t=F.lit(0.33), g=F.lit(0.34))
-    everything = F.array(*[F.lit(x) for x in LEVELS])
-    attempts = [
-        build_requests(rows, strategy="verify", k=n, hops=1, **(own or {})),
-        build_requests(rows, strategy="verify", k=n, hops=1, filters=relaxed, **even),
-        build_requests(rows, strategy="verify", k=n, hops=1, filters=relaxed, levels=everything, **even)]
-    out = None
-    for i, df in enumerate(attempts):
-        df = df.withColumn("query_id", F.concat("query_id", F.lit(f"@{i}")))
-        out = df if out is None else out.unionByName(df)
-    return out
+    levels = F.array(*[F.lit(x) for x in LEVELS]) if attempt == 2 else None
+    return build_requests(rows, strategy="verify", k=n, hops=1, filters=relaxed, levels=levels, **even)
 
 
 def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
@@ -336,12 +332,13 @@ def id_fallback_requests(rows: DataFrame, k: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- the routes
 @dataclass
 class Results:
-    """Seeds, routes and counts of a batch, and the context around the seeds."""
+    """Seeds, routes and counts of a batch, the context around the seeds, and the plan of every search made."""
 
     seeds: DataFrame
     routes: DataFrame
     counts: DataFrame | None = None
     context: Expansion | None = None
+    plans: DataFrame | None = None
 
 
 SEED_COLUMNS = ("query_id", "node_id", "rank", "rrf_score", "v_rank", "t_rank", "g_rank", "exact_rank", "found_by_query")
@@ -404,7 +401,7 @@ def _lookup_results(rows: DataFrame, found: DataFrame, cat: Catalogue, k: int) -
     return Results(merged, routes)
 
 
-def lookup_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int, depth: int,
+def lookup_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int, depth: int,
                  graph_weight: float | None = 0.35) -> Results:
     """Hybrid search, then anchored matches where it looks weak or the question asks for names or makers."""
     rows = prepared(rows)
@@ -412,30 +409,62 @@ def lookup_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k:
     return _lookup_results(rows, found, cat, k)
 
 
-def _verify_results(found: DataFrame, rows: DataFrame) -> Results:
-    parts = split_attempts(found)
-    sizes = parts.groupBy("query_id", "part_no").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.groupBy("query_id").agg(F.min("part_no").alias("part_no"))
-    chosen = rows.select("query_id").join(first, "query_id", "left").select(
-        "query_id", F.coalesce("part_no", F.lit(2)).alias("part_no"))
-    seeds = parts.join(chosen, ["query_id", "part_no"]).select(*SEED_COLUMNS)
-    names = F.array(F.lit("strict"), F.lit("relax_one_filter"), F.lit("broaden_scope"))
-    n_last = chosen.join(sizes, ["query_id", "part_no"], "left").withColumn(
-        "mode", F.concat_ws(">", F.slice(names, F.lit(1), F.col("part_no") + 1)))
-    routes = _route(n_last, "verify", F.col("mode"), F.col("part_no") > 0, F.when(F.col("part_no") > 0, F.col("part_no")))
-    return Results(seeds, routes)
-
-
-def verify_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int) -> Results:
-    """Strict search, else one filter less, else all levels: the first attempt that finds anything."""
-    found = materialise(search_general(verify_requests(rows, k), cat, _spread(vectors, 3)), "verify_found")
-    return _verify_results(found, rows)
-
-
-def _spread(vectors: DataFrame | None, parts: int) -> DataFrame | None:
-    """The question's vector for each of its ``query_id@n`` requests."""
-    if vectors is None:
-        return None
+@dataclass
+class Staged:
+    """Seeds of each question's first stage with a result, as stage ``part_no``, and the plan of every search that was made."""
+
+    found: DataFrame
+    plans: DataFrame
+
+
+def staged_search(rows: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], cat: Catalogue, vectors: Vectors | None,
+                  first: tuple[DataFrame, DataFrame] | None = None) -> Staged:
+    """Searches for the questions ``rows`` stage by stage, each stage for those that the stages before it left without seeds.
+
+    A stage is a name and a function from questions to their search requests.
+    ``first`` are the requests and seeds of the first stage where a caller has made that search already.
+    """
+    left, staged = rows, None
+    for no, (name, build) in enumerate(stages):
+        if no or first is None:
+            requests = materialise(build(left), f"stage_{no}_requests")
+            seeds = materialise(search_general(requests, cat, vectors), f"stage_{no}_found")
+        else:
+            requests, seeds = first
+        plans = route_plans(requests, seeds).select("query_id", F.lit(no).alias("part_no"), F.lit(name).alias("name"), *PLAN_COLUMNS)
+        seeds = seeds.withColumn("part_no", F.lit(no))
+        staged = Staged(seeds, plans) if staged is None else Staged(staged.found.unionByName(seeds), staged.plans.unionByName(plans))
+        left = materialise(left.join(seeds.select("query_id").distinct(), "query_id", "left_anti"), f"stage_{no}_left")
+        if fits(left, 0):
+            break
+    return staged
+
+
+VERIFY_ATTEMPTS = ("strict", "relax_one_filter", "broaden_scope")
+PLAN_COLUMNS = ("query", "filters", "allowed_levels", "vector_weight", "fulltext_weight", "graph_weight", "depth", "seed_count", "channel_hits")
+
+
+def verify_stages(k: int) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    return [(name, lambda rows, no=no: verify_requests(rows, k, no)) for no, name in enumerate(VERIFY_ATTEMPTS)]
+
+
+def _verify_results(staged: Staged) -> Results:
+    seeds = staged.found.select(*SEED_COLUMNS)
+    tries = staged.plans.groupBy("query_id").agg(F.max("part_no").alias("tier"), F.array_sort(F.collect_list(F.struct("part_no", "name"))).alias("tried"))
+    tries = tries.withColumn("mode", F.array_join(F.transform("tried", lambda t: t["name"]), ">"))
+    routes = _route(tries, "verify", F.col("mode"), F.col("tier") > 0, F.when(F.col("tier") > 0, F.col("tier")))
+    return Results(seeds, routes, plans=staged.plans)
+
+
+def verify_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int) -> Results:
+    """Strict search, else one filter less, else all levels: the first attempt that finds anything; ``plans`` lists the attempts."""
+    return _verify_results(staged_search(prepared(rows), verify_stages(k), cat, vectors))
+
+
+def _spread(vectors: Vectors | None, parts: int) -> Vectors | None:
+    """The question's vector for each of its ``query_id@n`` requests, unless every text has one of its own."""
+    if vectors is None or callable(vectors):
+        return vectors
     return vectors.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.concat("query_id", F.lit("@"), i.cast("string")))).alias("query_id"), "embedding")
 
@@ -447,7 +476,7 @@ def _compare_results(found: DataFrame, rows: DataFrame) -> Results:
     return Results(merged, _route(rows, "analyze_compare", F.lit(None), F.lit(False)))
 
 
-def compare_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int, depth: int) -> Results:
+def compare_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int, depth: int) -> Results:
     """Each compared term searched on its own, merged in term order."""
     found = materialise(search_general(compare_requests(rows, k, depth), cat, _spread(vectors, 2)), "compare_found")
     return _compare_results(found, rows)
@@ -462,7 +491,7 @@ def compare_detail(found: DataFrame, nodes: DataFrame) -> DataFrame:
         "query_id", F.col("part_no").alias("term_no"), "seed_count", F.col("tmtid").alias("top_tmtid"))
 
 
-def list_route(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None, k: int = 100) -> Results:
+def list_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int = 100) -> Results:
     """Deterministic lists first, hybrid search for the rest."""
     rows = prepared(rows)
     listed = materialise(list_deterministic(rows, cat, k), "listed")
@@ -478,7 +507,7 @@ def _list_results(rows: DataFrame, listed: DataFrame, found: DataFrame) -> Resul
     return Results(seeds, _route(modes, "list", mode, F.col("mode").isNull()))
 
 
-def id_lookup(rows: DataFrame, cat: Catalogue, vectors: DataFrame | None) -> Results:
+def id_lookup(rows: DataFrame, cat: Catalogue, vectors: Vectors | None) -> Results:
     """The node of the asked id, else hybrid search."""
     rows = prepared(rows)
     exact = materialise(id_matches(rows, cat), "id_matches")
@@ -500,7 +529,7 @@ def count_inputs(rows: DataFrame) -> DataFrame:
         slot_values("brand").alias("brands"), "nlem_filter", "nlem_category", F.col("manufacturer_filter").alias("manufacturer"))
 
 
-def search_batch(structured: DataFrame, cat: Catalogue, vectors: DataFrame | None = None, k: int = 10, depth: int = 2,
+def search_batch(structured: DataFrame, cat: Catalogue, vectors: Vectors | None = None, k: int = 10, depth: int = 2,
                  score=overlap_score, with_context: bool = True) -> Results:
     """Route every question, search all hybrid requests in one pass, rerank lookups, cap, and expand."""
     rows = prepare(structured)
@@ -511,19 +540,21 @@ def search_batch(structured: DataFrame, cat: Catalogue, vectors: DataFrame | Non
     id_rest = part["id_lookup"].join(exact.select("query_id").distinct(), "query_id", "left_anti")
     list_rest = part["list"].join(listed.select("query_id").distinct(), "query_id", "left_anti")
     requests = materialise(
-        lookup_requests(part["lookup"], k, depth).unionByName(verify_requests(part["verify"], k))
+        lookup_requests(part["lookup"], k, depth).unionByName(verify_requests(part["verify"], k, 0))
         .unionByName(compare_requests(part["analyze_compare"], k, depth))
         .unionByName(list_fallback_requests(list_rest, 50)).unionByName(id_fallback_requests(id_rest)), "requests")
-    all_vectors = None if vectors is None else vectors.unionByName(_spread(vectors, 3)).join(
-        requests.select("query_id"), "query_id", "left_semi")
+    all_vectors = vectors
+    if vectors is not None and not callable(vectors):
+        all_vectors = vectors.unionByName(_spread(vectors, 2)).join(requests.select("query_id"), "query_id", "left_semi")
     found = materialise(search_general(requests, cat, all_vectors).join(
         requests.select("query_id", "strategy"), "query_id"), "batch_found")
 
     def of(*strategies: str) -> DataFrame:
         return found.where(F.col("strategy").isin(*strategies))
 
+    verified = staged_search(part["verify"], verify_stages(k), cat, vectors, (requests.where("strategy = 'verify'"), of("verify").drop("strategy")))
     results = [
-        _lookup_results(part["lookup"], of("lookup"), cat, k), _verify_results(of("verify"), part["verify"]),
+        _lookup_results(part["lookup"], of("lookup"), cat, k), _verify_results(verified),
         _compare_results(of("compare"), part["analyze_compare"]), _list_results(part["list"], listed, of("list")),
         _id_results(part["id_lookup"], exact, of("id_lookup_fallback"))]
     counts = materialise(count_route(count_inputs(part["analyze_count"]), cat.nodes, cat.edges), "counts")
@@ -546,4 +577,8 @@ def search_batch(structured: DataFrame, cat: Catalogue, vectors: DataFrame | Non
         deep = capped.withColumn("depth", F.when(F.col("operator").isin("lookup", "analyze_compare"), depth).otherwise(1))
         plain_list = (F.col("operator") == "list") & ~F.col("fallback_used")
         context = expand_context(deep.where(~plain_list), cat, depth=depth)
-    return Results(capped, routes, counts, context)
+    others = requests.where("strategy <> 'verify'")
+    plans = route_plans(others, found).select(
+        F.regexp_replace("query_id", r"@\d+$", "").alias("query_id"), F.coalesce(F.regexp_extract("query_id", r"@(\d+)$", 1).try_cast("int"), F.lit(0)).alias("part_no"),
+        F.lit("search").alias("name"), *PLAN_COLUMNS)
+    return Results(capped, routes, counts, context, plans.unionByName(verified.plans))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as lx
@@ -222,10 +224,16 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STRUCTURED[key]
 
 
-def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored vector for every question: (query_id, embedding)."""
+def text_vectors(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Stands for an embedding model: gives every text the stored vector that its md5 picks."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return questions(spark, sf_dir).join(vectors, "vec_id").select("query_id", "embedding")
+    n = vectors.count()
+
+    def embed(texts: DataFrame) -> DataFrame:
+        pick = F.pmod(F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("bigint"), F.lit(n))
+        return texts.withColumn("vec_id", pick).join(vectors, "vec_id").select("text", "embedding")
+
+    return embed
 
 
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

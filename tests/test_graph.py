@@ -36,20 +36,38 @@ def trails(edges, start, hops):
     return found
 
 
+REQUEST = "query_id string, hops int, k int, levels array<string>, f_nlem boolean, f_nlem_category string, f_manufacturer string, f_tmtid string"
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_walk_counts_equal_enumerated_trails(spark, seed):
-    edges = random_edges(seed)
-    df = spark.createDataFrame(edges, "edge_id string, src_id string, dst_id string, type string")
-    anchors = spark.createDataFrame([("q", "n0"), ("q", "n3"), ("p", "n0")], "query_id string, node_id string")
-    got = {(r["anchor"], r["node_id"], r["hop"]): r["paths"] for r in rv.walk_counts(anchors, neighbours(links(df)), 3).collect()}
-    want = {(s, n, h): c for s in ("n0", "n3") for (n, h), c in trails(edges, s, 3).items()}
+def test_traverse_equals_enumerated_trails(spark, seed):
+    """Hop of the nearest anchor, trails of all anchors, for lists that fill at once and lists that never do."""
+    edges = random_edges(seed, nodes=40, n=70)
+    cat = small_catalogue(spark, edges)
+    asked = [("a", 3, 6, None), ("b", 2, 6, None), ("c", 1, 6, None), ("d", 3, 40, None), ("e", 2, 40, ["GP"]), ("f", 3, 6, ["TP"]), ("g", 0, 6, None)]
+    anchors = {"a": ["n0", "n3"], "b": ["n0"], "c": ["n5", "n6"], "d": ["n1"], "e": ["n2", "n0", "n9"], "f": ["n2"], "g": ["n4"]}
+    known = {x for e in edges for x in e[1:3]}
+    anchors = {q: [n for n in ns if n in known] for q, ns in anchors.items()}
+    requests = spark.createDataFrame([(q, h, k, lv, None, None, None, None) for q, h, k, lv in asked], REQUEST)
+    starts = spark.createDataFrame([(q, n) for q, ns in anchors.items() for n in ns], "query_id string, node_id string")
+    got = {(r["query_id"], r["g_rank"]): (r["node_id"], r["graph_hop"], r["graph_support"]) for r in rv.traverse(requests, starts, cat, 80).collect()}
+    want = {}
+    for q, hops, k, levels in asked:
+        total, nearest = Counter(), {}
+        for start in anchors[q]:
+            for (node, hop), c in trails(edges, start, hops).items():
+                total[node] += c
+                nearest[node] = min(hop, nearest.get(node, hop))
+        level = {n: "TP" if int(n[1:]) % 3 == 0 else "GP" for n in nearest}
+        order = sorted((nearest[n], -total[n], n) for n in nearest if not levels or level[n] in levels)
+        want |= {(q, i): (n, h, -s) for i, (h, s, n) in enumerate(order[:max(2 * k, 12)])}
     assert got == want
 
 
 def small_catalogue(spark, edges):
     ids = sorted({x for e in edges for x in e[1:3]})
     nodes = spark.createDataFrame(
-        [tuple({"node_id": i, "tmtid": i, "level": "GP", "name": f"name {i}"}.get(f.name) for f in NODE_SCHEMA.fields) for i in ids], NODE_SCHEMA)
+        [tuple({"node_id": i, "tmtid": i, "level": "TP" if int(i[1:]) % 3 == 0 else "GP", "name": f"name {i}"}.get(f.name) for f in NODE_SCHEMA.fields) for i in ids], NODE_SCHEMA)
     df = spark.createDataFrame(edges, "edge_id string, src_id string, dst_id string, type string")
     return Catalogue(nodes, df, index_documents(nodes), index_postings(nodes), links(df), neighbours(links(df)), len(ids), 2.0)
 
@@ -109,8 +127,9 @@ def test_links_give_both_orientations(spark):
 
 
 def test_walks_beyond_the_counted_hops_are_refused(spark):
+    requests = spark.createDataFrame([("q", 4, 6, None, None, None, None, None)], REQUEST)
     with pytest.raises(ValueError):
-        rv.walk_counts(spark.createDataFrame([("q", "n0")], "query_id string, node_id string"), None, 4)
+        rv.traverse(requests, spark.createDataFrame([("q", "n0")], "query_id string, node_id string"), None, 20)
 
 
 def test_variants_are_merged_in_order(spark):
