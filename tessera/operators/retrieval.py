@@ -7,9 +7,12 @@ g_weight, strategy, k, hops. Many requests are answered in one pass.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as lx
@@ -602,11 +605,26 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(q, t)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
 
 
+def model_score(load: Callable[[], Callable[[pd.Series, pd.Series], np.ndarray]]) -> Callable[[Column, Column], Column]:
+    """A pair score for ``rerank`` from a model: ``load`` runs once per task and returns a function of a batch of questions and texts.
+
+    Batches come by Arrow, so the model scores thousands of pairs a call; what
+    it needs is loaded where it runs and never shipped with the plan.
+    """
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for questions, texts in batches:
+            yield pd.Series(model(questions, texts), dtype="float64")
+
+    return score
+
+
 def rerank(candidates: DataFrame, questions: DataFrame, nodes: DataFrame, k: int, score=overlap_score) -> DataFrame:
     """Order each question's candidates by a pair score of (question, node text) and keep ``k``.
 
-    ``score`` maps two columns to a column; a pandas UDF around a scoring model
-    fits, as does the built-in word overlap.
+    ``score`` maps two columns to a column: the built-in word overlap, or a
+    model's by ``model_score``.
     """
     text = F.trim(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("fsn", "common_name", "trade_name", "generic_name")]))
     joined = (

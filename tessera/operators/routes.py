@@ -27,6 +27,34 @@ from .retrieval import (Expansion, Vectors, channel_weights, expand_context, mer
 from .understanding import (anchor_hints, compare_terms, is_manufacturer_request, is_trade_name_request, route_operator,
                             slot_values)
 
+@dataclass(frozen=True)
+class Limits:
+    """How much the routes search and keep; None is no limit. The defaults are those of the data model's original routes."""
+
+    anchors_least: int = 10  # anchored matches of a lookup are at least so many
+    attempt_least: int = 8  # a verify attempt or a compared term is searched to at least ...
+    attempt_most: int | None = 20  # ... and at most so many
+    maker_list_most: int | None = 80  # hybrid results of a list by manufacturer
+    plain_list_most: int | None = 60  # hybrid results of any other list
+    fallback_least: int = 25  # anchored matches that join a weak lookup: twice what is asked for, at least ...
+    fallback_most: int | None = 50  # ... and at most so many
+    id_matches: int = 10  # nodes of one id
+    list_length: int = 50  # rows of a list in a batch
+    rerank_length: int = 50  # lookup results that are ordered again
+
+    def attempt(self, k: int) -> int:
+        return max(self.attempt_least, at_most(k, self.attempt_most))
+
+    def fallback(self, k: int) -> int:
+        return at_most(max(2 * k, self.fallback_least), self.fallback_most)
+
+
+def at_most(k: int, limit: int | None) -> int:
+    return k if limit is None else min(k, limit)
+
+
+LIMITS = Limits()
+
 TP_TEXT = ("trade_name", "generic_name", "fsn", "active_substance", "active_substances")
 GP_TEXT = ("name", "fsn", "active_substance", "active_substances")
 SHOWN = ("node_id", "name", "fsn", "trade_name", "manufacturer")
@@ -193,12 +221,12 @@ def list_deterministic(structured: DataFrame, cat: Catalogue, k: int) -> DataFra
 
 
 # ---------------------------------------------------------------- lookup anchors
-def lookup_anchor(hints: DataFrame, cat: Catalogue, k: int) -> DataFrame:
+def lookup_anchor(hints: DataFrame, cat: Catalogue, k: int, limits: Limits = LIMITS) -> DataFrame:
     """(query_id, node_id, rank, mode): trade products, else generic products, else the manufacturer's products.
 
     ``hints`` is what ``understanding.anchor_hints`` adds.
     """
-    k = max(10, k)
+    k = max(limits.anchors_least, k)
     asked = hints.select(
         "query_id", F.col("hint_substance").alias("substance"), F.col("hint_dose").alias("strength"),
         F.lower("hint_maker").alias("maker"), "wants_trade_name", "wants_maker")
@@ -280,10 +308,10 @@ def lookup_requests(rows: DataFrame, k: int, depth: int, graph_weight: float | N
     return build_requests(rows, strategy="lookup", k=k, hops=min(3, max(1, depth)), g=g)
 
 
-def verify_requests(rows: DataFrame, k: int, attempt: int) -> DataFrame:
+def verify_requests(rows: DataFrame, k: int, attempt: int, limits: Limits = LIMITS) -> DataFrame:
     """The search of one of the ``VERIFY_ATTEMPTS``: strict, one filter less, all levels."""
     rows = prepared(rows)
-    n = max(8, min(k, 20))
+    n = limits.attempt(k)
     null = F.lit(None)
     has_maker, has_cat = F.col("manufacturer_filter").isNotNull(), F.col("nlem_category").isNotNull()
     relaxed = {
@@ -299,10 +327,10 @@ def verify_requests(rows: DataFrame, k: int, attempt: int) -> DataFrame:
     return build_requests(rows, strategy="verify", k=n, hops=1, filters=relaxed, levels=levels, **even)
 
 
-def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
+def compare_requests(rows: DataFrame, k: int, depth: int, limits: Limits = LIMITS) -> DataFrame:
     """One request per compared term, as ``query_id@n``."""
     rows = prepared(rows)
-    n = max(8, min(k, 20))
+    n = limits.attempt(k)
     levels = F.array(*[F.lit(x) for x in dict((t, lv) for t, lv, _, _ in lx.SEARCH_PROFILES)["substance"]])
     null = F.lit(None)
     termed = rows.join(compare_terms(rows), "query_id")
@@ -312,16 +340,16 @@ def compare_requests(rows: DataFrame, k: int, depth: int) -> DataFrame:
                           filters={"manufacturer": null, "tmtid": null}, **weights)
 
 
-def list_fallback_requests(rows: DataFrame, k: int) -> DataFrame:
+def list_fallback_requests(rows: DataFrame, k: int, limits: Limits = LIMITS) -> DataFrame:
     """Hybrid search for list questions no deterministic route answered."""
     k = max(1, k)
     hinted = prepared(rows)
     null = F.lit(None)
     by_maker = build_requests(
-        hinted.where("list_maker <> ''"), strategy="list", k=min(k, 80), hops=1, text=F.col("list_maker"),
+        hinted.where("list_maker <> ''"), strategy="list", k=at_most(k, limits.maker_list_most), hops=1, text=F.col("list_maker"),
         levels=F.array(F.lit("TP")), g=F.lit(0.45),
         filters={"manufacturer": F.col("list_maker"), "nlem": null, "nlem_category": null, "tmtid": null})
-    plain = build_requests(hinted.where("list_maker = ''"), strategy="list", k=min(k, 60), hops=1, g=F.lit(0.45))
+    plain = build_requests(hinted.where("list_maker = ''"), strategy="list", k=at_most(k, limits.plain_list_most), hops=1, g=F.lit(0.45))
     return by_maker.unionByName(plain)
 
 
@@ -356,10 +384,10 @@ def _route(df: DataFrame, operator: str, mode: Column, fallback: Column, tier: C
                      fallback.alias("fallback_used"), (F.lit(None) if tier is None else tier).cast("int").alias("fallback_tier"))
 
 
-def id_matches(rows: DataFrame, cat: Catalogue) -> DataFrame:
-    """Up to ten nodes per question whose id is the one asked for."""
+def id_matches(rows: DataFrame, cat: Catalogue, limits: Limits = LIMITS) -> DataFrame:
+    """The nodes per question whose id is the one asked for, up to the limit."""
     asked = rows.select("query_id", F.col("id_lookup").alias("tmtid"))
-    return top_k(cat.nodes.select("node_id", "tmtid").join(asked, "tmtid"), ["query_id"], [F.col("node_id")], 10)
+    return top_k(cat.nodes.select("node_id", "tmtid").join(asked, "tmtid"), ["query_id"], [F.col("node_id")], limits.id_matches)
 
 
 def split_attempts(found: DataFrame) -> DataFrame:
@@ -382,15 +410,15 @@ def merge_lookup_fallback(primary: DataFrame, fallback: DataFrame, k: int) -> Da
     return top_k(merged, ["query_id"], order, max(3 * k, 24)).select(*SEED_COLUMNS)
 
 
-def _lookup_results(rows: DataFrame, found: DataFrame, cat: Catalogue, k: int) -> Results:
+def _lookup_results(rows: DataFrame, found: DataFrame, cat: Catalogue, k: int, limits: Limits = LIMITS) -> Results:
     primary = found.select(*SEED_COLUMNS)
     hints = prepared(rows)
     confidence = lookup_confidence(primary, rows, k)
     tried = materialise(hints.join(confidence, "query_id").withColumn(
         "attempted", F.col("low_confidence") | F.col("has_anchor")), "lookup_tried")
     weak = tried.where("attempted")
-    k2 = min(max(2 * k, 25), 50)
-    anchors = lookup_anchor(weak.where("hint_substance <> '' or hint_maker <> ''"), cat, k2)
+    k2 = limits.fallback(k)
+    anchors = lookup_anchor(weak.where("hint_substance <> '' or hint_maker <> ''"), cat, k2, limits)
     lists = list_deterministic(weak, cat, k2)
     both = materialise(_staged(anchors, lists.select(*anchors.columns)), "lookup_fallback")
     used = both.groupBy("query_id").agg(F.first("mode").alias("mode"))
@@ -402,11 +430,11 @@ def _lookup_results(rows: DataFrame, found: DataFrame, cat: Catalogue, k: int) -
 
 
 def lookup_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int, depth: int,
-                 graph_weight: float | None = 0.35) -> Results:
+                 graph_weight: float | None = 0.35, limits: Limits = LIMITS) -> Results:
     """Hybrid search, then anchored matches where it looks weak or the question asks for names or makers."""
     rows = prepared(rows)
     found = materialise(search_general(lookup_requests(rows, k, depth, graph_weight), cat, vectors), "lookup_found")
-    return _lookup_results(rows, found, cat, k)
+    return _lookup_results(rows, found, cat, k, limits)
 
 
 @dataclass
@@ -444,8 +472,8 @@ VERIFY_ATTEMPTS = ("strict", "relax_one_filter", "broaden_scope")
 PLAN_COLUMNS = ("query", "filters", "allowed_levels", "vector_weight", "fulltext_weight", "graph_weight", "depth", "seed_count", "channel_hits")
 
 
-def verify_stages(k: int) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
-    return [(name, lambda rows, no=no: verify_requests(rows, k, no)) for no, name in enumerate(VERIFY_ATTEMPTS)]
+def verify_stages(k: int, limits: Limits = LIMITS) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    return [(name, lambda rows, no=no: verify_requests(rows, k, no, limits)) for no, name in enumerate(VERIFY_ATTEMPTS)]
 
 
 def _verify_results(staged: Staged) -> Results:
@@ -456,9 +484,9 @@ def _verify_results(staged: Staged) -> Results:
     return Results(seeds, routes, plans=staged.plans)
 
 
-def verify_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int) -> Results:
+def verify_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int, limits: Limits = LIMITS) -> Results:
     """Strict search, else one filter less, else all levels: the first attempt that finds anything; ``plans`` lists the attempts."""
-    return _verify_results(staged_search(prepared(rows), verify_stages(k), cat, vectors))
+    return _verify_results(staged_search(prepared(rows), verify_stages(k, limits), cat, vectors))
 
 
 def _spread(vectors: Vectors | None, parts: int) -> Vectors | None:
@@ -476,9 +504,9 @@ def _compare_results(found: DataFrame, rows: DataFrame) -> Results:
     return Results(merged, _route(rows, "analyze_compare", F.lit(None), F.lit(False)))
 
 
-def compare_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int, depth: int) -> Results:
+def compare_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int, depth: int, limits: Limits = LIMITS) -> Results:
     """Each compared term searched on its own, merged in term order."""
-    found = materialise(search_general(compare_requests(rows, k, depth), cat, _spread(vectors, 2)), "compare_found")
+    found = materialise(search_general(compare_requests(rows, k, depth, limits), cat, _spread(vectors, 2)), "compare_found")
     return _compare_results(found, rows)
 
 
@@ -491,12 +519,12 @@ def compare_detail(found: DataFrame, nodes: DataFrame) -> DataFrame:
         "query_id", F.col("part_no").alias("term_no"), "seed_count", F.col("tmtid").alias("top_tmtid"))
 
 
-def list_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int = 100) -> Results:
+def list_route(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, k: int = 100, limits: Limits = LIMITS) -> Results:
     """Deterministic lists first, hybrid search for the rest."""
     rows = prepared(rows)
     listed = materialise(list_deterministic(rows, cat, k), "listed")
     rest = rows.join(listed.select("query_id").distinct(), "query_id", "left_anti")
-    found = search_general(list_fallback_requests(rest, k), cat, vectors)
+    found = search_general(list_fallback_requests(rest, k, limits), cat, vectors)
     return _list_results(rows, listed, found)
 
 
@@ -507,10 +535,10 @@ def _list_results(rows: DataFrame, listed: DataFrame, found: DataFrame) -> Resul
     return Results(seeds, _route(modes, "list", mode, F.col("mode").isNull()))
 
 
-def id_lookup(rows: DataFrame, cat: Catalogue, vectors: Vectors | None) -> Results:
+def id_lookup(rows: DataFrame, cat: Catalogue, vectors: Vectors | None, limits: Limits = LIMITS) -> Results:
     """The node of the asked id, else hybrid search."""
     rows = prepared(rows)
-    exact = materialise(id_matches(rows, cat), "id_matches")
+    exact = materialise(id_matches(rows, cat, limits), "id_matches")
     rest = rows.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     found = search_general(id_fallback_requests(rest), cat, vectors)
     return _id_results(rows, exact, found)
@@ -530,19 +558,19 @@ def count_inputs(rows: DataFrame) -> DataFrame:
 
 
 def search_batch(structured: DataFrame, cat: Catalogue, vectors: Vectors | None = None, k: int = 10, depth: int = 2,
-                 score=overlap_score, with_context: bool = True) -> Results:
+                 score=overlap_score, with_context: bool = True, limits: Limits = LIMITS) -> Results:
     """Route every question, search all hybrid requests in one pass, rerank lookups, cap, and expand."""
     rows = prepare(structured)
     part = {op: rows.where(F.col("operator") == op)
             for op in ("id_lookup", "verify", "analyze_count", "analyze_compare", "list", "lookup")}
-    exact = materialise(id_matches(part["id_lookup"], cat), "id_matches")
-    listed = materialise(list_deterministic(part["list"], cat, 50), "listed")
+    exact = materialise(id_matches(part["id_lookup"], cat, limits), "id_matches")
+    listed = materialise(list_deterministic(part["list"], cat, limits.list_length), "listed")
     id_rest = part["id_lookup"].join(exact.select("query_id").distinct(), "query_id", "left_anti")
     list_rest = part["list"].join(listed.select("query_id").distinct(), "query_id", "left_anti")
     requests = materialise(
-        lookup_requests(part["lookup"], k, depth).unionByName(verify_requests(part["verify"], k, 0))
-        .unionByName(compare_requests(part["analyze_compare"], k, depth))
-        .unionByName(list_fallback_requests(list_rest, 50)).unionByName(id_fallback_requests(id_rest)), "requests")
+        lookup_requests(part["lookup"], k, depth).unionByName(verify_requests(part["verify"], k, 0, limits))
+        .unionByName(compare_requests(part["analyze_compare"], k, depth, limits))
+        .unionByName(list_fallback_requests(list_rest, limits.list_length, limits)).unionByName(id_fallback_requests(id_rest)), "requests")
     all_vectors = vectors
     if vectors is not None and not callable(vectors):
         all_vectors = vectors.unionByName(_spread(vectors, 2)).join(requests.select("query_id"), "query_id", "left_semi")
@@ -552,9 +580,9 @@ def search_batch(structured: DataFrame, cat: Catalogue, vectors: Vectors | None
     def of(*strategies: str) -> DataFrame:
         return found.where(F.col("strategy").isin(*strategies))
 
-    verified = staged_search(part["verify"], verify_stages(k), cat, vectors, (requests.where("strategy = 'verify'"), of("verify").drop("strategy")))
+    verified = staged_search(part["verify"], verify_stages(k, limits), cat, vectors, (requests.where("strategy = 'verify'"), of("verify").drop("strategy")))
     results = [
-        _lookup_results(part["lookup"], of("lookup"), cat, k), _verify_results(verified),
+        _lookup_results(part["lookup"], of("lookup"), cat, k, limits), _verify_results(verified),
         _compare_results(of("compare"), part["analyze_compare"]), _list_results(part["list"], listed, of("list")),
         _id_results(part["id_lookup"], exact, of("id_lookup_fallback"))]
     counts = materialise(count_route(count_inputs(part["analyze_count"]), cat.nodes, cat.edges), "counts")
@@ -567,7 +595,7 @@ def search_batch(structured: DataFrame, cat: Catalogue, vectors: Vectors | None
     seeds = materialise(seeds, "batch_seeds")
     if score is not None:
         lookups = seeds.join(routes.where("operator = 'lookup'").select("query_id"), "query_id", "left_semi")
-        ranked = rerank(lookups, structured, cat.nodes, 50, score).select("query_id", "node_id", "new_rank")
+        ranked = rerank(lookups, structured, cat.nodes, limits.rerank_length, score).select("query_id", "node_id", "new_rank")
         others = seeds.join(routes.where("operator = 'lookup'").select("query_id"), "query_id", "left_anti")
         seeds = others.unionByName(lookups.join(ranked, ["query_id", "node_id"]).withColumn(
             "rank", F.col("new_rank")).select(*seeds.columns))

@@ -10,7 +10,7 @@ from ..functions import lexicon as lx
 from ..functions.ranking import seeded_hash, spread_rank
 from ..functions.text import has_any, squash
 from ..session import materialise
-from .entities import label_parts
+from .entities import label_runs
 
 WORD_OR_MARK = r"(?U)\w+|[^\w\s]"
 IGNORED = -100
@@ -98,35 +98,39 @@ def index_pools(pools: DataFrame) -> DataFrame:
     return ranked.select("label", "value", (F.col("_p") - 1).alias("pos"), F.col("group_size").alias("pool_size"))
 
 
-def render(drawn: DataFrame, pools: DataFrame, key: str = "record_id", seed: int | str = 42) -> DataFrame:
-    """Fill each template's slots from the pools: (key, template columns, text, spans).
+def render(drawn: DataFrame, pools: DataFrame, key: str = "record_id", seed: int | str = 42) -> tuple[DataFrame, DataFrame]:
+    """(records, dropped): each template with its slots filled from the pools, and the records that could not be, with their reason.
 
-    A slot picks the value at a hashed position of its pool, an equi-join on
-    (label, position). A record whose slot has no pool is dropped. ``spans`` are
-    (start, end, label) in characters.
+    Records have (key, template columns, text, spans). A slot picks the value at a
+    hashed position of its pool, an equi-join on (label, position). ``spans`` are
+    (start, end, label) in characters. A template without slots, a slot without a
+    pool, and a blank value are reasons: ``no_slots``, ``slot_pool_empty``, ``missing_slot_value``.
     """
     pools = materialise(index_pools(pools), "pools")
     sizes = pools.groupBy("label").agg(F.max("pool_size").alias("pool_size"))
-    slots = drawn.select(key, F.explode(F.array_distinct(F.regexp_extract_all(
-        F.col("template"), F.lit(r"\{(\w+)\}"), F.lit(1)))).alias("label")).join(sizes, "label")
+    named = F.array_distinct(F.regexp_extract_all(F.col("template"), F.lit(r"\{(\w+)\}"), F.lit(1)))
+    slots = drawn.select(key, F.explode(named).alias("label")).join(sizes, "label", "left")
     draw = F.floor(uniform(str(seed), "_k") * F.col("pool_size")).cast("bigint")
     picked = (
         slots.withColumn("_k", F.concat_ws("|", F.col(key).cast("string"), "label")).withColumn("pos", draw)
-        .join(pools.select("label", "pos", "value"), ["label", "pos"])
-        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("fill")))  # at most 5 slots
+        .join(pools.select("label", "pos", "value"), ["label", "pos"], "left")
+        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("fill"),  # at most 5 slots
+                          F.bool_or(F.col("pool_size").isNull()).alias("_empty"), F.bool_or(F.coalesce("value", F.lit("")) == "").alias("_blank")))
     pieces = F.filter(F.split(F.regexp_replace("template", r"(\{\w+\})", "\u0001$1\u0001"), "\u0001"), lambda p: p != "")
-    rows = drawn.join(picked, key).withColumn("_p", F.transform(pieces, lambda p: F.when(
+    rows = drawn.join(picked, key, "left").withColumn("reason", F.when(F.size(named) == 0, "no_slots").when(
+        F.col("_empty"), "slot_pool_empty").when(F.col("_blank"), "missing_slot_value"))
+    rows = rows.withColumn("_p", F.transform(pieces, lambda p: F.when(
         F.startswith(p, F.lit("{")), F.struct(F.try_element_at("fill", F.regexp_replace(p, r"[{}]", "")).alias("t"),
                                                F.regexp_replace(p, r"[{}]", "").alias("l"))).otherwise(
         F.struct(p.alias("t"), F.lit(None).cast("string").alias("l")))))
-    rows = rows.where(~F.exists("_p", lambda p: p["t"].isNull()))
     state = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int,label:string>>").alias("spans"))
     folded = F.aggregate("_p", state, lambda a, p: F.struct(
         F.concat(a["text"], p["t"]).alias("text"),
         F.when(p["l"].isNull(), a["spans"]).otherwise(F.concat(a["spans"], F.array(F.struct(
             F.length(a["text"]).alias("start"), (F.length(a["text"]) + F.length(p["t"])).alias("end"), p["l"].alias("label"))))).alias("spans")))
-    return rows.withColumn("_f", folded).select(
+    kept = rows.where("reason is null").withColumn("_f", folded).select(
         key, "template_id", "group", "target_type", "strategy", "profile", F.col("_f.text").alias("text"), F.col("_f.spans").alias("spans"))
+    return kept, rows.where("reason is not null").select(key, "reason")
 
 
 def answerability_gate(rendered: DataFrame) -> DataFrame:
@@ -261,17 +265,10 @@ def align_subwords(records: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- entity scores
 def spans_of(tags: DataFrame, column: str, key: str = "record_id") -> DataFrame:
-    """(key, type, start, end) of the labelled runs in one tag sequence per row.
-
-    Each tag is looked at beside its neighbours inside the row; only span rows come out.
-    """
-    prefix, kind = label_parts(F.col("tag"))
-    flat = tags.select(key, F.posexplode(column).alias("pos", "tag")).select(key, "pos", prefix.alias("p"), kind.alias("type"))
-    order = Window.partitionBy(key).orderBy("pos")  # one sentence
-    rows = flat.withColumn("_b", F.coalesce(F.lag("type").over(order), F.lit("")))
-    starts = (F.col("type") != "") & ((F.col("p") == "B") | (F.col("type") != F.col("_b")))
-    return rows.withColumn("island", F.sum(starts.cast("int")).over(order)).where("type <> ''").groupBy(key, "island").agg(
-        F.first("type").alias("type"), F.min("pos").alias("start"), F.max("pos").alias("end")).drop("island")
+    """(key, type, start, end) of the labelled runs in one tag sequence per row, by positions from 0; only span rows come out."""
+    placed = F.transform(column, lambda t, i: F.struct(t.alias("label"), i.alias("start"), i.alias("end"), F.lit(1.0).alias("confidence")))
+    return tags.select(key, F.explode(label_runs(placed)).alias("s")).select(
+        key, F.col("s.label").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def entity_scores(pairs: DataFrame, key: str = "record_id") -> DataFrame:

@@ -11,6 +11,7 @@ from ..schema import LEVELS, PRODUCT_LEVELS
 from ..session import stage_path
 from ..sources import interactions as it, labelled, runs as rn
 from ..sources.catalogue import fetch_nodes
+from ..streaming.interactions import append_stream, follow_interactions
 from . import fixtures as fx, sql as S
 
 QUERIES = {}
@@ -52,7 +53,7 @@ def s3(spark, d):
     label = F.concat(F.lit("quality_"), F.col("quality").cast("string"))
     path = stage_path(spark, "labelled")
     docs.select(F.to_json(F.create_map(label, F.split("text", "\n"))).alias("value")).write.text(path)
-    rows = labelled.explode_label_map(spark.read.text(path), "value")
+    rows = labelled.load_labelled_texts(spark, path, per_line=True)
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.max("text_no").alias("last_no"))
 
 
@@ -117,7 +118,7 @@ def s4(spark, d):
     FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 AND a.role = 'assistant'
     LEFT JOIN nodes g ON g.level = 'GP' AND g.tmtid = CAST(1000000 + c.conv_id AS VARCHAR) WHERE c.role = 'user'""", "nodes"))
 def s5(spark, d):
-    """User turns with the next answer, logged in two appends and read back."""
+    """User turns with the next answer, logged in two batches, one of them run again, and followed by a stream that is stopped in between."""
     c = fx.table(spark, d, "conversations")
     answers = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     turns = c.where("role = 'user'").join(answers, ["conv_id", "turn"]).select(
@@ -125,20 +126,27 @@ def s5(spark, d):
         F.col("text").alias("question"), "answer", F.lit(None).cast("string").alias("ground_truth"), "conv_id", "turn")
     found = turns.select("query_id", (F.col("conv_id") + 1000000).cast("string").alias("node_id"), F.lit(1).alias("place"))
     rows = it.interaction_rows(turns, found, fx.catalogue(spark, d).nodes.where("level = 'GP'"))
-    path = stage_path(spark, "interactions")
-    it.append_interactions(rows.where("length(id) % 2 = 0"), path)
-    it.append_interactions(rows.where("length(id) % 2 = 1"), path)
-    return it.load_interactions(spark, path).select("id", "question", "answer", F.concat_ws(" || ", "contexts").alias("contexts"))
+    source, sink, mark = (stage_path(spark, n) for n in ("log_in", "log_out", "log_mark"))
+    for half, batches in ((0, ("0", "0")), (1, ("1",))):
+        for batch in batches:
+            it.append_interactions(rows.where(f"length(id) % 2 = {half}"), source, batch)
+        append_stream(follow_interactions(spark, source), sink, mark, once=True).awaitTermination()
+    return it.load_interactions(spark, sink).select("id", "question", "answer", F.concat_ws(" || ", "contexts").alias("contexts"))
 
 
 @registered("s6_write_run", S.query(
-    "SELECT policy, count(*) AS records, count(*) FILTER (status = 'ok') AS ok FROM run_rows GROUP BY policy", "run_rows"))
+    """SELECT policy, count(*) AS records, count(*) FILTER (status = 'ok') AS ok, count(*) AS read_records, count(*) FILTER (status = 'ok') AS read_ok, round(avg(mrr), 6) AS read_mrr,
+      count(DISTINCT query_id) AS read_queries, round(sum(latency_ms), 3) AS read_latency FROM run_rows GROUP BY policy""", "run_rows"))
 def s6(spark, d):
+    """The summary and the records of a run, both as they come back from the files."""
     runs = event_runs(spark, d)
     summary = runs.groupBy("policy").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("status") == "ok").alias("ok"))
     path = stage_path(spark, "run_out")
     rn.write_run(runs, summary, path)
-    return spark.read.schema("policy string, records bigint, ok bigint").json(f"{path}/summary")
+    back = rn.load_runs(spark, f"{path}/runs").groupBy("policy").agg(
+        F.count(F.lit(1)).alias("read_records"), F.count_if(F.col("status") == "ok").alias("read_ok"), F.round(F.avg("metrics.mrr"), 6).alias("read_mrr"),
+        F.count_distinct("query_id").alias("read_queries"), F.round(F.sum("latency_ms"), 3).alias("read_latency"))
+    return spark.read.schema("policy string, records bigint, ok bigint").json(f"{path}/summary").join(back, "policy")
 
 
 @registered("s7_fetch_nodes", S.query(

@@ -252,11 +252,11 @@ def m4_operators(spark, d):
 
 
 _SEM = "metric_family = 'retrieval' AND expected_operator IN ('lookup', 'list', 'analyze_compare', 'compare')"
-_ACCEPT = [("overall_semantic_hit@10", "hit10", _SEM), ("lookup_hit@10", "hit10", f"{_SEM} AND expected_operator = 'lookup'"), ("list_hit@10", "hit10", f"{_SEM} AND expected_operator = 'list'"),
+ACCEPT = [("overall_semantic_hit@10", "hit10", _SEM), ("lookup_hit@10", "hit10", f"{_SEM} AND expected_operator = 'lookup'"), ("list_hit@10", "hit10", f"{_SEM} AND expected_operator = 'list'"),
            ("compare_hit@10", "hit10", f"{_SEM} AND expected_operator IN ('analyze_compare', 'compare')"), ("overall_semantic_mrr", "mrr", _SEM), ("overall_semantic_ndcg@10", "ndcg10", _SEM),
            ("count_exact_match", "exact_match", "metric_family = 'count'"), ("count_mape", "ape", "metric_family = 'count'"), ("verify_non_id_accuracy", "accuracy", "metric_family = 'verify' AND strategy <> 'id_lookup'")]
 S.fragment("acceptance", " UNION ALL ".join(
-    [f"SELECT policy, '{n}' AS metric, round(avg({c}) FILTER ({w}), 6) AS value, count(*) FILTER ({w}) AS n FROM run_rows GROUP BY policy" for n, c, w in _ACCEPT]
+    [f"SELECT policy, '{n}' AS metric, round(avg({c}) FILTER ({w}), 6) AS value, count(*) FILTER ({w}) AS n FROM run_rows GROUP BY policy" for n, c, w in ACCEPT]
     + ["SELECT policy, 'error_rate', round(1.0 - count(*) FILTER (status = 'ok') / count(*)::DOUBLE, 6), count(*) FROM run_rows GROUP BY policy",
        "SELECT policy, 'latency_p95_ms', round(quantile_cont(latency_ms, 0.95), 6), count(latency_ms) FROM run_rows GROUP BY policy"]), "run_rows")
 
@@ -341,28 +341,6 @@ def m10(spark, d):
     return mt.win_loss(with_latency(pair_metrics(spark, d, "price"), 0.5), with_latency(pair_metrics(spark, d, "quantity"), 0.75))
 
 
-def replays(spark, d) -> DataFrame:
-    e, i = fx.table(spark, d, "events"), F.col("event_id")
-    return e.select(F.when(i % 50 == 7, "error").otherwise("ok").alias("status"), F.col("event_type").alias("operator"), F.when(i % 3 == 0, "balanced").otherwise("vector_heavy").alias("retrieval_mode"),
-                    F.when(i % 5 > 0, 0.5).alias("old_vector"), F.when(i % 4 == 0, 0.4).otherwise(0.5).alias("new_vector"), F.lit(0.5).alias("old_fulltext"), F.lit(0.5).alias("new_fulltext"),
-                    (i % 11).alias("seed_count"), (i % 13).alias("expanded_count"), (i % 17).alias("relationship_count"))
-
-
-@registered("m11_replay_summary", """
-    SELECT count(*) AS total_cases, count(*) FILTER (ok) AS success_count, count(*) FILTER (NOT ok) AS fail_count, count(*) FILTER (ok AND event_id % 5 > 0 AND event_id % 4 = 0) AS weight_changed_count,
-      round(avg(event_id % 11) FILTER (ok), 3) AS avg_seed_count, round(avg(event_id % 13) FILTER (ok), 3) AS avg_expanded_count, round(avg(event_id % 17) FILTER (ok), 3) AS avg_relationship_count
-    FROM (SELECT *, event_id % 50 <> 7 AS ok FROM events)""")
-def m11(spark, d):
-    return mt.replay_summary(replays(spark, d))
-
-
-@registered("m11_replay_distributions", """
-    SELECT dimension, value, count(*) AS n FROM (SELECT UNNEST([{'dimension': 'mode', 'value': CASE WHEN event_id % 3 = 0 THEN 'balanced' ELSE 'vector_heavy' END}, {'dimension': 'operator', 'value': event_type}], recursive := true)
-      FROM events WHERE event_id % 50 <> 7) GROUP BY ALL""")
-def m11_rows(spark, d):
-    return mt.replay_distributions(replays(spark, d))
-
-
 # ---------------------------------------------------------------- classifier experiments
 S.fragment("vectors", "SELECT vec_id AS query_id, embedding, CAST(label AS BIGINT) AS fine, CAST(label // 2 AS BIGINT) AS topic, CAST(label % 2 AS BIGINT) AS action, vec_id % 5 = 0 AS is_test FROM embeddings")
 for _level in ("fine", "topic", "action"):

@@ -196,6 +196,35 @@ def r14(spark, d):
     return ranked.select(F.substring("query_id", 3, 20).alias("query_id"), "node_id", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
 
 
+def load_trigrams():
+    """A stand-in for a pair model: the Jaccard likeness of two texts' character trigrams."""
+    def grams(text: str) -> set[str]:
+        low = (text or "").lower()
+        return {low[i:i + 3] for i in range(len(low) - 2)}
+
+    def score(questions, texts):
+        return [len(q & t) / len(q | t) if q | t else 0.0 for q, t in zip(map(grams, questions), map(grams, texts))]
+
+    return score
+
+
+def _trigrams(text: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({text}) - 1), lambda i: substr(lower({text}), i, 3)))"
+
+
+@registered("r14_rerank_model", S.query(f"""
+    SELECT query_id, node_id, round(score, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM (
+      SELECT query_id, node_id, rank, coalesce(len(list_intersect(q, t)) / nullif(len(list_distinct(list_concat(q, t))), 0)::DOUBLE, 0.0) AS score FROM (
+        SELECT c.query_id, n.node_id, c.rank, {_trigrams('q.question')} AS q, {_trigrams("trim(concat_ws(' ', coalesce(n.fsn, ''), '', coalesce(n.trade_name, ''), coalesce(n.generic_name, '')))")} AS t
+        FROM ranked_pairs c JOIN templated q ON q.query_id = 'p|' || c.query_id JOIN nodes n ON n.node_id = CAST(3000000000000000000 + CAST(c.tmtid AS BIGINT) AS VARCHAR)
+        WHERE c.rank <= 5)) QUALIFY new_rank <= 3""", "ranked_pairs", "templated", "nodes"))
+def r14_model(spark, d):
+    found = ranked_pairs(spark, d).where("rank <= 5").select(
+        F.concat(F.lit("p|"), "query_id").alias("query_id"), "rank", (F.col("tmtid").cast("bigint") + 3000000000000000000).cast("string").alias("node_id"))
+    ranked = rv.rerank(found, fx.templated(spark, d), fx.catalogue(spark, d).nodes, 3, rv.model_score(load_trigrams))
+    return ranked.select(F.substring("query_id", 3, 20).alias("query_id"), "node_id", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
+
+
 @registered("r15_answer_cache_join", """
     WITH asked AS (SELECT vec_id AS query_id, 'what is ' || CASE WHEN vec_id % 10 = 0 THEN vec_id // 20 ELSE -vec_id END AS question, embedding FROM embeddings WHERE vec_id % 5 = 0),
     cache AS (SELECT vec_id AS cache_id, 'what is ' || (vec_id // 20) AS question, embedding FROM embeddings WHERE vec_id % 5 <> 0),

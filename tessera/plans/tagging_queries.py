@@ -116,7 +116,7 @@ def records_base(spark, d) -> DataFrame:
 
 
 def rendered(spark, d) -> DataFrame:
-    return once(spark, d, "rendered", lambda: tg.render(records_base(spark, d), pools(spark, d), "record_id", 42))
+    return once(spark, d, "rendered", lambda: tg.render(records_base(spark, d), pools(spark, d), "record_id", 42)[0])
 
 
 @registered("t4_sample_templates", S.query('SELECT record_id, template_id, "group" FROM drawn', "drawn"))
@@ -171,12 +171,11 @@ def t6(spark, d):
 def flipped(spark, d) -> DataFrame:
     """Gold tags, and predictions with a tenth of the tags changed by md5."""
     def change():
-        h = F.substring(F.md5(F.concat_ws("|", F.lit("flip"), F.col("record_id").cast("string"), F.col("pos").cast("string"))), 1, 2)
-        flat = records(spark, d).select("record_id", "ner_tags", "tokens", F.posexplode("ner_tags").alias("pos", "tag")).withColumn("pos", F.col("pos") + 1)
-        wrong = F.when(F.col("tag") == "O", "I-DRUG").when(F.startswith("tag", F.lit("B-")), "O").otherwise("B-FORM")
-        pred = flat.withColumn("p", F.when(F.conv(h, 16, 10).cast("int") < 26, wrong).otherwise(F.col("tag")))
-        return pred.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("pred_tags"),
-                                             F.first("ner_tags").alias("gold_tags"), F.first("tokens").alias("tokens"))
+        def predicted(tag, i):
+            h = F.substring(F.md5(F.concat_ws("|", F.lit("flip"), F.col("record_id").cast("string"), (i + 1).cast("string"))), 1, 2)
+            wrong = F.when(tag == "O", "I-DRUG").when(F.startswith(tag, F.lit("B-")), "O").otherwise("B-FORM")
+            return F.when(F.conv(h, 16, 10).cast("int") < 26, wrong).otherwise(tag)
+        return records(spark, d).select("record_id", F.transform("ner_tags", predicted).alias("pred_tags"), F.col("ner_tags").alias("gold_tags"), "tokens", "text", "offsets")
     return once(spark, d, "flipped", change)
 
 
@@ -221,11 +220,29 @@ def t9_check(spark, d):
     return tg.distribution_check(tg.distributions(records(spark, d)))
 
 
+# The pools without forms and with one blank manufacturer, and user turns taken for templates: every reason for which a record is not rendered.
+S.fragment("pools_cut", "SELECT label, value FROM pools WHERE label <> 'FORM' UNION ALL SELECT 'MANUFACTURER', ''", "pools")
+S.fragment("cut_pos", "SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY md5(label || '|' || value), value) - 1 AS pos, count(*) OVER (PARTITION BY label) AS size FROM pools_cut", "pools_cut")
+S.fragment("unrendered", f"""SELECT reason FROM (
+    SELECT d.record_id, CASE WHEN contains(d.template, '{{FORM}}') THEN 'slot_pool_empty' WHEN contains(d.template, '{{MANUFACTURER}}') AND (SELECT value FROM cut_pos p WHERE p.label = 'MANUFACTURER'
+      AND p.pos = CAST(floor(CAST('0x' || substr(md5('42|' || d.record_id || '|MANUFACTURER'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * p.size) AS BIGINT)) = '' THEN 'missing_slot_value' END AS reason FROM drawn d
+    UNION ALL SELECT NULL, CASE WHEN NOT regexp_matches(text, '\\{{\\w+\\}}') THEN 'no_slots' END FROM conversations WHERE role = 'user') WHERE reason IS NOT NULL""", "drawn", "cut_pos")
+
+
+def unrendered(spark, d) -> DataFrame:
+    cut = pools(spark, d).where("label <> 'FORM'").select("label", "value").unionByName(spark.createDataFrame([("MANUFACTURER", "")], "label string, value string"))
+    turns = fx.table(spark, d, "conversations").where("role = 'user'").select(
+        F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("record_id"), F.col("text").alias("template"),
+        *(F.lit("turn").alias(c) for c in ("template_id", "group", "target_type", "strategy", "profile")))
+    drawn = records_base(spark, d).withColumn("record_id", F.col("record_id").cast("string"))
+    return tg.render(drawn.select(*turns.columns).unionByName(turns), cut, "record_id", 42)[1]
+
+
 @registered("t9_discard_reasons", S.query(f"""
     SELECT reason, count(*) AS n FROM (SELECT {_GATE} AS reason FROM (SELECT "group", strategy, text FROM rendered
-      UNION ALL SELECT CASE WHEN "group" = 'nlem.verify' THEN 'manufacturer.mix' ELSE 'nlem.verify' END, strategy, text FROM rendered)) WHERE reason IS NOT NULL GROUP BY reason""", "rendered"))
+      UNION ALL SELECT CASE WHEN "group" = 'nlem.verify' THEN 'manufacturer.mix' ELSE 'nlem.verify' END, strategy, text FROM rendered) UNION ALL SELECT reason FROM unrendered) WHERE reason IS NOT NULL GROUP BY reason""", "rendered", "unrendered"))
 def t9_reasons(spark, d):
-    return tg.discard_reasons(tg.answerability_gate(gate_rows(spark, d)))
+    return tg.discard_reasons(tg.answerability_gate(gate_rows(spark, d)), unrendered(spark, d))
 
 
 def spoiled(spark, d) -> DataFrame:
@@ -293,12 +310,11 @@ S.fragment("entities", """SELECT b.record_id AS query_id, min(kind) AS label, su
 
 def entity_spans(spark, d) -> DataFrame:
     def build():
-        conf = 0.5 + F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("conf"), F.col("record_id").cast("string"), F.col("pos").cast("string"))), 1, 2), 16, 10).cast("double") / 512.0
-        offs = records(spark, d).select("record_id", "text", "offsets")
-        flat = flipped(spark, d).join(offs, "record_id").select(
-            F.col("record_id").alias("query_id"), "record_id", F.posexplode(F.arrays_zip(F.col("pred_tags").alias("label"), F.col("offsets").alias("o"))).alias("pos", "x")).withColumn("pos", F.col("pos") + 1)
-        rows = flat.select("query_id", "pos", F.col("x.label").alias("label"), F.col("x.o.start").alias("start"), F.col("x.o.end").alias("end"), conf.alias("confidence"))
-        return en.spans_from_bio(rows, offs.select(F.col("record_id").alias("query_id"), "text"), 0.6)
+        def conf(i):
+            digest = F.md5(F.concat_ws("|", F.lit("conf"), F.col("record_id").cast("string"), (i + 1).cast("string")))
+            return 0.5 + F.conv(F.substring(digest, 1, 2), 16, 10).cast("double") / 512.0
+        tags = F.transform("pred_tags", lambda t, i: F.struct(t.alias("label"), F.get("offsets", i)["start"].alias("start"), F.get("offsets", i)["end"].alias("end"), conf(i).alias("confidence")))
+        return en.spans_from_bio(flipped(spark, d).select(F.col("record_id").alias("query_id"), "text", tags.alias("tags")), 0.6)
     return once(spark, d, "entity_spans", build)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 INTERACTION_SCHEMA = T.StructType([
@@ -31,9 +33,14 @@ def interaction_rows(answered: DataFrame, found: DataFrame, nodes: DataFrame) ->
         F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"), "answer", "ground_truth")
 
 
-def append_interactions(rows: DataFrame, path: str) -> None:
-    rows.select(*INTERACTION_SCHEMA.names).write.mode("append").json(path)
+def append_interactions(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append ``rows`` to the log under ``path``.
+
+    A ``batch`` has a folder of its own: a job that is run again with the same
+    name replaces what its earlier attempt wrote, so no row is logged twice.
+    """
+    rows.select(*INTERACTION_SCHEMA.names).write.mode("overwrite").json(f"{path}/batch-{batch or uuid.uuid4().hex}")
 
 
 def load_interactions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INTERACTION_SCHEMA).json(path)
+    return spark.read.schema(INTERACTION_SCHEMA).option("recursiveFileLookup", "true").json(path)

@@ -19,6 +19,6 @@ def normal_label(label: Column) -> Column:
     return F.regexp_replace(label, "^ingredient(?=_|$)", "substance")
 
 
-def load_labelled_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Read one or many such documents; each file is one JSON object."""
-    return explode_label_map(spark.read.text(path, wholetext=True), "value")
+def load_labelled_texts(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Read one or many such documents: one JSON object a file, or one a line, so that a large file is read by many tasks."""
+    return explode_label_map(spark.read.text(path, wholetext=not per_line), "value")
