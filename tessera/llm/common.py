@@ -69,6 +69,15 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def sliced(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """``parts`` in slices of at most ``rows`` rows; what Arrow holds beyond them is given back at the end of each part."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+        del part
+        pa.default_memory_pool().release_unused()
+
+
 def batches(schema: pa.Schema, rows: Iterable[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:
     """``rows`` as Arrow batches of at most ``size`` rows."""
     held: list[tuple] = []

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import carry, discard, partitions, restore, schema, stored, text_bytes
+from .common import carry, discard, partitions, restore, schema, sliced, stored, text_bytes
 from .graph import components, keep_members
 
 SKETCH_BITS, BLOCK = 20, 4096
-MAX_CACHED_WORDS = 500_000
+MAX_CACHED_WORDS = 100_000
 SALT_ABOVE = 50_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -72,10 +72,11 @@ def token_counts(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, total = Shingler(size), np.zeros(1 << SKETCH_BITS, np.int64)
-        for part in parts:
+        for part in sliced(parts):
             found = [shingle(t) for t in text_bytes(part.column("text"))]
             if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                buckets, times = np.unique((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[buckets] += times
         blocks = [(i, total[i * BLOCK:(i + 1) * BLOCK]) for i in range(len(total) // BLOCK)]
         blocks = [(i, b.astype("<u4" if b.max() < 2**32 else "<u8").tobytes()) for i, b in blocks if b.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["block", "counts"])
@@ -117,7 +118,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
         shingle, met, counts = Shingler(size), set(), shared.value
         magnitude = np.frexp(counts)[1].astype(np.uint64)
         short = lambda tokens: np.unique(tokens >> np.uint64(48)).astype(np.int32)
-        for part in parts:
+        for part in sliced(parts):
             rows = []
             for doc, text in zip(part.column("doc_id").to_pylist(), text_bytes(part.column("text")), strict=True):
                 s = shingle(text)
@@ -159,7 +160,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
-        for part in parts:
+        for part in sliced(parts):
             sets = [shingle(t).view(np.int64) for t in text_bytes(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, arrow.field(1).type)], schema=arrow)
 

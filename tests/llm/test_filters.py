@@ -35,6 +35,27 @@ def test_limits_follow_each_source(spark):
     assert all(kept[i] for i in range(600)) and not kept[600] and kept[601] and kept[602] and not kept[603] and not kept[604]
 
 
+def test_verdicts_do_not_depend_on_partitions(docs):
+    """Limits and verdicts are the same in every run and under every partitioning."""
+    judged = [rows(quality_rules.apply_rules(d, min_rows=10).withColumn("failed", F.array_join("failed", ",")), "doc_id", "failed", "kept") for d in (docs, docs, docs.coalesce(1), docs.repartition(13))]
+    assert judged[0] == judged[1] == judged[2] == judged[3] and any(r[1] for r in judged[0])
+
+
+def test_sketched_quantiles_are_as_accurate_as_asked(spark):
+    import random
+
+    rng = random.Random(2)
+    names = list(quality_rules.MEASURES)
+    values = {g: sorted(0.0 if rng.random() < 0.05 else rng.lognormvariate(0, 2) for _ in range(3000)) for g in "ab"}
+    table = [(g, *([v] * len(names))) for g, vs in values.items() for v in vs]
+    df = spark.createDataFrame(table, "lang string, " + ", ".join(f"{m} double" for m in names)).withColumn("source", F.lit("s"))
+    sketch = quality_rules.sketched(df, 0.01)
+    for r in quality_rules.quantiles(sketch, 0.01, "lang").collect():
+        for q, got in zip(quality_rules.QUANTILES, (r.q0, r.q1)):
+            assert r.rows == 3000 and got == pytest.approx(values[r.lang][int(q * 3000) - 1], rel=0.0051)
+    assert {r.rows for r in quality_rules.quantiles(sketch, 0.01).collect()} == {6000}
+
+
 def test_keep_good_returns_the_rows_as_they_are(docs, none, made):
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and {r.n_words for r in kept.select("n_words").distinct().collect()} <= {"clash"}
@@ -110,6 +131,35 @@ def test_trees_learn_on_held_out_urls(spark):
     assert right >= 0.95 * 300
 
 
+def test_labels_without_signal_block_nothing(spark):
+    """Labels drawn by chance: nothing is blocked, though each labelled url is judged itself."""
+    import random
+
+    rng = random.Random(4)
+    table = spark.createDataFrame([(f"https://site{i % 50}.example/page-{i:05d}", int(rng.random() < 0.15)) for i in range(4000)], "url string, bad int")
+    judged = url_filters.judge_urls(table.select("url"), table, [])
+    assert judged.where("verdict = 'block'").count() == 0 and judged.count() == 4000
+
+
+def area_under_curve(scored):
+    """Share of pairs of a bad and a good url that the scores order rightly."""
+    bad, good = ([p for p, b in scored if b == x] for x in (1, 0))
+    return sum((p > q) + (p == q) / 2 for p in bad for q in good) / (len(bad) * len(good))
+
+
+@pytest.mark.parametrize("label", ["1 - quality", "toxic", "greatest(1 - quality, toxic)"])
+def test_held_out_urls_of_the_given_tables(spark, label):
+    """Urls of these pages say nothing of their documents' labels: on held-out urls the trees are near chance, and so they block none."""
+    sf = "/root/testdata/sf0.1"
+    number = F.regexp_extract(url_filters.url_path(F.col("url")), r"/(\d+)(?:\.\w+)?/?$", 1)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url", number.try_cast("long").alias("doc_id"))
+    known = pages.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("url", "doc_id", F.expr(label).alias("bad"))
+    judged = url_filters.judge_urls(known.where("doc_id % 2 = 1").drop("bad"), known.where("doc_id % 2 = 0"), []).join(known.select("doc_id", "bad"), "doc_id")
+    scored = [(r.p_block, r.bad) for r in judged.collect()]
+    assert len(scored) > 300 and 0.35 < area_under_curve(scored) < 0.65
+    assert judged.where("verdict = 'block'").count() <= 0.02 * len(scored)
+
+
 def test_suffix_rates_count_every_label(spark):
     """A site whose labelled urls all hash into the half that the trees' sample is drawn from, beyond that sample, is judged by its labels."""
     known = [(f"https://s{i % 30}.example/page-{i:06d}", int(i % 30 < 9)) for i in range(3000)]
