@@ -4,27 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bits of the map of members: 2 MB, at any size of the tables.
+#: Bits of the map of members, in words of 64: at most 262,144 rows, at any size of the tables.
 MEMBER_BITS = 1 << 24
 
 
 def _slot(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(MEMBER_BITS)) + 1
+    return F.pmod(F.xxhash64(value), F.lit(MEMBER_BITS))
 
 
 def keep_members(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
     """The rows whose ``key`` is among the ``key`` values of ``members``, a stored table.
 
-    A bitmap of hashed members goes to every task and drops most other rows
-    where they are read; the exact semi-join does the rest. With too many members
-    for the map to drop anything, the semi-join alone does the work.
+    A bitmap of hashed members, of fixed size, goes to every task and drops most
+    other rows where they are read; the exact semi-join does the rest. With too
+    many members for the map to drop anything, the semi-join alone does the work.
     """
-    slot = members.select(_slot(F.col(key)).alias("slot"))
-    bitmap = slot.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
-    at = F.bitmap_bit_position(_slot(F.col(key)))
-    byte = F.ascii(F.decode(F.substr("_bits", (at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
-    possible = (
-        rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(_slot(F.col(key))) == F.col("_bucket"))
-        .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns))
+    slot = _slot(F.col(key))
+    word, bit = F.shiftright(slot, 6), (slot % 64).cast("int")
+    words = members.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(
+        F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    possible = rows.join(F.broadcast(words), word == F.col("_word")).where(F.getbit("_bits", bit) == 1).select(*rows.columns)
     return possible.join(members.select(key), key, "left_semi")

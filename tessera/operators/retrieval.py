@@ -107,10 +107,18 @@ def fulltext_topk(texts: DataFrame, cat: Catalogue, k: int) -> DataFrame:
     gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     postings = cat.postings.join(words, "token").select("token", "node_id", "tf", "doc_len").unionByName(in_doc)
     weighted = materialise(_term_weights(terms.withColumnRenamed("term", "token"), postings, gain, cat.n_docs, k), "term_weights")
-    leading = weighted.where("leading").select("token", "text")
+    leading = weighted.where("leading").select("token", "text", "idf")
     asked = materialise(weighted.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("asked")), "text_weights")
-    # Only documents that a leading token names can be results; the other tokens' postings are kept for those alone.
-    candidates = materialise(postings.join(leading, "token").select("node_id", "text").distinct(), "text_candidates")
+    # Only documents that a leading token names can be results. Their part scores put a floor under the k-th result, and only
+    # those that the other tokens could still lift to it are scored in full.
+    parts = materialise(postings.join(leading, "token").groupBy("text", "node_id").agg(F.sum(F.col("idf") * gain).alias("part")), "text_candidates")
+    rest = weighted.where("not leading").groupBy("text").agg(F.sum("most").alias("rest"))
+    best = materialise(top_k(parts.withColumn("part", F.round("part", 9)), ["text"], [F.desc("part"), F.col("node_id")], k).join(rest, "text", "left"), "text_best")
+    floor = best.where("rest is not null").groupBy("text").agg(
+        (F.when(F.count(F.lit(1)) == k, F.min("part")).otherwise(0.0) - F.max("rest") - 1e-6).alias("least"))
+    # Where every token leads, part scores are whole ones and the best of them the result, however many documents tie with the last.
+    candidates = materialise(parts.join(floor, "text").where(F.col("part") >= F.col("least")).select("text", "node_id").unionByName(
+        best.where("rest is null").select("text", "node_id")), "text_survivors")
     named = materialise(candidates.select("node_id").distinct(), "candidate_nodes")
     # One row per document, so a word found everywhere costs a row per candidate document and not one per question too.
     documents = keep_members(postings, "node_id", named).groupBy("node_id").agg(
@@ -141,7 +149,7 @@ def _phrase_postings(phrases: DataFrame, cat: Catalogue) -> DataFrame:
 
 
 def _term_weights(terms: DataFrame, postings: DataFrame, gain: Column, n_docs: int, k: int) -> DataFrame:
-    """(text, token, idf, leading): a token is leading when a document without any such token cannot reach the top k.
+    """(text, token, idf, most, leading): a token is leading when a document without any such token cannot reach the top k.
 
     Per token, the counts of (tf, doc_len) give its document frequency, its
     largest gain and its k-th largest. The best k-th part score of a text is a
@@ -159,7 +167,7 @@ def _term_weights(terms: DataFrame, postings: DataFrame, gain: Column, n_docs: i
     text = Window.partitionBy("text")  # a few tokens per text
     weakest_first = text.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
     floor = F.max(F.coalesce(F.col("idf") * F.col("kth"), F.lit(0.0))).over(text)
-    return rows.withColumn("leading", F.sum("most").over(weakest_first) >= floor - 1e-6).select("text", "token", "idf", "leading")
+    return rows.withColumn("leading", F.sum("most").over(weakest_first) >= floor - 1e-6).select("text", "token", "idf", "most", "leading")
 
 
 def fulltext_channel(requests: DataFrame, hits: DataFrame, nodes: DataFrame) -> DataFrame:
